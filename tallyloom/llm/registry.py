@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from tallyloom.llm.toxicity import op1_toxicity
+
+QUERIES: dict = {"op1_toxicity": op1_toxicity}
 ORACLE: dict = {}
