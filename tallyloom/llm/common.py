@@ -32,3 +32,11 @@ def training_rows(docs: DataFrame, marks: DataFrame, label: str, in_fold: Column
     share = min(1.0, 0.9 * bound / max(1, marks.count()))
     marks = marks.filter(F.pmod(F.xxhash64(F.lit(17), id_col), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else marks
     return docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(marks.limit(bound)), id_col).select(F.coalesce("text", F.lit("")).alias("text"), "label")
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Make Arrow batches small enough for whole, long texts; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from tallyloom.llm.toxicity import op1_toxicity
+from tallyloom.llm import line_dedup, near_dedup, quality_rules, toxicity
 
-QUERIES: dict = {"op1_toxicity": op1_toxicity}
-ORACLE: dict = {}
+QUERIES: dict = {
+    "op1_toxicity": toxicity.op1_toxicity,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
+}
+ORACLE: dict = {
+    "op3_line_dedup": line_dedup.ORACLE,
+    "op8_quality_rules": quality_rules.ORACLE,
+}
