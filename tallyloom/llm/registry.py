@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import line_dedup, near_dedup, quality_rules, toxicity
+from tallyloom.llm import bpe, edit_fingerprint, line_dedup, near_dedup, packing, pii, quality_cnn, quality_rules, sharding, toxicity
 
 QUERIES: dict = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_pii": pii.op4_pii,
+    "op5_sharding": sharding.op5_sharding,
+    "op6_fingerprint": edit_fingerprint.op6_fingerprint,
+    "op7_packing": packing.op7_packing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_bpe": bpe.op9_bpe,
+    "op10_quality_classifier": quality_cnn.op10_quality_classifier,
 }
 ORACLE: dict = {
     "op3_line_dedup": line_dedup.ORACLE,
