@@ -92,10 +92,10 @@ def semi_source(spark, d):
     return J.seen_in(v_identity(spark, d), v_bank(spark, d), F.col("source") == 7).select("f_id", "text")
 
 
-@query("joi_04", "SELECT theme, core_subject FROM v_vocab v WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey % 40 <> 3 AND p.p_brand = v.theme AND p.p_type = v.core_subject AND p.p_size > 25)", "v_vocab")
+@query("joi_04", "SELECT theme, core_subject FROM v_vocab v WHERE NOT EXISTS (SELECT 1 FROM part p WHERE p.p_partkey % 40 <> 3 AND p.p_brand = v.theme AND p.p_type = v.core_subject AND p.p_size > 44)", "v_vocab")
 def vocabulary_drift(spark, d):
     """Subjects that no row uses."""
-    used = table(spark, d, "part").filter("p_size > 25").select(F.when(F.col("p_partkey") % 40 != 3, F.col("p_brand")).alias("theme"), F.col("p_type").alias("core_subject"))
+    used = table(spark, d, "part").filter("p_size > 44").select(F.when(F.col("p_partkey") % 40 != 3, F.col("p_brand")).alias("theme"), F.col("p_type").alias("core_subject"))
     return J.unused(v_vocab(spark, d), used, ["theme", "core_subject"])
 
 
