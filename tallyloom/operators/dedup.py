@@ -1,0 +1,213 @@
+"""Exact and near duplicates of short texts: weighted terms, cosine pairs, linkage, canonical records."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tallyloom.functions import text as T
+from tallyloom.operators.components import connected_components
+from tallyloom.operators.materialize import materialize
+
+
+def exact_groups(rows: DataFrame, ignore_task: bool = False) -> DataFrame:
+    """Buckets of equal fingerprint: members, and the first of them. Tasks never mix unless asked."""
+    keys = ["fp"] if ignore_task else ["tache", "fp"]
+    return rows.groupBy(*keys).agg(F.count("*").alias("members"), F.min("id").alias("first_id"))
+
+
+def well_formed(c: Column) -> Column:
+    return c.rlike(r"[?.]$")
+
+
+def canonical_order(strategy: str = "latest") -> Column:
+    """What the canonical record of a group has most of; on ties the first id stays first."""
+    parts = {"latest": ["period", "ends", "len"], "longest": ["ends", "len"]}[strategy]
+    values = {"period": F.col("period"), "ends": well_formed(F.trim("text")).cast("int"), "len": F.length("text")}
+    return F.struct(*[values[p].alias(p) for p in parts], (-F.col("doc_id")).alias("first"))
+
+
+def term_weights(docs: DataFrame, ngram: int = 2) -> DataFrame:
+    """`(id, tache, term, df, w)`: unit vectors of sublinear tf and smoothed idf. Terms of one document go after the norm is taken.
+
+    `docs` is `(id, tache, text)`.
+    """
+    words = docs.select("id", "tache", T.word_tokens(F.col("text")).alias("w"))
+    terms = words.select("id", "tache", F.explode(T.ngrams(F.col("w"), ngram)).alias("term"))
+    tf = materialize(terms.groupBy("id", "tache", "term").agg(F.count("*").alias("c")), "tf")
+    n = docs.count()
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    raw = tf.join(df, "term").withColumn("w", (1 + F.log("c")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0))
+    raw = materialize(raw.select("id", "tache", "term", "df", "w"), "weights")
+    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return raw.filter("df >= 2").join(norm, "id").select("id", "tache", "term", "df", (F.col("w") / F.col("norm")).alias("w"))
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
+    """`(a_id, b_id, score)`, a_id < b_id, of one task with cosine `threshold` or more; exact.
+
+    Terms are ordered from rare to common. What a document has after its prefix weighs less than the
+    threshold, so a pair that reaches it shares a term of both prefixes; only prefixes are joined,
+    and the common terms that would pair everything never are. Scores of candidates are then summed
+    over all their terms.
+    """
+    vectors = materialize(vectors, "vectors")
+    order = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tail = F.sqrt(F.sum(F.col("w") * F.col("w")).over(order))
+    prefix = vectors.withColumn("tail", tail).filter(F.col("tail") >= threshold - 1e-9).select("id", "tache", "term")
+    prefix = materialize(prefix, "prefixes")
+    a, b = prefix.select(F.col("id").alias("a_id"), "tache", "term"), prefix.select(F.col("id").alias("b_id"), "tache", "term")
+    pairs = a.join(b, ["tache", "term"]).filter("a_id < b_id").select("a_id", "b_id").distinct()
+    left = pairs.join(vectors.select(F.col("id").alias("a_id"), "term", F.col("w").alias("x")), "a_id")
+    both = left.join(vectors.select(F.col("id").alias("b_id"), "term", F.col("w").alias("y")), ["b_id", "term"])
+    return both.groupBy("a_id", "b_id").agg(F.sum(F.col("x") * F.col("y")).alias("score")).filter(F.col("score") >= threshold)
+
+
+def dense_pairs(vectors: DataFrame, threshold: float, block_rows: int = 2000) -> DataFrame:
+    """The same over unit `embedding` arrays: `(a_id, b_id, score)`. Blocks meet pairwise as matrix products."""
+    blocks = max(1, math.ceil(vectors.count() / block_rows))
+    home = F.pmod(F.xxhash64("f_id"), F.lit(blocks)).cast("int")
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    rows = vectors.select("f_id", "embedding", home.alias("home")).withColumn("other", F.explode(every))
+    rows = rows.select("f_id", "embedding", "home", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
+        p, q = pdf[pdf["home"] == i], pdf[pdf["home"] == j]
+        if not len(p) or not len(q):
+            return pd.DataFrame({"a_id": [], "b_id": [], "score": []}).astype({"a_id": "int64", "b_id": "int64", "score": "float64"})
+        m = np.array(p["embedding"].tolist(), np.float64) @ np.array(q["embedding"].tolist(), np.float64).T
+        x, y = np.nonzero(m >= threshold)
+        a, b = p["f_id"].to_numpy()[x], q["f_id"].to_numpy()[y]
+        keep = a < b if i == j else np.ones(len(a), bool)
+        return pd.DataFrame({"a_id": np.minimum(a, b)[keep], "b_id": np.maximum(a, b)[keep], "score": m[x, y][keep]})
+
+    return rows.groupBy("i", "j").applyInPandas(multiply, "a_id long, b_id long, score double")
+
+
+def banded(pairs: DataFrame, review_low: float = 0.55, auto_merge: float = 0.95) -> DataFrame:
+    """`band` of each pair: merge or review; weaker ones are gone."""
+    if review_low > auto_merge:
+        raise ValueError("review_low must not exceed auto_merge")
+    return pairs.filter(F.col("score") >= review_low).withColumn("band", F.when(F.col("score") >= auto_merge, "merge").otherwise("review"))
+
+
+def single_linkage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """`(id, cluster)` of all nodes; clusters are connected components, named by their smallest id."""
+    found = connected_components(edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+
+
+def complete_linkage(nodes: DataFrame, edges: DataFrame, max_size: int = 6) -> tuple[DataFrame, DataFrame]:
+    """`(id, cluster)` and the refused edges `(a_id, b_id, score, reason)`.
+
+    Edges join two clusters, strongest first, only if every pair across them is an edge and the
+    union has `max_size` members at most. Clusters never cross connected components, so components
+    fold apart, and a component is as large as its near-duplicate group. Reason: `veto` or `size_cap`.
+    """
+    comp = materialize(connected_components(edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))), "components")
+    placed = edges.join(comp.select(F.col("id").alias("a_id"), "component"), "a_id").select("component", "a_id", "b_id", "score")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(zip(-pdf["score"], pdf["a_id"], pdf["b_id"]))
+        linked = {(a, b) for _, a, b in rows}
+        member: dict[int, set] = {}
+        for _, a, b in rows:
+            member.setdefault(a, {a})
+            member.setdefault(b, {b})
+        out = []
+        for s, a, b in rows:
+            x, y = member[a], member[b]
+            if x is y:
+                continue
+            if any((min(p, q), max(p, q)) not in linked for p in x for q in y):
+                out.append((a, b, -s, "veto"))
+            elif len(x) + len(y) > max_size:
+                out.append((a, b, -s, "size_cap"))
+            else:
+                x |= y
+                for m in y:
+                    member[m] = x
+        homes = [(m, min(group), None, "member") for m, group in member.items()]
+        return pd.DataFrame(out + homes, columns=["a_id", "b_id", "score", "reason"])
+
+    done = materialize(placed.groupBy("component").applyInPandas(fold, "a_id long, b_id long, score double, reason string"), "linkage")
+    clusters = done.filter("reason = 'member'").select(F.col("a_id").alias("id"), F.col("b_id").alias("cluster"))
+    clusters = nodes.select("id").join(clusters, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    return clusters, done.filter("reason <> 'member'")
+
+
+def canonical_records(rows: DataFrame, strategy: str = "latest") -> DataFrame:
+    """One record for each cluster of sightings `(cluster, doc_id, id, fp, text, period, source)`.
+
+    duplicate_ids are the other members, exact_duplicate_ids those of the canonical's own fingerprint,
+    variants the other normal forms.
+    """
+    rows = rows.withColumn("normal", T.normalize_text(F.col("text")))
+    head = F.max_by(F.struct("id", "normal", "period", "fp"), canonical_order(strategy))
+    grouped = rows.groupBy("cluster").agg(
+        head.alias("h"), F.array_sort(F.collect_set("source")).alias("sources"), F.array_sort(F.collect_set(F.nullif("period", F.lit("")))).alias("months"), F.count("*").alias("occurrences"),
+        F.collect_set("id").alias("ids"), F.collect_set("normal").alias("normals"), F.collect_set(F.struct("fp", "id")).alias("by_fp"),
+    )
+    exact = F.transform(F.filter("by_fp", lambda x: x["fp"] == F.col("h.fp")), lambda x: x["id"])
+    without = lambda xs, x: F.array_sort(F.array_except(xs, F.array(x)))
+    return grouped.select(
+        "cluster", F.col("h.id").alias("id"), F.col("h.normal").alias("text"), F.col("h.period").alias("month"), "sources", "months", "occurrences",
+        without(F.col("ids"), F.col("h.id")).alias("duplicate_ids"), without(exact, F.col("h.id")).alias("exact_duplicate_ids"), without(F.col("normals"), F.col("h.normal")).alias("variants"),
+    )
+
+
+def near_duplicate_ids(review: DataFrame, clusters: DataFrame, canonicals: DataFrame) -> DataFrame:
+    """`(id, near_duplicate_ids)`: review pairs lifted to canonical ids, both ways, none with itself."""
+    c = clusters.join(canonicals.select("cluster", F.col("id").alias("canonical")), "cluster").select(F.col("id").alias("member"), "canonical")
+    lifted = review.join(c.select(F.col("member").alias("a_id"), F.col("canonical").alias("x")), "a_id").join(c.select(F.col("member").alias("b_id"), F.col("canonical").alias("y")), "b_id").filter("x <> y")
+    both = lifted.select("x", "y").unionByName(lifted.select(F.col("y").alias("x"), F.col("x").alias("y")))
+    return both.groupBy(F.col("x").alias("id")).agg(F.array_sort(F.collect_set("y")).alias("near_duplicate_ids"))
+
+
+def ranked(canonicals: DataFrame) -> DataFrame:
+    return canonicals.orderBy(F.size("sources").desc(), F.desc("occurrences"), "id")
+
+
+def accounting(canonicals: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row of invariants: every sighting is a canonical or a duplicate, exact ones are among the duplicates."""
+    n = rows.agg(F.count("*").alias("n_rows"))
+    c = canonicals.agg(
+        F.count("*").alias("n_canonical"), F.sum(F.size("duplicate_ids")).alias("n_duplicates"),
+        F.coalesce(F.bool_and(F.size(F.array_except("exact_duplicate_ids", "duplicate_ids")) == 0), F.lit(True)).alias("exact_within"),
+    )
+    both = c.crossJoin(F.broadcast(n))  # one row each
+    return both.select("n_rows", "n_canonical", "n_duplicates", "exact_within", (F.col("n_canonical") + F.col("n_duplicates") == F.col("n_rows")).alias("balanced"))
+
+
+def review_queue(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs with both texts, score to four places, strongest first. `texts` is `(id, text)`."""
+    out = pairs.join(texts.select(F.col("id").alias("a_id"), F.col("text").alias("a_text")), "a_id").join(texts.select(F.col("id").alias("b_id"), F.col("text").alias("b_text")), "b_id")
+    return out.withColumn("score", F.round("score", 4)).orderBy(F.desc("score"), "a_id", "b_id")
+
+
+def apply_pair_decisions(nodes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """`(id, canonical_id)` after verdicts `(pair, verdict)`, pairs written `a|b`; only `merge` joins."""
+    parts = F.split("pair", r"\|")
+    merges = decisions.filter("verdict = 'merge'").select(parts[0].cast("long").alias("a_id"), parts[1].cast("long").alias("b_id"))
+    return single_linkage(nodes, merges).select("id", F.col("cluster").alias("canonical_id"))
+
+
+def score_distribution(pairs: DataFrame, n_docs: int, at: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+    """Quantiles (linear) over all n(n-1)/2 pairs, of which those not listed score 0. `pairs` has every score above 0."""
+    total = n_docs * (n_docs - 1) // 2
+    listed = pairs.agg(F.count("*").alias("k"), F.max("score").alias("max"))
+    k = listed.first()["k"]
+    # Rank r of all pairs is rank r - zeros of the listed ones: zeros come first.
+    wanted = sorted({int(f) for q in at for f in (math.floor(q * (total - 1)), math.ceil(q * (total - 1)))})
+    ranks = [r - (total - k) for r in wanted if r >= total - k]
+    found = {}
+    if ranks:
+        share = [r / max(1, k - 1) for r in ranks]
+        got = pairs.agg(F.percentile("score", F.array(*map(F.lit, share)))).first()[0]
+        found = {r + total - k: v for r, v in zip(ranks, got)}
+    quantile = lambda q: (lambda lo, hi, f: found.get(lo, 0.0) + (found.get(hi, 0.0) - found.get(lo, 0.0)) * f)(math.floor(q * (total - 1)), math.ceil(q * (total - 1)), q * (total - 1) % 1)
+    return listed.select(F.lit(total).cast("long").alias("pairs"), *[F.round(F.lit(quantile(q)), 6).alias(f"p{q * 100:g}".replace(".", "_")) for q in at], F.round("max", 6).alias("max"))

@@ -71,10 +71,16 @@ VIEWS = {
 
 
 def sql_with(views: str, body: str) -> str:
+    """`body` with the views it names as leading WITH terms."""
     names = views.split()
     if "v_identity" in names or "v_list" in names:
         names = [*dict.fromkeys(["v_bank", *names])]
-    return ("WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in names) + " " if names else "") + body if not body.lstrip().upper().startswith("WITH ") or not names else "WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in names) + ", " + body.lstrip()[5:]
+    terms = ", ".join(f"{v} AS ({VIEWS[v]})" for v in names)
+    body = body.strip()
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return f"{head}{terms}{', ' if terms else ''}{body[len(head):]}"
+    return f"WITH {terms} {body}" if terms else body
 
 
 def v_sightings(spark: SparkSession, d: str) -> DataFrame:
