@@ -22,25 +22,31 @@ MIN_DOCS = 5  #: documents that make a template recur
 LEADING = 3  #: tokens below the token count in the tree
 VARIABLE_SHARE = 5  #: one position of so many may be a variable field
 
-_SPACE = r"[\x20\x09-\x0D]+"
+_WIDE_SPACE = r"(?:\x20(?=[\x09-\x0D\x20])|[\x09-\x0D])[\x09-\x0D\x20]*+"  #: white space that isn't one blank
 
 
 def _words_in(normal: Column) -> Column:
-    """Tokens of a text whose white space is single blanks; 0 for an empty one."""
-    return F.when(normal == "", 0).otherwise(F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit(""))) + 1)
+    """Tokens of a text that isn't empty and whose white space is single blanks."""
+    return F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit(""))) + 1
 
 
 def _normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, _SPACE, " "))
+    return F.trim(F.regexp_replace(text, _WIDE_SPACE, " "))
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """`(doc_id, th, words, pos, n, leaf, line, masked)` of each line with a token of `(doc_id, th, text)`."""
-    at = docs.select("doc_id", "th", _words_in(_normal(F.col("text"))).alias("words"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    line = at.select("doc_id", "th", "words", "pos", F.regexp_replace(_normal(F.col("raw")), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>").alias("masked")).filter("masked <> ''")
+    """`(doc_id, th, chars, pos, size, n, leaf, line, masked)` of each line with a token of `(doc_id, th, text)`.
+
+    chars is the length of the whole text, size that of the line. Every step that a later one reads
+    twice is a select of its own, so that it is computed once.
+    """
+    at = docs.select("doc_id", "th", F.length("text").alias("chars"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw")).filter(F.col("raw").rlike(r"[^\x20\x09-\x0D]"))
+    at = at.select("doc_id", "th", "chars", "pos", F.length("raw").alias("size"), _normal(F.col("raw")).alias("line"))
+    masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(F.col("line"))
+    line = at.select("doc_id", "th", "chars", "pos", "size", masked.alias("masked"))
     n = _words_in(F.col("masked"))
     leaf = F.xxhash64(n, F.substring_index("masked", " ", LEADING))
-    return line.select("doc_id", "th", "words", "pos", n.alias("n"), leaf.alias("leaf"), F.xxhash64("masked").alias("line"), "masked")
+    return line.select("doc_id", "th", "chars", "pos", "size", n.alias("n"), leaf.alias("leaf"), F.xxhash64("masked").alias("line"), "masked")
 
 
 def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -72,7 +78,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id
     """`docs` with the lines of recurring templates removed from `text_col`, and three columns more.
 
     line_dedup: struct of n_lines (split at line feeds, blank ones included; 0 for a null text),
-    n_dropped, and whole: true if the document would have lost more than half its words. Such a
+    n_dropped, and whole: true if the document would have lost more than half its characters. Such a
     document is a copy of others rather than a carrier of boilerplate; it stays as it is, for
     near-duplicate detection. A template's lines stay in the document of smallest id that has it.
     Blank lines are never dropped; a null text stays null; an empty one stays empty. Rows with a
@@ -83,9 +89,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id
     key = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     lines = materialize(parsed_lines(key), "lines")
     drops = materialize(recurring_lines(lines, min_docs).select("leaf", "line", "first_doc"), "recurring")
-    hit = lines.select("doc_id", "th", "words", "pos", "n", "leaf", "line").join(drops, ["leaf", "line"])
+    hit = lines.select("doc_id", "th", "chars", "pos", "size", "leaf", "line").join(drops, ["leaf", "line"])
     hit = hit.filter(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).dropDuplicates(["doc_id", "th", "pos"])
-    cut = hit.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_drop"), (F.sum("n") * 2 > F.first("words")).alias("_whole"))
+    cut = hit.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_drop"), (F.sum("size") * 2 > F.first("chars")).alias("_whole"))
     rows = docs.drop("line_dedup")
     joined = rows.join(cut, rows[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(rows[text_col]) == F.col("_th")), "left")
     parts = F.split(F.col(text_col), "\n", -1)
@@ -109,11 +115,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH key AS (SELECT doc_id, text, md5(coalesce(text, '')) AS th, string_split(text, chr(10)) AS parts FROM documents),
 cut AS (SELECT doc_id, th, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS pos FROM key WHERE text IS NOT NULL),
-normal AS (SELECT doc_id, th, pos, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM cut),
+normal AS (SELECT doc_id, th, pos, length(raw) AS size, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM cut),
 lines AS (
-  SELECT doc_id, th, pos, len(toks) AS n, array_to_string(toks, ' ') AS masked, array_to_string(toks[1:3], ' ') AS lead
-  FROM (SELECT doc_id, th, pos, list_transform(string_split(line, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS toks FROM normal WHERE line <> '')),
-words AS (SELECT doc_id, th, sum(n) AS words FROM lines GROUP BY ALL),
+  SELECT doc_id, th, pos, size, len(toks) AS n, array_to_string(toks, ' ') AS masked, array_to_string(toks[1:3], ' ') AS lead
+  FROM (SELECT doc_id, th, pos, size, list_transform(string_split(line, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS toks FROM normal WHERE line <> '')),
+
 leaves AS (SELECT n, lead FROM (SELECT DISTINCT n, lead, doc_id, th FROM lines) GROUP BY ALL HAVING count(*) >= 5),
 by_doc AS (SELECT DISTINCT n, lead, masked, doc_id, th FROM lines SEMI JOIN leaves USING (n, lead)),
 dist AS (SELECT n, lead, masked, count(*) AS docs FROM by_doc GROUP BY ALL),
@@ -127,9 +133,9 @@ recurs AS (
   SELECT n, lead, template, min(doc_id) AS first_doc
   FROM (SELECT DISTINCT n, lead, template, doc_id, th FROM by_doc JOIN shape USING (n, lead, masked)) GROUP BY ALL HAVING count(*) >= 5),
 hit AS (
-  SELECT l.doc_id, l.th, l.pos, l.n FROM lines l JOIN shape USING (n, lead, masked) JOIN recurs r USING (n, lead, template)
+  SELECT l.doc_id, l.th, l.pos, l.size FROM lines l JOIN shape USING (n, lead, masked) JOIN recurs r USING (n, lead, template)
   WHERE l.doc_id IS DISTINCT FROM r.first_doc),
-lost AS (SELECT doc_id, th, list(pos) AS gone, sum(n) * 2 > any_value(words) AS whole FROM hit JOIN words USING (doc_id, th) GROUP BY ALL)
+lost AS (SELECT doc_id, th, list(pos) AS gone, sum(size) * 2 > any_value(length(text)) AS whole FROM hit JOIN key USING (doc_id, th) GROUP BY ALL)
 SELECT k.doc_id,
   CASE WHEN NOT coalesce(whole, true) THEN array_to_string([p[1] FOR p IN list_zip(parts, range(len(parts))) IF NOT list_contains(gone, p[2])], chr(10)) ELSE text END AS text,
   CAST(coalesce(len(parts), 0) AS INTEGER) AS n_lines,
