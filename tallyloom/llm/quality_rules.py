@@ -18,10 +18,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 MAX_LOSS = 0.3  #: a document that loses a larger share of its word characters is rejected
 MIN_WORDS = 50
+FEW = 50  #: repeated windows up to which each window is looked up among them
 
 # Phrases of navigation and boilerplate lines.
-BOILERPLATE = "all rights reserved|terms of (use|service)|privacy policy|cookie policy|we use cookies|accept (all )?cookies|javascript is (disabled|required)|enable javascript|lorem ipsum|powered by|licensed under|is licensed under|released under the"
-NAVIGATION = r"^(home|menu|login|log in|sign (in|up)|search|next|previous|back to top|read more|share|contact( us)?|about( us)?|subscribe|skip to content)$|([|»›>•·] ?[^|»›>•·]{1,30} ?){3,}"
+BOILERPLATE = "(?i)all rights reserved|terms of (use|service)|privacy policy|cookie policy|we use cookies|accept (all )?cookies|javascript is (disabled|required)|enable javascript|lorem ipsum|powered by|licensed under|is licensed under|released under the"
+NAVIGATION = r"(?i)^(home|menu|login|log in|sign (in|up)|search|next|previous|back to top|read more|share|contact( us)?|about( us)?|subscribe|skip to content)$"
+SEPARATED = "([|»›>•·] ?[^|»›>•·]{1,30} ?){3}"
+MARKS = "!?¡¿"
 
 
 def _length(c: Column) -> Column:
@@ -29,7 +32,13 @@ def _length(c: Column) -> Column:
 
 
 def _without_space(c: Column) -> Column:
-    return F.regexp_replace(c, SPACE, "")
+    """Blanks go by a plain replacement, which is much faster than a pattern; the pattern then finds little."""
+    return F.regexp_replace(F.replace(c, F.lit(" "), F.lit("")), SPACE, "")
+
+
+def _count(c: Column, chars: str) -> Column:
+    """How many of the characters a string holds; strings without any are told by a search."""
+    return F.when(c.rlike("[" + chars.replace("|", r"\|") + "]"), F.length(c) - F.length(F.translate(c, chars, ""))).otherwise(0)
 
 
 def words_of(text: Column) -> Column:
@@ -46,21 +55,28 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 def repeated_words(words: Column) -> Column:
     """How many words of the array lie in a three-word window that occurs twice or more.
 
-    Windows are compared by a 64-bit hash. Texts without an equal pair of hashes are done then;
-    in the others, sorting `(hash, position)` brings equal ones together. Of the sorted positions
-    of repeated windows each covers three words, less what the next covers.
+    Windows are compared by a 64-bit hash. Of the sorted positions of repeated windows each covers
+    three words, less what the next covers.
     """
-    at = lambda w, i: F.try_element_at(w, i)
-    hashes = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 2, F.lit(1))), lambda i: F.xxhash64(at(w, i), at(w, i + 1), at(w, i + 2)))
+    hashes = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(_let(words, lambda w: _let(hashes(w), _covered)))
 
 
 def _covered(hashes: Column) -> Column:
+    """Sorting finds the repeated hashes. If they are few, their places are looked for; else `(hash, place)` is sorted."""
+    repeated = _let(F.sort_array(hashes), lambda s: F.array_distinct(F.filter(s, lambda h, i: h == F.get(s, i + 1))))
+    few = lambda d: F.array_compact(F.transform(hashes, lambda h, i: F.when(F.array_contains(d, h), i)))
+    places = _let(repeated, lambda d: F.when(F.size(d) == 0, F.array().cast("array<int>")).when(F.size(d) <= FEW, few(d)).otherwise(_places(hashes)))
+    return _let(places, _cover_three)
+
+
+def _places(hashes: Column) -> Column:
+    """The sorted places of hashes that occur twice, in n log n."""
     pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    before = lambda s, i: F.when(i > 0, F.try_element_at(s, F.greatest(i, F.lit(1)))["h"])
-    after = lambda s, i: F.try_element_at(s, i + 2)["h"]
+    before = lambda s, i: F.when(i > 0, F.get(s, i - 1)["h"])
+    after = lambda s, i: F.get(s, i + 1)["h"]
     hit = _let(pairs, lambda s: F.transform(s, lambda p, i: F.when((p["h"] == before(s, i)) | (p["h"] == after(s, i)), p["i"])))
-    return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_let(F.array_sort(F.array_compact(hit)), _cover_three))
+    return F.array_sort(F.array_compact(hit))
 
 
 def _cover_three(at: Column) -> Column:
@@ -71,19 +87,19 @@ def _cover_three(at: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether the rules remove a line (with a word). The share of symbols, shouting, navigation, boilerplate."""
-    bare = _without_space(line)
-    n = _length(bare)
-    count = lambda chars: n - F.length(F.translate(bare, chars, ""))
-    low = F.lower(line)
-    upper = F.length(F.regexp_replace(bare, r"[^\p{Lu}]", ""))
-    letters = F.length(F.regexp_replace(bare, r"[^\p{L}]", ""))
+    return _let(_without_space(line), lambda bare: _bare_fails(line, bare))
+
+
+def _bare_fails(line: Column, bare: Column) -> Column:
+    n = F.length(bare)
+    upper = F.length(F.regexp_replace(bare, r"\P{Lu}+", ""))
+    letters = F.length(F.regexp_replace(bare, r"\P{L}+", ""))
+    odd = line.rlike(r"[#*$%&|<>!?¡¿»›•·]")  # one search lets plain lines pass the rules about marks
     return (
-        (count(SYMBOLS) * 20 > n)
-        | (count("!?¡¿") * 20 > n) & (n >= 20)
-        | (letters * 2 < n) & (n >= 20)
-        | (upper * 2 > letters) & (letters >= 20)
-        | low.rlike(NAVIGATION)
-        | ((n < 120) & low.rlike(BOILERPLATE))
+        odd & ((_count(bare, SYMBOLS) * 20 > n) | (n >= 20) & (_count(bare, MARKS) * 20 > n) | line.rlike(SEPARATED))
+        | (n >= 20) & _let(letters, lambda k: (k * 2 < n) | (k >= 20) & (upper * 2 > k))
+        | (n <= 40) & line.rlike(NAVIGATION)
+        | (n < 120) & line.rlike(BOILERPLATE)
     )
 
 
@@ -98,14 +114,14 @@ def clean_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     step = docs.withColumn("quality", F.struct(words_of(text).alias("words"), F.split(text, "\n", -1).alias("lines")))
     lines = F.col("quality.lines")
-    solid = F.filter(lines, lambda x: _without_space(x) != "")
+    solid = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     bad = F.filter(solid, line_fails)
     step = step.withColumn(
         "quality",
         F.struct(
             F.size("quality.words").cast("long").alias("n_words"),
             _length(_without_space(text)).cast("long").alias("word_chars"),
-            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            _count(text, SYMBOLS).cast("long").alias("n_symbols"),
             (F.size(solid) - F.size(F.array_distinct(solid))).cast("long").alias("n_dup_lines"),
             repeated_words(F.col("quality.words")).cast("long").alias("n_repeat_words"),
             F.col("quality.lines").alias("lines"),
@@ -143,11 +159,11 @@ s AS (SELECT doc_id, line, regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g') AS
 j AS (
   SELECT doc_id, line, bare, length(bare) AS n, length(bare) - length(translate(bare, '{SYMBOLS}', '')) AS sym,
     length(bare) - length(translate(bare, '!?¡¿', '')) AS marks,
-    length(regexp_replace(bare, '[^\p{{Lu}}]', '', 'g')) AS upper, length(regexp_replace(bare, '[^\p{{L}}]', '', 'g')) AS letters, lower(line) AS low
+    length(regexp_replace(bare, '[^\p{{Lu}}]', '', 'g')) AS upper, length(regexp_replace(bare, '[^\p{{L}}]', '', 'g')) AS letters, line AS low
   FROM s WHERE bare <> ''),
 f AS (
-  SELECT doc_id, line, n, (sym * 20 > n) OR (marks * 20 > n AND n >= 20) OR (letters * 2 < n AND n >= 20) OR (upper * 2 > letters AND letters >= 20)
-    OR regexp_matches(low, '{NAVIGATION}') OR (n < 120 AND regexp_matches(low, '{BOILERPLATE}')) AS bad FROM j),
+  SELECT doc_id, line, n, (sym * 20 > n) OR (marks * 20 > n AND n >= 20) OR (letters * 2 < n AND n >= 20) OR (upper * 2 > letters AND letters >= 20 AND n >= 20)
+    OR regexp_matches(low, '{NAVIGATION}') OR regexp_matches(low, '{SEPARATED}') OR (n < 120 AND regexp_matches(low, '{BOILERPLATE}')) AS bad FROM j),
 g AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (bad) AS n_removed, coalesce(sum(n) FILTER (bad), 0) AS removed_chars FROM f GROUP BY ALL),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM t WHERE len(w) >= 3),
