@@ -143,7 +143,7 @@ def v_vectors(spark: SparkSession, d: str) -> DataFrame:
 def v_flags(spark: SparkSession, d: str) -> DataFrame:
     kind = F.col("event_type")
     return table(spark, d, "events").filter(kind != "purchase").select(
-        "event_id", "ts", "user_id", F.get_json_object("props", "$.k").cast("long").alias("f_id"),
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.get_json_object("props", "$.k").cast("long").alias("f_id"),
         F.when(kind.isin("view", "error"), "practiced").otherwise("bookmarked").alias("flag"), kind.isin("view", "click").alias("is_on"),
     )
 
