@@ -92,18 +92,19 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, id_col: str = "doc_id
     hit = lines.select("doc_id", "th", "chars", "pos", "size", "leaf", "line").join(drops, ["leaf", "line"])
     hit = hit.filter(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).dropDuplicates(["doc_id", "th", "pos"])
     cut = hit.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_drop"), (F.sum("size") * 2 > F.first("chars")).alias("_whole"))
-    rows = docs.drop("line_dedup")
-    joined = rows.join(cut, rows[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(rows[text_col]) == F.col("_th")), "left")
-    parts = F.split(F.col(text_col), "\n", -1)
+    docs = docs.drop("line_dedup")
+    rows = docs.select(F.struct("*").alias("_row"))  # so that no column of theirs can clash
+    text = F.col("_row")[text_col]
+    joined = rows.join(cut, F.col("_row")[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left")
+    parts = F.split(text, "\n", -1)
     remove = F.col("_drop").isNotNull() & ~F.col("_whole")
-    kept = F.when(remove, F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("_drop"), i)), "\n")).otherwise(F.col(text_col))
+    kept = F.when(remove, F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col("_drop"), i)), "\n")).otherwise(text)
     report = F.struct(
-        F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"),
+        F.when(text.isNull(), 0).otherwise(F.size(parts)).alias("n_lines"),
         F.when(remove, F.size("_drop")).otherwise(0).alias("n_dropped"),
         F.coalesce(F.col("_whole"), F.lit(False)).alias("whole"),
     )
-    report = F.when(F.col(text_col).isNull(), F.struct(F.lit(0).alias("n_lines"), F.lit(0).alias("n_dropped"), F.lit(False).alias("whole"))).otherwise(report)
-    return joined.select(*[kept.alias(c) if c == text_col else F.col(c) for c in rows.columns], report.alias("line_dedup"))
+    return joined.select(*[(kept if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns], report.alias("line_dedup"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
@@ -24,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.llm.common import documents, fold, labels, training_rows
+from tallyloom.operators.materialize import materialize
 
 WORD = re.compile(r"\w+")
 CLAUSE = re.compile(r"[.!?;:\n\r…]+")
@@ -175,11 +177,35 @@ def _count_features(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"feature": part, "toxic": [toxic[k] for k in part], "clean": [clean[k] for k in part]})
 
 
+def _sketch(texts: pd.Series) -> pd.Series:
+    """One MinHash value of a text's word pairs: near copies mostly share it, so that they don't pass for evidence."""
+
+    def one(text: str) -> int:
+        w = WORD.findall(text.lower())
+        return min((zlib.crc32(f"{a} {b}".encode()) * 0x9E3779B97F4A7C15 + len(a) >> 8) & 0xFFFFFFFFFFFFFF for a, b in zip(w, w[1:])) if len(w) > 1 else zlib.crc32(text.encode())
+
+    return texts.map(one)
+
+
+def _sharpened(entries: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Entries without those that are too general: an entry with clean documents gives way to a longer one without, if that has half of its toxic documents."""
+    shorter = {e[0]: e for e in entries if e[2]}
+    for feature, a, b in entries:
+        if not b:
+            for n in STEM_LENGTHS:
+                held = shorter.get(feature.rstrip("$")[:n])
+                if held and 2 * a >= held[1]:
+                    del shorter[held[0]]
+    return [e for e in entries if not e[2] or e[0] in shorter]
+
+
 def learn(rows: DataFrame) -> ToxicityModel:
-    """A model from `(text, label)` rows, at most SAMPLE_BOUND of them.
+    """A model from `(text, label)` rows, at most SAMPLE_BOUND of them; of near copies one is used.
 
     Without toxic or without clean rows the model is empty and scores every text alike.
     """
+    sketched = rows.select("text", "label", F.pandas_udf(_sketch, "long")("text").alias("sketch"))
+    rows = materialize(sketched.groupBy("sketch").agg(F.min(F.struct("text", "label")).alias("r")).select("r.*"), "training")
     n_toxic, n_all = rows.agg(F.coalesce(F.sum(F.when(F.col("label") == 1, 1)), F.lit(0)), F.count("*")).first()
     model = ToxicityModel(base=0.5 / (n_all - n_toxic + 1) if n_toxic else 0.02)
     if not n_toxic or n_toxic == n_all:
@@ -194,7 +220,7 @@ def learn(rows: DataFrame) -> ToxicityModel:
     gain = F.col("a") * F.log(share / rate) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
     kept = tried.filter("a >= 3").filter((share >= PURITY) & (gain >= least)).select("feature", "a", "b").collect()  # bounded: made of SAMPLE_BOUND texts
     tried.unpersist()
-    for feature, a, b in kept:
+    for feature, a, b in _sharpened(kept):
         (model.words if feature.endswith("$") else model.stems)[feature.rstrip("$")] = (a + 1.0) / (a + b + 1.2)
     scan = scanner(model)
 

@@ -1,0 +1,240 @@
+"""The numbered operators against plain versions, round trips and held-out labels."""
+
+import base64
+import hashlib
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers as P
+import pytest
+from odd import ROWS, table
+from oracle import connect, same
+from pyspark.sql import functions as F
+from tests_data import SF, SF01
+
+from tallyloom.llm import bpe, edit_fingerprint as E, line_dedup, packing, pii, quality_cnn, quality_rules, registry, sharding, toxicity
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_sql_twins(spark, name):
+    same(registry.QUERIES[name](spark, SF), connect(SF), registry.ORACLE[name])
+
+
+def accuracy(rows, label):
+    marks = dict(duckdb.sql(f"SELECT doc_id, {label} FROM '{SF01}/labels.parquet'").fetchall())
+    held = [(r.predicted, marks[r.doc_id], r.score) for r in rows if r.held_out and r.doc_id in marks]
+    return sum(p == m for p, m, _ in held) / len(held), held
+
+
+def test_toxicity_held_out(spark):
+    rows = toxicity.op1_toxicity(spark, SF01).collect()
+    share, held = accuracy(rows, "toxic")
+    assert share > 0.9 and all(0 <= r.score <= 1 for r in rows)
+    assert {r.doc_id: r.held_out for r in rows} == {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows}
+
+
+def test_toxicity_clauses():
+    model = toxicity.ToxicityModel(words={"idiot": 0.95}, stems={"schwach": 0.9})
+    scan = toxicity.scanner(model)
+    paths = lambda t: [p for p, _ in scan(t)]
+    assert paths("You are an idiot. All is well.") == ["insult+target"]
+    assert paths("He is not an idiot") == ["insult+negated+target"]
+    assert paths("She said: fine. They said idiot") == ["insult+reported+target"]
+    assert paths("I will kill you") == ["target+threat"] and paths("Kill the process") == []
+    assert paths("Schwachkopf") == ["insult"] and paths("") == []
+    score = lambda t: toxicity.combine(model, scan(t))
+    assert score("You are an idiot") > 0.7 > score("He is not an idiot") > score("well")
+
+
+def test_quality_cnn_held_out(spark):
+    rows = quality_cnn.op10_quality_classifier(spark, SF01).collect()
+    share, _ = accuracy(rows, "quality")
+    assert share > 0.9 and all(0 <= r.score <= 1 for r in rows)
+
+
+def test_chunks_cover_the_whole_text():
+    text = "".join(chr(97 + i % 26) for i in range(5_000))
+    c = quality_cnn.chunked(text)
+    assert bytes(c[0]) + b"".join(bytes(x[quality_cnn.CHUNK - quality_cnn.STEP :]) for x in c[1:]) == text.encode().ljust(quality_cnn.CHUNK + quality_cnn.STEP * (len(c) - 1), b"\0")
+
+
+def test_line_templates(spark):
+    docs = [(i, f"{chr(97 + i) * 9} {chr(98 + i) * 5} {chr(99 + i) * 7} is a body which is long enough to stay by far.\nCall us now at {i * 37} today") for i in range(8)]
+    docs += [(100, "Call us now at nine today maybe\nunique words of this one")]
+    got = {r.doc_id: (r.text, r.line_dedup.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[0] == (docs[0][1], 0) and all(got[i] == (docs[i][1].split("\n")[0], 1) for i in range(1, 8)) and got[100][1] == 0
+
+
+def test_copies_stay_whole(spark):
+    docs = [(i, "One line of the copy.\nAnother line of the copy.") for i in range(9)]
+    assert all(r.line_dedup.whole == (r.doc_id > 0) and r.text == docs[0][1] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+
+
+KINDS = {k: re.compile(p) for k, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))}
+
+
+def luhn(d):
+    return sum(int(c) if i % 2 == 0 else int(c) * 2 - 9 * (int(c) > 4) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def plain_spans(t):
+    out = []
+    for rank, (k, p) in enumerate(KINDS.items()):
+        for m in p.finditer(t):
+            d = re.sub("[^0-9]", "", m[0])
+            if (k == "email") or (k == "ip" and all(int(x) < 256 for x in m[0].split("."))) or (k == "card" and 12 <= len(d) <= 19 and luhn(d)) or (k == "phone" and 9 <= len(d) <= 15):
+                out.append((m.start(), rank, k, m.end()))
+    return [f"{k}:{a}:{z}" for a, _, k, z in sorted(out)]
+
+
+TRICKY = ["a.b@c.d@e.f x@y-z.co. 1.2.3.4.5 300.1.1.1 000.01.1.255", "4111-1111 1111 1111 4111111111111111  4111111111111112 4111 1111 11111111 1", "+12(34).56-78 9 +1 +123456789012345678 é+33 1 23 45 67 89", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0", "x" * 5000 + "@a.b", "5500 0000-0000 0004, 99999999999999999999"]
+
+
+def test_base_entities(spark, texts):
+    rows = [*texts.items(), *[(10**6 + i, t) for i, t in enumerate(TRICKY)]]
+    got = pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii._listed(F.col("pii.base")).alias("s")).collect()
+    want = dict(rows)
+    assert all(r.s == ",".join(plain_spans(want[r.doc_id])) for r in got)
+
+
+def test_discovery_and_redaction(spark):
+    docs = [(i, f"write to mailbox u{i}@mail.org please") for i in range(8)] + [(50, "write to mailbox AB-99-4411-X now"), (51, "chapter 123456 of the book")]
+    out = pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string"))
+    spans = F.array_sort(F.concat("pii.base", "pii.extra"))
+    got = {r.doc_id: r.t for r in out.select("doc_id", pii.redacted(F.col("text"), spans).alias("t")).collect()}
+    assert got[3] == "write to mailbox [EMAIL] please" and got[50] == "write to mailbox [ID] now" and got[51] == docs[-1][1]
+
+
+def test_shards(spark, texts):
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    run = lambda seed: {r.doc_id: (r._shard, r._slot) for r in sharding.shuffle_to_shards(docs, shards=7, seed=seed).collect()}
+    a, b, c = run(1), run(1), run(2)
+    assert a == b != c and set(a) == set(texts)
+    for k in range(7):
+        slots = sorted(s for h, s in a.values() if h == k)
+        assert slots == list(range(len(slots))) and abs(len(slots) - len(texts) / 7) < 1
+
+
+def plain_walk(text):
+    """The embedding step by step, for one text."""
+    codes = [((ord(ch) * 0x9E3779B1) >> 13) & (E.CLASSES - 1) for ch in text] + [E.CLASSES]
+    level = E._level(np.arange(E.STEPS_PER_CHAR * len(text) + 1))
+    out, at = [], 0
+    for j in range(E.STEPS_PER_CHAR * len(text)):
+        if level[j] >= E.thinning(len(text)):
+            out.append(int(E._NIBBLE[codes[at]]))
+        at += int(E._MOVES[j % E.PERIOD][codes[at]])
+    return out
+
+
+def test_walk_equals_the_plain_one():
+    texts = ["", "a", "ab", "some longer text, é😀", "x" * 400, "".join(chr(97 + i * i % 26) for i in range(1500))]
+    assert [w.tolist() for w in E.walk(texts)] == [plain_walk(t) for t in texts]
+
+
+def test_edited_texts_and_likeness(spark):
+    rows = E.op6_fingerprint(spark, SF01).collect()
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{SF01}/documents.parquet'").fetchall())
+    order = sorted(texts, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1]))
+    by_text = {}
+    for r in rows:
+        t = texts[r.doc_id]
+        k = len(t) // 3
+        edited = t[: len(t) - k] + texts[after[r.doc_id]][:k]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert by_text.setdefault(t, r.fingerprint) == r.fingerprint and 0 <= r.near_next <= 1
+    assert len(rows) == len(texts) and np.mean([r.near_edited > r.near_next for r in rows]) > 0.97
+
+
+def test_few_edits_keep_the_fingerprint_alike():
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("abcdefghij "), 3000))
+    near = text[:1000] + "XYZ" + text[1001:2000] + text[2003:]
+    other = "".join(rng.choice(list("abcdefghij "), 3000))
+    a, b, c = ((len(t), n) for t, n in zip((text, near, other), E.walk([text, near, other])))
+    assert E.likeness(a, b) > 0.8 > 0.3 > E.likeness(a, c) and E.likeness(a, a) == 1
+
+
+def test_alike_groups(spark, texts):
+    docs = [(1, "the same words again and again " * 20), (2, "the same words again and again " * 20), (3, "the same words again and again " * 19 + "the same words again and agaim "), (4, "quite other content here, nothing shared " * 15)]
+    prints = E.edit_fingerprints(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "fingerprint")
+    got = {r.doc_id: r.near_id for r in prints.join(E.alike_groups(prints), "fingerprint").collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+@pytest.fixture(scope="module")
+def plain_encoding():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_encoding_equals_the_library(spark, texts, plain_encoding):
+    rows = [*texts.items(), *[(10**6 + n, t) for n, (_, t) in enumerate(ROWS) if t and len(t) < 100_000], (10**7, "".join(map(chr, [*range(1, 0x3000, 3), 0x85, 0x1C, 0x2028, 0x1F600])))]
+    got = bpe.round_trip(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    want = dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.ids == plain_encoding.encode_ordinary(want[r.doc_id]) and bytes(r.decoded) == want[r.doc_id].encode()
+
+
+def test_decode(spark):
+    df = spark.createDataFrame([([0, 1, 2],), ([],), (None,)], "ids array<int>")
+    t = bpe.token_bytes()
+    assert [None if r.decoded is None else bytes(r.decoded) for r in bpe.decode(df).collect()] == [t[0] + t[1] + t[2], b"", None]
+
+
+def test_pieces_and_sequences(spark, texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    rows = [*texts.items(), *[(10**6 + n, t) for n, (_, t) in enumerate(ROWS) if t and len(t) < 100_000]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packing.pack_pieces(packing.pieces_of(docs)).toPandas()
+    for doc, part in got.sort_values("piece").groupby("doc_id"):
+        ids = [*tokenizer.encode(dict(rows)[doc], add_special_tokens=False).ids, 0]
+        starts = [*part["start"], len(ids)]
+        assert starts[0] == 0 and (np.diff(starts) == part["length"]).all() and (part["length"][1:] == 2048).all() and (len(part) == 1 or len(ids) > 2048)
+        assert [zlib.crc32(np.array(ids[a:z], "<u4").tobytes()) for a, z in zip(starts, starts[1:])] == part["ids_crc32"].tolist()
+    for _, part in got.sort_values("offset").groupby("sequence_id"):
+        assert part["length"].sum() <= 2048 and part["offset"].tolist() == [0, *np.cumsum(part["length"])[:-1]]
+    assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 2048) + 2
+
+
+def test_local_search_beats_best_fit():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        sizes = rng.integers(1, 101, 80).tolist()
+        bins = packing.pack(sizes, 100)
+        fills = np.bincount(bins, sizes)
+        assert fills.max() <= 100 and sorted(set(bins)) == list(range(len(fills)))
+        assert len(fills) <= len(packing._best_fit(sizes, 100)) and len(fills) >= -(-sum(sizes) // 100)
+
+
+def test_repeated_words(spark):
+    rng = np.random.default_rng(6)
+    rows = [" ".join(rng.choice(list("abcd"), n)) for n in (0, 1, 2, 3, 4, 10, 60, 400)] + ["x y z q x y z", "a a a a"]
+
+    def plain(t):
+        w = t.split()
+        tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        return len({p for i, g in enumerate(tri) if tri.count(g) > 1 for p in (i, i + 1, i + 2)})
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").select("i", quality_rules.words_of(F.col("t")).alias("w")).select("i", quality_rules.repeated_words(F.col("w")).alias("n"))
+    assert {r.i: r.n for r in df.collect()} == {i: plain(t) for i, t in enumerate(rows)}
+
+
+def test_registered_queries_have_their_columns(spark):
+    assert table(spark).count() == len(ROWS)
+    names = {q.split("_")[0] for q in registry.QUERIES}
+    assert names == {f"op{n}" for n in range(1, 11)}
