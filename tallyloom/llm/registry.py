@@ -17,6 +17,8 @@ QUERIES: dict = {
     "op10_quality_classifier": quality_cnn.op10_quality_classifier,
 }
 ORACLE: dict = {
+    "op2_near_dedup": near_dedup.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
+    "op4_pii": pii.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
 }
