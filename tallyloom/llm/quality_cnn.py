@@ -2,7 +2,8 @@
 
 A document's UTF-8 bytes are cut into overlapping chunks that cover all of it. Bytes are embedded,
 learned filters slide over each chunk and are max-pooled there; the pooled vectors of all chunks
-are combined by their mean and their maximum into one probability. The network is fitted on the
+are combined by their mean and their maximum into one probability; how short the document is
+weighs in, since few windows pool to little. The network is fitted on the
 driver on a bounded sample of labelled documents, a bounded number of chunks each; scoring runs in
 Spark tasks over whole texts.
 """
@@ -32,7 +33,7 @@ class ByteCNN:
     embed: np.ndarray  #: 256 x EMBED; the row of byte 0, the padding, is zero
     filters: np.ndarray  #: WIDTH * EMBED x FILTERS
     bias: np.ndarray
-    out: np.ndarray  #: 2 * FILTERS weights: of the mean, then of the maximum over chunks
+    out: np.ndarray  #: weights of features()
     shift: float
 
     @staticmethod
@@ -41,7 +42,7 @@ class ByteCNN:
         embed = rng.normal(0, 0.5, (256, EMBED)).astype(np.float32)
         embed[0] = 0
         filters = rng.normal(0, 1 / np.sqrt(WIDTH * EMBED / 2), (WIDTH * EMBED, FILTERS)).astype(np.float32)
-        return ByteCNN(embed, filters, np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS, np.float32), 0.0)
+        return ByteCNN(embed, filters, np.zeros(FILTERS, np.float32), np.zeros(3 * FILTERS + 1, np.float32), 0.0)
 
     def windows(self, chunks: np.ndarray) -> np.ndarray:
         """Embedded windows of byte chunks: chunks x windows x (WIDTH * EMBED)."""
@@ -56,10 +57,19 @@ class ByteCNN:
         y = w.reshape(-1, w.shape[2]) @ self.filters
         return np.maximum(y.reshape(len(chunks), -1, FILTERS).max(axis=1) + self.bias, 0)
 
-    def probability(self, pooled: np.ndarray) -> float:
-        """Of a document by the pooled rows of all its chunks."""
-        x = np.concatenate([pooled.mean(axis=0), pooled.max(axis=0)])
-        return float(1 / (1 + np.exp(-np.clip(x @ self.out + self.shift, -30, 30))))
+    def probability(self, pooled: np.ndarray, n_bytes: int) -> float:
+        """Of a document by the pooled rows of all its chunks and its length."""
+        x = features(pooled.mean(axis=0)[None], pooled.max(axis=0)[None], np.array([shortness(n_bytes)]))
+        return float(1 / (1 + np.exp(-np.clip(x @ self.out + self.shift, -30, 30)))[0])
+
+
+def shortness(n_bytes: np.ndarray | int) -> np.ndarray | float:
+    return 1 / (1 + n_bytes / 128)
+
+
+def features(mean: np.ndarray, most: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Of documents: mean and maximum over chunks, the mean again as far as the document is short, and shortness."""
+    return np.concatenate([mean, most, mean * short[:, None], short[:, None]], axis=1)
 
 
 def chunked(text: str | None) -> np.ndarray:
@@ -80,7 +90,8 @@ def fit(docs: list[np.ndarray], marks: np.ndarray, seed: int = 11) -> ByteCNN:
     if not len(sides[0]) or not len(sides[1]):
         net.shift = 2.0 if len(sides[1]) or not len(marks) else -2.0
         return net
-    net.out[:] = rng.normal(0, 0.05, 2 * FILTERS)
+    net.out[:] = rng.normal(0, 0.05, len(net.out))
+    short = np.array([shortness(np.count_nonzero(d)) for d in docs])
     names = ["embed", "filters", "bias", "out"]
     moment = {k: [np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))] for k in names} | {"shift": [0.0, 0.0]}
     for step in range(1, STEPS + 1):
@@ -96,13 +107,14 @@ def fit(docs: list[np.ndarray], marks: np.ndarray, seed: int = 11) -> ByteCNN:
         starts = np.cumsum(counts) - counts
         mean = np.add.reduceat(pooled, starts) / counts[:, None]
         most = np.maximum.reduceat(pooled, starts)
-        x = np.concatenate([mean, most], axis=1)
+        x = features(mean, most, short[pick])
         p = 1 / (1 + np.exp(-np.clip(x @ net.out + net.shift, -30, 30)))
         d = ((p - marks[pick]) / len(pick)).astype(np.float32)
         g_x = d[:, None] * net.out
         winner = pooled == most[owner]
         ties = np.add.reduceat(winner.astype(np.float32), starts)
-        g = g_x[owner, :FILTERS] / counts[owner][:, None] + g_x[owner, FILTERS:] * winner / ties[owner]
+        g_mean = g_x[:, :FILTERS] + g_x[:, 2 * FILTERS : -1] * short[pick][:, None]
+        g = g_mean[owner] / counts[owner][:, None] + g_x[owner, FILTERS : 2 * FILTERS] * winner / ties[owner]
         g = np.where(z > 0, g, 0).astype(np.float32)
         picked = w[np.arange(len(chunks))[:, None], top]  # chunks x FILTERS x window
         grads = {
@@ -156,20 +168,21 @@ def score_quality(docs: DataFrame, net: ByteCNN, text_col: str = "text") -> Data
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         out: list[float] = []
-        waiting, sizes = [], []
+        waiting, sizes, lengths = [], [], []
 
         def flush() -> None:
             if sizes:
                 rows = np.concatenate(waiting)
                 pooled = np.concatenate([net.pooled(rows[a : a + BLOCK_CHUNKS]) for a in range(0, len(rows), BLOCK_CHUNKS)])
-                out.extend(net.probability(p) for p in np.split(pooled, np.cumsum(sizes)[:-1]))
-                waiting.clear()
-                sizes.clear()
+                out.extend(net.probability(p, n) for p, n in zip(np.split(pooled, np.cumsum(sizes)[:-1]), lengths))
+                for x in (waiting, sizes, lengths):
+                    x.clear()
 
         for t in texts:
             c = chunked(t)
             waiting.append(c)
             sizes.append(len(c))
+            lengths.append(np.count_nonzero(c))
             if sum(sizes) >= BLOCK_CHUNKS:
                 flush()
         flush()
