@@ -99,7 +99,7 @@ def test_marked_page(spark):
 
 
 def test_pushed_json_in_two_pieces(spark):
-    whole = json.dumps({"x": 1, "parties": [{"partie": 1, "sujets": [{"tache": 2, "text": 'say "]" é'}, {"tache": 9, "text": "no"}, {"tache": 2, "text": "second"}]}, {"partie": 2, "sujets": [{"tache": 3, "text": "third"}]}]}, ensure_ascii=False)
+    whole = json.dumps({"x": 1, "parties": [{"partie": 1, "sujets": [{"tache": 2, "text": 'say "]" é'}, {"tache": 9, "text": "no"}, {"tache": 2, "text": "second"}]}, {"partie": 2, "sujets": [{"tache": 3, "text": "third"}]}]}, ensure_ascii=False, separators=(",", ":"))
     calls = "".join(f"<script>self.__next.push([1,{json.dumps(part)}])</script>" for part in (whole[:40], whole[40:]))
     pages = spark.createDataFrame([(1, calls), (2, "<p>none</p>")], "page_id long, html string")
     cut = H.bracket_slice(H.pushed_payload(F.col("html")), F.lit("parties"))
