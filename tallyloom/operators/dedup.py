@@ -33,10 +33,11 @@ def canonical_order(strategy: str = "latest") -> Column:
 def term_weights(docs: DataFrame, ngram: int = 2) -> DataFrame:
     """`(id, tache, term, df, w)`: unit vectors of sublinear tf and smoothed idf. Terms of one document go after the norm is taken.
 
-    `docs` is `(id, tache, text)`.
+    `docs` is `(id, tache, text)`. A term is known by its 64-bit hash, which halves what is shuffled.
     """
     words = docs.select("id", "tache", T.word_tokens(F.col("text")).alias("w"))
     terms = words.select("id", "tache", F.explode(T.ngrams(F.col("w"), ngram)).alias("term"))
+    terms = terms.select("id", "tache", F.xxhash64("term").alias("term"))
     tf = materialize(terms.groupBy("id", "tache", "term").agg(F.count("*").alias("c")), "tf")
     n = docs.count()
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
@@ -55,6 +56,9 @@ def cosine_pairs(vectors: DataFrame, threshold: float) -> DataFrame:
     over all their terms.
     """
     vectors = materialize(vectors, "vectors")
+    # A document whose shared terms weigh less than the threshold in all has no partner.
+    heavy = vectors.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("m")).filter(F.sqrt("m") >= threshold - 1e-9).select("id")
+    vectors = materialize(vectors.join(heavy, "id", "left_semi"), "heavy")
     order = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tail = F.sqrt(F.sum(F.col("w") * F.col("w")).over(order))
     prefix = vectors.withColumn("tail", tail).filter(F.col("tail") >= threshold - 1e-9).select("id", "tache", "term")
