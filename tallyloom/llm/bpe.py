@@ -1,18 +1,22 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle (operator 9).
 
-1. Texts are cut into pre-tokens, in blocks of some megabytes of text. A block gives one row for
-   each distinct pre-token with all its positions in the block, delta-coded; so what is shuffled
-   grows with distinct words and not with occurrences, and a word of every second position is one
-   row like any other.
-2. All distinct pre-tokens of the corpus are shuffled together and each is encoded once.
-3. Their ids are joined back to the blocks' rows, and each block is reassembled by position.
-
+1. Texts are cut into pre-tokens, in blocks of some megabytes of text. In a block every distinct
+   pre-token has a code, common ones the small codes; the positions of all pre-tokens are the
+   sequence of their codes, which waits at its block.
+2. The distinct pre-tokens of all blocks are shuffled together by a hash, packed in one row for
+   each block and hash bucket, and each is encoded once. What is shuffled grows with distinct
+   words; a word of every second position is one word like any other.
+3. The ids are joined back to their blocks and each block is reassembled by position.
+
+Blocks are cut twice, once for their words and once for their positions, which costs less disk
+than keeping one of them; both find the same codes, since a partition of files is read alike.
 Decoding looks every id up in the token-byte table, which has the size of the vocabulary.
 """
 
 from __future__ import annotations
 
 import base64
+import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -21,15 +25,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.llm.common import bounded_batches, documents
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BLOCK_BYTES = 16 << 20
-ROWS = "_block long, _word binary, _at binary"
-_HEAD = b"\xff"  #: begins the one row of a block that lists its documents; no UTF-8 text begins so
+BUCKETS_PER_PARTITION = 8
+_BREAK = b"\xff"  #: between packed words; no UTF-8 text has this byte
+ROW = "_block long, _bucket int, _codes binary, _words binary, _ids binary"
 
 
 @lru_cache(2)
@@ -75,86 +79,109 @@ def _from_varints(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, end
 
 
-def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
-
-
-def _block(number: int, ids: list, texts: list[str]) -> pa.RecordBatch:
-    """The rows of one block: its head, then a row for each distinct pre-token."""
-    codes: dict[str, int] = defaultdict()
-    codes.default_factory = codes.__len__
-    cut = _pattern().findall
-    parts = [np.fromiter(map(codes.__getitem__, found), np.int64, len(found)) for found in map(cut, texts)]
-    lengths = np.array([len(p) for p in parts], np.int64)
-    flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
-    order = np.argsort(flat, kind="stable")
-    first = np.ones(len(flat), bool)
-    first[1:] = np.diff(flat[order]) != 0
-    gaps = np.diff(order, prepend=0)
-    gaps[first] = order[first]
-    raw, size = _varints(gaps)
-    starts = np.flatnonzero(first)
-    sizes = np.add.reduceat(size, starts) if len(starts) else np.empty(0, np.int64)
-    null = np.array([i is None for i in ids], np.int64)
-    head = np.stack([null, np.array([i or 0 for i in ids], np.int64), lengths]).tobytes()
-    words = pa.array([_HEAD + number.to_bytes(8, "big"), *(w.encode("utf-8", "surrogatepass") for w in codes)], pa.binary())
-    at = _binary(np.concatenate([np.frombuffer(head, np.uint8), raw]), np.concatenate([[len(head)], sizes]))
-    return pa.record_batch([pa.array(np.full(len(words), number, np.int64)), words, at], ["_block", "_word", "_at"])
-
-
-def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks are numbered by partition and order in it, which a repeated task finds alike."""
-    number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
-    for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            ids.append(i)
-            texts.append(t or "")
-            size += len(texts[-1]) + 64
-            if size >= BLOCK_BYTES:
-                yield _block(number, ids, texts)
-                number, ids, texts, size = number + 1, [], [], 0
-    if ids:
-        yield _block(number, ids, texts)
+class _Block:
+    """Documents of one block: their ids, and their pre-tokens as codes, common ones small."""
+
+    def __init__(self, number: int, ids: list, texts: list[str]):
+        found: dict[str, int] = defaultdict()
+        found.default_factory = found.__len__
+        cut = _pattern().findall
+        parts = [np.fromiter(map(found.__getitem__, p), np.int64, len(p)) for p in map(cut, texts)]
+        self.number, self.ids, self.lengths = number, ids, np.array([len(p) for p in parts], np.int64)
+        flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
+        order = np.argsort(-np.bincount(flat, minlength=len(found)), kind="stable")
+        rank = np.empty(len(found), np.int64)
+        rank[order] = np.arange(len(found))
+        self.codes = rank[flat]
+        spelled = list(found)
+        self.words = [spelled[k].encode("utf-8", "surrogatepass") for k in order.tolist()]
+
+    def word_rows(self, buckets: int) -> pa.RecordBatch:
+        """A row for each bucket: the codes, delta-coded, and the words."""
+        home = np.array([zlib.crc32(w) % buckets for w in self.words], np.int64)
+        order = np.argsort(home, kind="stable")
+        cuts = np.flatnonzero(np.diff(home[order], prepend=-1))
+        groups = np.split(order, cuts[1:]) if len(order) else []
+        codes = [_varints(np.diff(g, prepend=0))[0].tobytes() for g in groups]
+        words = [_BREAK.join([self.words[k] for k in g.tolist()]) for g in groups]
+        n = len(groups)
+        return pa.record_batch([pa.array([self.number] * n, pa.int64()), pa.array([int(home[g[0]]) for g in groups], pa.int32()), pa.array(codes, pa.binary()), pa.array(words, pa.binary()), pa.nulls(n, pa.binary())], _NAMES)
+
+    def position_row(self, _: int) -> pa.RecordBatch:
+        """One row, without bucket: ids and lengths of the documents, and all codes in order."""
+        head = np.stack([np.array([i is None for i in self.ids], np.int64), np.array([i or 0 for i in self.ids], np.int64), self.lengths])
+        return pa.record_batch([pa.array([self.number], pa.int64()), pa.nulls(1, pa.int32()), pa.array([_varints(self.codes)[0].tobytes()]), pa.array([head.tobytes()]), pa.nulls(1, pa.binary())], _NAMES)
+
+
+_NAMES = ["_block", "_bucket", "_codes", "_words", "_ids"]
+
+
+def _cut(rows_of, buckets: int):
+    """Blocks are numbered by partition of the input (third column) and order in it, which a repeated task finds alike."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, ids, texts, size = 0, [], [], 0
+        for b in batches:
+            number = number or b.column(2)[0].as_py() << 32
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ids.append(i)
+                texts.append(t or "")
+                size += len(texts[-1]) + 64
+                if size >= BLOCK_BYTES:
+                    yield rows_of(_Block(number, ids, texts), buckets)
+                    number, ids, texts, size = number + 1, [], [], 0
+        if ids:
+            yield rows_of(_Block(number, ids, texts), buckets)
+
+    return run
+
+
+def _encode_bucket(table: pa.Table) -> pa.Table:
+    """Encodes the distinct words of one bucket, each once, and gives every block's row its ids: sizes, then ids."""
+    one, known, out = encoding()._encode_single_piece, {}, []
+    for packed in table.column("_words").to_pylist():
+        sizes, ids = [], []
+        for w in packed.split(_BREAK):
+            v = known.get(w)
+            if v is None:
+                v = known[w] = np.array(one(w), "<u4")
+            sizes.append(len(v))
+            ids.append(v)
+        raw, _ = _varints(np.array(sizes, np.int64))
+        out.append(np.uint32(len(raw)).tobytes() + raw.tobytes() + _varints(np.concatenate(ids).astype(np.int64))[0].tobytes())
+    n = len(out)
+    return pa.table([table.column("_block"), table.column("_bucket"), table.column("_codes"), pa.nulls(n, pa.binary()), pa.array(out, pa.binary())], _NAMES)
 
 
 def _reassemble(table: pa.Table) -> pa.Table:
     """The documents of one block: ids and decoded bytes, by position."""
-    table = table.combine_chunks()
-    words, at, ids = (table.column(c).combine_chunks() if table.num_rows else table.column(c) for c in ("_word", "_at", "_ids"))
-    heads = [i for i, w in enumerate(words.to_pylist()) if w[:1] == _HEAD]
-    (h,) = heads
-    null, doc_ids, lengths = np.frombuffer(at[h].as_py(), np.int64).reshape(3, -1)
-    offsets = np.frombuffer(at.buffers()[1], np.int32)[at.offset : at.offset + len(at) + 1].astype(np.int64)
-    rows = np.array([i for i in range(len(words)) if i != h], np.int64)
-    raw = np.frombuffer(at.buffers()[2] or b"", np.uint8)
-    keep = np.ones(len(raw), bool)
-    keep[: offsets[0]] = False
-    keep[offsets[-1] :] = False
-    keep[offsets[h] : offsets[h + 1]] = False
-    sizes = np.diff(offsets)[rows]
-    numbers, ends = _from_varints(raw[keep])
-    last = np.searchsorted(ends, np.cumsum(sizes))  # the last number of each row
-    counts = np.diff(last, prepend=-1)
-    begin = np.cumsum(counts) - counts
-    total = np.cumsum(numbers)
-    base = total[begin] - numbers[begin] if len(begin) else begin
-    position = total - np.repeat(base, counts)
-    code = np.empty(len(position), np.int64)
-    code[position] = np.repeat(rows, counts)
-    table_bytes = token_bytes()
-    lists = [np.frombuffer(x, "<u4") if x is not None else np.empty(0, "<u4") for x in ids.to_pylist()]
-    spelled = [b"".join(map(table_bytes.__getitem__, x.tolist())) for x in lists]
+    codes, sizes, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    null = doc_ids = lengths = seq = np.empty(0, np.int64)
+    for bucket, c, w, packed in zip(*(table.column(k).to_pylist() for k in _NAMES[1:])):
+        numbers, _ = _from_varints(np.frombuffer(c, np.uint8))
+        if bucket is None:
+            seq = numbers
+            null, doc_ids, lengths = np.frombuffer(w, np.int64).reshape(3, -1)
+            continue
+        at = 4 + int(np.frombuffer(packed[:4], np.uint32)[0])
+        codes.append(np.cumsum(numbers))
+        sizes.append(_from_varints(np.frombuffer(packed[4:at], np.uint8))[0])
+        ids.append(_from_varints(np.frombuffer(packed[at:], np.uint8))[0])
+    codes, sizes, ids = map(np.concatenate, (codes, sizes, ids))
+    begin = np.empty(len(codes), np.int64)
+    begin[codes] = np.cumsum(sizes) - sizes
+    count = np.empty(len(codes), np.int64)
+    count[codes] = sizes
+    spell = token_bytes()
+    pieces = [spell[i] for i in ids.tolist()]
+    words = [b"".join(pieces[a : a + n]) for a, n in zip(begin.tolist(), count.tolist())]
     bounds = np.concatenate([[0], np.cumsum(lengths)])
-    out_ids, out_bytes = [], []
-    for a, b in zip(bounds, bounds[1:]):
-        part = code[a:b].tolist()
-        out_ids.append(np.concatenate([lists[c] for c in part]).astype(np.int32) if part else np.empty(0, np.int32))
-        out_bytes.append(b"".join([spelled[c] for c in part]))
-    flat = np.concatenate(out_ids) if out_ids else np.empty(0, np.int32)
-    id_offsets = np.concatenate([[0], np.cumsum([len(x) for x in out_ids])]).astype(np.int32)
+    per = count[seq]
+    ends = np.concatenate([[0], np.cumsum(per)])
+    flat = ids[np.repeat(begin[seq] - ends[:-1], per) + np.arange(ends[-1])].astype(np.int32)
+    texts = [b"".join([words[c] for c in seq[a:b].tolist()]) for a, b in zip(bounds, bounds[1:])]
     doc = pa.array(doc_ids, pa.int64(), mask=null.astype(bool))
-    return pa.table([doc, pa.ListArray.from_arrays(pa.array(id_offsets), pa.array(flat)), pa.array(out_bytes, pa.binary())], ["doc_id", "ids", "decoded"])
+    return pa.table([doc, pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(flat)), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
 
 @lru_cache(1)
@@ -168,24 +195,20 @@ def token_bytes(path: str = RANKS) -> list[bytes]:
     return out
 
 
-def _encode_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    one = encoding()._encode_single_piece
-    for b in batches:
-        words = b.column(0)
-        coded = [None if w[:1] == _HEAD else np.array(one(w), "<u4").tobytes() for w in words.to_pylist()]
-        yield pa.record_batch([words, pa.array(coded, pa.binary())], ["_word", "_ids"])
-
-
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, ids, decoded)`: each text's token ids, and the bytes these ids decode to.
 
-    A null text counts as empty: no ids, no bytes. Null ids stay null; repeated rows each give a
+    `docs` is read twice and must come in the same partitions and order both times, as a table of
+    files does; write other inputs first. A null text counts as empty: no ids, no bytes. Null ids stay null; repeated rows each give a
     row. Other columns are ignored, whatever their names.
     """
-    bounded_batches(docs.sparkSession)
-    blocks = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_blocks, ROWS)
-    words = blocks.select("_word").filter(F.substring("_word", 1, 1) != F.lit(_HEAD)).distinct().mapInArrow(_encode_words, "_word binary, _ids binary")
-    return blocks.join(words, "_word", "left").groupBy("_block").applyInArrow(_reassemble, "doc_id long, ids array<int>, decoded binary")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.spark_partition_id().cast("long") + 1).alias("part"))
+    words = rows.mapInArrow(_cut(_Block.word_rows, buckets), ROW).groupBy("_bucket").applyInArrow(_encode_bucket, ROW)
+    positions = rows.mapInArrow(_cut(_Block.position_row, buckets), ROW)
+    return words.unionByName(positions).groupBy("_block").applyInArrow(_reassemble, "doc_id long, ids array<int>, decoded binary")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
