@@ -10,7 +10,11 @@
    region all pairs are candidates. A larger one is cut deeper, hash by hash, until its parts are
    small; besides, every row is paired with its neighbours of longest common prefix.
 4. Candidates are confirmed on the full shingle sets, in two rounds: the closest neighbours first,
-   then those pairs that aren't yet connected. Components of the confirmed links are the groups.
+   then those pairs that aren't yet connected.
+5. What the orders missed is found by an exact prefix filter: in an order of shingles that is the
+   same for all texts, rare ones first, two similar texts share a shingle among their first ones.
+   Texts that do and aren't yet connected are confirmed too. Components of all confirmed links are
+   the groups.
 """
 
 from __future__ import annotations
@@ -32,6 +36,10 @@ DEPTH = 8  #: hashes of a sort key, the deepest cut
 REGION = 8  #: rows of a region within which all pairs are candidates
 NEIGHBOURS = 3  #: on the sorted order, in regions of any size
 FIRST_ROUND_TREES = 6
+SAMPLE = 6_000  #: documents from which the shingles' frequencies are estimated; they only set the order
+FREQUENT = 4  #: documents of a full sample that make a shingle frequent
+BITS = 2048  #: of a set's parity bitmap
+SIZE_STEP = 1.04  #: sizes of sets within this ratio share a bucket of the prefix filter
 CACHE = 400_000  #: distinct words whose hashes a task remembers
 
 _rng = np.random.default_rng(20240501)
@@ -83,8 +91,13 @@ def signature(hashes: np.ndarray) -> bytes:
     return least.astype(">u4").tobytes()
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """A bitmap in which each shingle flips a bit: two sets differ in as many shingles at least as their bitmaps in bits."""
+    return np.packbits(np.bincount((hashes >> np.uint64(53)).astype(np.int64), minlength=BITS) & 1).tobytes()
+
+
 def profiles(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`(id, n_shingles, digest, sig)` per row; digest and sig are null for empty sets."""
+    """`(id, n_shingles, digest, sig, bits)` per row; the last three are null for empty sets."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _WordHashes()
@@ -92,10 +105,10 @@ def profiles(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
             rows = []
             for i, t in zip(b["id"], b["text"]):
                 h = shingle_hashes(t, words, known)
-                rows.append((i, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None, signature(h) if len(h) else None))
-            yield pd.DataFrame(rows, columns=["id", "n_shingles", "digest", "sig"]).astype({"id": "Int64"})
+                rows.append((i, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None, signature(h) if len(h) else None, parity(h) if len(h) else None))
+            yield pd.DataFrame(rows, columns=["id", "n_shingles", "digest", "sig", "bits"]).astype({"id": "Int64"})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n_shingles long, digest binary, sig binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n_shingles long, digest binary, sig binary, bits binary")
 
 
 def _region_pairs(keys: np.ndarray, lo: int, hi: int, out: set[tuple[int, int]]) -> None:
@@ -192,6 +205,119 @@ def confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return with_a.filter(linked("set_a", "set_b")).select("a", "b").distinct()
 
 
+def frequent_shingles(base: DataFrame, n_rows: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the shingles that many of about SAMPLE documents `(doc_id, text)` have."""
+    share = min(1.0, SAMPLE / max(1, n_rows))
+    some = base.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else base
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _WordHashes()
+        for b in batches:
+            if len(b):
+                found, n = np.unique(np.concatenate([shingle_hashes(t, words, known) for t in b["text"]]), return_counts=True)
+                yield pd.DataFrame({"shingle": found.view(np.int64), "n": n})
+
+    least = max(2, round(FREQUENT * min(n_rows, SAMPLE) / SAMPLE))
+    found = some.select("text").mapInPandas(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("count")).filter(F.col("count") >= least).toPandas()
+    hashes = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], found["count"].to_numpy(np.int64)[order]
+
+
+def prefixes(docs: DataFrame, words: int, num: int, den: int, hashes: np.ndarray, counts: np.ndarray) -> DataFrame:
+    """`(id, n, at, shingle)`: the first shingles of each set of `(doc_id, text)`, by frequency, then hash.
+
+    A partner with den * intersection >= num * union has den * intersection >= num * n, so it has one of them.
+    """
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _WordHashes()
+        for b in batches:
+            first, sizes = [], []
+            for t in b["text"]:
+                h = shingle_hashes(t, words, known)
+                sizes.append(len(h))
+                if len(hashes) and len(h):
+                    at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+                    h = h[np.argsort(np.where(hashes[at] == h, counts[at], 0), kind="stable")]
+                first.append(h[: len(h) - -(-num * len(h) // den) + 1])
+            long = [len(f) for f in first]
+            rows = {"id": np.repeat(b["doc_id"].to_numpy(np.int64), long), "n": np.repeat(np.array(sizes, np.int32), long)}
+            at = np.concatenate([np.arange(k) for k in long]) if long else np.empty(0, np.int64)
+            shingle = np.concatenate(first).view(np.int64) if first else np.empty(0, np.int64)
+            yield pd.DataFrame(rows | {"at": at.astype(np.int32), "shingle": shingle})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "id long, n int, at int, shingle long")
+
+
+def prefix_candidates(rows: DataFrame, comps: DataFrame, num: int, den: int) -> DataFrame:
+    """`(a, b, x, y, bound)` of all pairs a < b in different components x, y that may be similar.
+
+    `rows` are prefixes(), `comps` has `(id, comp)` of those that count.
+
+    The pair's first common shingle leaves min(n - at) of both for their intersection, which must
+    reach num / (num + den) of the summed sizes; that bounds the smaller set's places and, by
+    buckets of size, the partners of each row. In a bucket the largest component's members only
+    meet the others', so a connected group of any size makes no pairs with itself.
+    """
+    rows = materialize(rows, "prefixes")
+    several = lambda of, by: of.groupBy("shingle").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).filter("lo <> hi").select("shingle")
+    rows = materialize(rows.join(materialize(several(rows, "id"), "shared"), "shingle").join(comps, "id"), "shared_prefixes")
+    rows = materialize(rows.join(materialize(several(rows, "comp"), "shared"), "shingle").select("shingle", "id", "comp", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at")), "shared_prefixes")
+    step = float(np.log(SIZE_STEP))
+    bucket = lambda n: F.floor(F.log(n) / step)
+    room = F.col("n") - F.col("at")
+    small = rows.filter((num + den) * room >= 2 * num * F.col("n")).withColumn("size", bucket(F.col("n")))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * num / den))
+    most = F.least(F.col("n"), F.floor((num + den) * room / num) - F.col("n"))
+    large = rows.withColumn("least", least).withColumn("most", most).filter("least <= most")
+    large = large.withColumn("size", F.explode(F.sequence(bucket(F.col("least")), bucket(F.col("most"))))).drop("least", "most")
+    both = small.select("shingle", "size", "comp").unionByName(large.select("shingle", "size", "comp"))
+    hubs = both.groupBy("shingle", "size", "comp").agg(F.count("*").alias("k")).groupBy("shingle", "size").agg(F.max_by("comp", "k").alias("hub"), F.count("*").alias("comps"))
+    hubs = materialize(hubs.filter("comps > 1").select("shingle", "size", "hub"), "hubs")
+    small = materialize(small.join(hubs, ["shingle", "size"]), "small").alias("s")
+    large = materialize(large.join(hubs, ["shingle", "size"]), "large").alias("l")
+    fits = F.expr(f"s.shingle = l.shingle and s.size = l.size and s.comp <> l.comp and (s.n < l.n or s.n = l.n and s.id < l.id) and {num + den} * least(s.n - s.at, l.n - l.at) >= {num} * (s.n + l.n)")
+    out = [F.least("s.id", "l.id").alias("a"), F.greatest("s.id", "l.id").alias("b"), F.least("s.comp", "l.comp").alias("x"), F.greatest("s.comp", "l.comp").alias("y"), F.least(F.expr("s.n - s.at"), F.expr("l.n - l.at")).alias("bound")]
+    met = small.filter("comp <> hub").alias("s").join(large, fits).select(*out)
+    met = met.unionByName(small.filter("comp = hub").alias("s").join(large.filter("comp <> hub").alias("l"), fits).select(*out))
+    return met.groupBy("a", "b", "x", "y").agg(F.max("bound").alias("bound"))
+
+
+def not_too_different(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose bitmaps don't rule out den * intersection >= num * union."""
+    ones = np.array([bin(i).count("1") for i in range(256)], np.int64)
+
+    @F.pandas_udf("boolean")
+    def possible(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=bool)
+        apart = ones[np.frombuffer(b"".join(x), np.uint8) ^ np.frombuffer(b"".join(y), np.uint8)].reshape(len(x), -1).sum(axis=1)
+        both = (n.to_numpy() - apart) // 2
+        return pd.Series(den * both >= num * (n.to_numpy() - both))
+
+    of = lambda c: classes.select(F.col("id").alias(c), F.col("bits").alias(f"{c}_bits"), F.col("n").alias(f"{c}_n"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(possible("a_bits", "b_bits", F.col("a_n") + F.col("b_n"))).select(*pairs.columns).distinct()
+
+
+def missed_links(base: DataFrame, classes: DataFrame, groups: DataFrame, n_rows: int, words: int, num: int, den: int) -> DataFrame:
+    """Links `(a, b)` that connect what is still apart in `groups`, so that with them no similar pair is apart."""
+    comps = classes.select("id").distinct().join(groups, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
+    hashes, counts = frequent_shingles(base, n_rows, words)
+    pairs = prefix_candidates(prefixes(base.filter("doc_id is not null"), words, num, den, hashes, counts), comps, num, den)
+    pairs = materialize(not_too_different(materialize(pairs, "met"), classes, num, den), "prefix_pairs")
+    involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
+    sets = materialize(shingle_sets(base.join(involved, "doc_id", "left_semi"), words), "sets")
+    # One pair of each two components first: where that links them, the others needn't be looked at.
+    best = pairs.groupBy("x", "y").agg(F.max_by(F.struct("a", "b"), "bound").alias("p")).select("p.a", "p.b")
+    links = materialize(confirmed(best, sets, num, den), "links")
+    joined = links.join(pairs.select("a", "b", "x", "y"), ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    near = materialize(connected_components(joined), "groups")
+    left = pairs.join(near.select(F.col("id").alias("x"), F.col("component").alias("p")), "x", "left").join(near.select(F.col("id").alias("y"), F.col("component").alias("q")), "y", "left")
+    left = left.filter("p is null or q is null or p <> q").select("a", "b")
+    return links.unionByName(materialize(confirmed(left, sets, num, den), "links"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, n_shingles, component_id, kept)` for every row of `docs`, under the name of `id_col`.
 
@@ -206,7 +332,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     seen = materialize(profiles(base, words), "profiles")
     usable = seen.filter("id is not null and digest is not null")
-    classes = materialize(usable.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("sig").alias("sig")), "classes")
+    classes = materialize(usable.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("sig").alias("sig"), F.any_value("bits").alias("bits"), F.any_value("n_shingles").alias("n")), "classes")
     pairs = materialize(forest_candidates(classes.select("id", "sig")), "candidates")
     involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "involved")
     sets = materialize(shingle_sets(base.join(involved, "doc_id", "left_semi"), words), "sets")
@@ -216,7 +342,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     left = left.join(near.select(F.col("id").alias("a"), F.col("component").alias("x")), "a", "left")
     left = left.join(near.select(F.col("id").alias("b"), F.col("component").alias("y")), "b", "left").filter("x is null or y is null or x <> y")
     more = materialize(confirmed(left.select("a", "b"), sets, num, den), "links")
-    groups = connected_components(links.unionByName(more))
+    links = links.unionByName(more)
+    groups = materialize(connected_components(links), "groups")
+    missed = missed_links(base, classes, groups, usable.count(), words, num, den)
+    groups = connected_components(links.unionByName(missed))
     by_digest = classes.select("digest", "id").join(groups, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     by_digest = materialize(by_digest, "components")
     out = seen.join(by_digest, "digest", "left").select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))

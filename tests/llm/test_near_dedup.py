@@ -63,6 +63,24 @@ def test_large_group_of_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
 
 
+def test_long_common_passage(spark):
+    """Texts that share 87 % with all others, a little below the threshold; some pairs share a little more."""
+    rng = random.Random(11)
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage, n = new(435), 2000
+    own = [new(65) for _ in range(n)]
+    for i in range(60):
+        own[n - 1 - 7 * i][-15:] = own[3 * i][-15:]
+    texts = [" ".join(passage + w) for w in own]
+    want = {i: i for i in range(n)} | {n - 1 - 7 * i: 3 * i for i in range(60)}
+    sets = sets_of(texts, 5)
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    some = range(0, n, 40)
+    assert all(alike(i, c) for i, c in want.items()) and not any(alike(i, j) for i in some for j in range(n) if want[i] != want[j])
+    got = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), words=5, num=80)
+    assert {r.doc_id: r.component_id for r in got.collect()} == want
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 9), (2, "", 9), (3, " \n\t", 9), (4, "One two", 9), (5, "one TWO", 9), (None, "one two", 9), (6, "a b c d", 9), (6, "a b c d", 9), (7, "É b c d", 9), (8, "é b c d", 9), (9, "x " * 200_000, 9)]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, component_id long"), words=3, num=85).collect()
