@@ -1,9 +1,13 @@
 """Global shuffle into shards by a two-pass external shuffle (operator 5), in DataFrame functions only.
 
-Pass one scatters the records uniformly into memory-sized buckets by a seeded hash. Pass two
-permutes each bucket with `shuffle`, which is a seeded Fisher-Yates shuffle of an array, and lays
-the buckets end to end; position p of the whole goes to shard p mod n, slot p div n. Shards so
-differ by one row at most (the law `rows`), whatever the texts are.
+Pass one scatters the records uniformly into memory-sized buckets by a seeded hash, one bucket a
+partition. Pass two orders each bucket by another seeded hash, permutes it with `shuffle`, which is
+Fisher-Yates (inside out) on an array, and lays the buckets end to end; position p of the whole goes to shard
+p mod n, slot p div n. Shards so differ by one row at most (the law `rows`), whatever the texts are.
+
+`shuffle` draws from a generator that starts anew, with the seed and the partition's number, in
+every partition. As a partition is a bucket, its draws depend on seed, bucket and position alone: a
+record's place doesn't depend on how the input was partitioned, and a repeated task finds it again.
 """
 
 from __future__ import annotations
@@ -13,12 +17,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tallyloom.llm.common import documents
+from tallyloom.operators.materialize import materialize
 
 SHARDS = 40
 SEED = 20240717
-BUCKET_BYTES = 8 << 20
-MIN_BUCKETS = 64
-MAX_PARTITIONS = 20_000
+BUCKET_BYTES = 4 << 20  #: of a bucket, if that makes no more than FEW_BUCKETS
+FEW_BUCKETS = 4_000
+MOST_BYTES = 512 << 20  #: of a bucket, however large the input is; 100 TB make 195,000 buckets
+MIN_BUCKETS = 16
 
 
 def record_size(text: Column) -> Column:
@@ -26,28 +32,53 @@ def record_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 16
 
 
-def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bucket_count(size: int) -> int:
+    """How many buckets `size` bytes go to: of BUCKET_BYTES each, then FEW_BUCKETS that grow to MOST_BYTES, then of MOST_BYTES each."""
+    return max(MIN_BUCKETS, min(math.ceil(size / BUCKET_BYTES), FEW_BUCKETS), math.ceil(size / MOST_BYTES))
+
+
+def _numbered(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """`docs` with `_copy`: 0, but counted from 0 among rows that are equal in all `columns`.
+
+    Equal rows can't be told apart, so it doesn't matter which has which number. Such rows are
+    counted first, by hash; only where there are some, they are made anew from one row and its count.
+    """
+    key = F.struct(F.xxhash64(F.lit(1), *columns).alias("a"), F.xxhash64(F.lit(2), *columns).alias("b"))
+    counted = docs.groupBy(key.alias("_key")).agg(F.count("*").alias("_copies"))
+    repeated = materialize(counted.filter("_copies > 1"), "repeated_rows")
+    if repeated.isEmpty():
+        return docs.withColumn("_copy", F.lit(0).cast("long"))
+    keyed = docs.withColumn("_key", key)
+    once = keyed.join(repeated.select("_key"), "_key", "left_anti").select(*docs.columns, F.lit(0).cast("long").alias("_copy"))
+    some = keyed.join(repeated.select("_key"), "_key", "left_semi").groupBy("_key").agg(F.any_value(F.struct(*docs.columns)).alias("_row"))
+    many = some.join(repeated, "_key").select("_row.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)).alias("_copy"))
+    return once.unionByName(many)
+
+
+def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with `_shard` (int, from 0) and `_slot` (long, gapless from 0 in each shard).
 
-    A bucket holds `bucket_bytes` on average; records are spread by a hash of id and text, so equal
-    texts under different ids part. Null ids and texts are hashed like values; rows that repeat
-    both share a bucket. An empty table gives no rows. Other columns stay, whatever their names,
-    except that `_shard` and `_slot` are replaced.
+    The buckets are `buckets` or bucket_count() of the records' bytes. Records are spread by a hash
+    of all their columns but maps, so equal texts under different ids part, and rows that repeat in
+    all of them are numbered and part by their number. Nulls are hashed like values. The same rows,
+    seed and buckets give the same places under any partitioning. An empty table gives no rows.
+    Other columns stay, whatever their names, except that `_shard` and `_slot` are replaced.
     """
     docs = docs.drop("_shard", "_slot")
-    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(record_size(F.col(text_col))), F.lit(0))).first()
-    buckets = max(MIN_BUCKETS, math.ceil(size / bucket_bytes))
-    place = F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(buckets)).cast("int")
-    # Counts of buckets are a small table: one row for each 8 MB of records.
-    counts = docs.groupBy(place.alias("_bucket")).agg(F.count("*").alias("_n"))
-    offsets = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"))
-    record = F.struct(F.xxhash64(F.lit(seed + 1), id_col, text_col).alias("k"), F.struct(*[F.col(c) for c in docs.columns]).alias("r"))
-    scattered = docs.select(place.alias("_bucket"), record.alias("_x")).repartition(min(buckets, MAX_PARTITIONS), "_bucket")
-    # Sorting first makes the shuffle independent of the order in which records arrive.
-    by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
+    hashed = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    if buckets is None:
+        buckets = bucket_count(docs.agg(F.coalesce(F.sum(record_size(F.col(text_col))), F.lit(0))).first()[0])
+    numbered = _numbered(docs, hashed)
+    place = F.pmod(F.xxhash64(F.lit(seed), *hashed, "_copy"), F.lit(buckets)).cast("int")
+    # A row for each bucket: at most a few hundred thousand, so one task can add them up and all can hold them.
+    counts = numbered.groupBy(place.alias("_bucket")).agg(F.count("*").alias("_n"))
+    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    record = F.struct(F.xxhash64(F.lit(seed + 1), *hashed, "_copy").alias("k"), F.xxhash64(F.lit(seed + 2), *hashed, "_copy").alias("k2"), F.struct(*docs.columns).alias("r"))
+    scattered = numbered.select(place.alias("_bucket"), record.alias("_x")).repartitionById(buckets, "_bucket")
+    by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).when(a["k2"] < b["k2"], -1).when(a["k2"] > b["k2"], 1).otherwise(0)
     bucket = scattered.groupBy("_bucket").agg(F.collect_list("_x").alias("_xs"))
     bucket = bucket.select("_bucket", F.shuffle(F.array_sort("_xs", by_key), seed).alias("_xs"))
-    laid = bucket.join(offsets.hint("shuffle_hash"), "_bucket").select(F.coalesce("_before", F.lit(0)).alias("_before"), F.posexplode("_xs").alias("_at", "_x"))
+    laid = bucket.join(F.broadcast(offsets), "_bucket").select("_before", F.posexplode("_xs").alias("_at", "_x"))
     at = F.col("_before") + F.col("_at")
     return laid.select("_x.r.*", (at % shards).cast("int").alias("_shard"), F.floor(at / shards).cast("long").alias("_slot"))
 

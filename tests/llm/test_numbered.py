@@ -14,7 +14,7 @@ from oracle import connect, same
 from pyspark.sql import functions as F
 from tests_data import SF, SF01
 
-from tallyloom.llm import bpe, edit_fingerprint as E, line_dedup, packing, pii, quality_cnn, quality_rules, registry, sharding, toxicity
+from tallyloom.llm import bpe, edit_fingerprint as E, line_dedup, packing, pii, quality_cnn, quality_rules, registry, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -112,16 +112,6 @@ def test_discovery_and_redaction(spark):
     assert got[3] == "write to mailbox [EMAIL] please" and got[50] == "write to mailbox [ID] now" and got[51] == docs[-1][1]
 
 
-def test_shards(spark, texts):
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    run = lambda seed: {r.doc_id: (r._shard, r._slot) for r in sharding.shuffle_to_shards(docs, shards=7, seed=seed).collect()}
-    a, b, c = run(1), run(1), run(2)
-    assert a == b != c and set(a) == set(texts)
-    for k in range(7):
-        slots = sorted(s for h, s in a.values() if h == k)
-        assert slots == list(range(len(slots))) and abs(len(slots) - len(texts) / 7) < 1
-
-
 def plain_walk(text):
     """The embedding step by step, for one text."""
     codes = [((ord(ch) * 0x9E3779B1) >> 13) & (E.CLASSES - 1) for ch in text] + [E.CLASSES]
