@@ -1,159 +1,246 @@
 """Best-fit packing of documents into sequences by swap-based local search (operator 7).
 
-Documents are encoded and cut into pieces where they are. Pieces are dealt by a hash into groups
-of bounded size, so any number of them packs in parallel; a group wastes one sequence at most.
-In a group, best fit gives the start. Then the emptiest bins are dissolved: their pieces move into
-free room, or are exchanged for one or two smaller pieces of a fuller bin. Every such step makes
-the sum of squared fills larger, until a bin is empty or no step is left.
+Documents are encoded and cut into pieces where they are. Pieces are dealt at random into groups of
+bounded size, so any number of them packs in parallel; a group wastes one sequence at most. In a
+group, pieces are first laid into bins as they come, each into the first bin of the last few that
+has room. Local search does the packing: it takes the emptiest bin and moves its pieces into free
+room elsewhere, best fit first, or exchanges them for one or two smaller pieces of a fuller bin.
+Every such step makes the sum of squared fills larger, so the search ends: when no fewer bins are
+possible, or when every underfull bin has had its turn and none was emptied.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
-from bisect import bisect_left, insort
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm.bpe import encoding
 from tallyloom.llm.common import bounded_batches, documents
 from tallyloom.operators.materialize import materialize
 
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 CAPACITY = 2048
 END = 0  #: the id that ends every document
-GROUP_PIECES = 10_000
-MAX_STEPS = 20_000  #: of the local search in a group; each is one move or exchange
+GROUP_PIECES = 4_000
+OPEN_BINS = 50  #: of the first deal
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+BATCH_CHARS = 2_000_000  #: encoded at once
+REMEMBERED = 400_000  #: distinct pre-tokens
+
+
+@lru_cache(2)
+def tokenizer(path: str = TOKENIZER):
+    """The tokenizer of a json file, as it is; one thread, since Spark has a task for each core."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+class _Encoder:
+    """The tokenizer's ids of texts, as bytes of little-endian 32-bit numbers.
+
+    Texts are cut at the file's special strings, then into pre-tokens; the tokenizer encodes each
+    distinct one once, as long as it is remembered.
+    """
+
+    def __init__(self, path: str = TOKENIZER):
+        import regex
+
+        with open(path, encoding="utf-8") as f:
+            special = [t["content"] for t in json.load(f).get("added_tokens", [])]
+        whole = "|".join(map(regex.escape, sorted(special, key=len, reverse=True)))
+        self.cut = regex.compile(f"{whole}|(?:(?!{whole}).)+" if special else ".+", regex.DOTALL)
+        self.special = set(special)
+        self.words = regex.compile(public_tokenizers.PATTERN).findall
+        self.encode = tokenizer(path).encode_batch_fast
+        self.known: dict[str, bytes] = {}
+
+    def pieces(self, text: str) -> list[str]:
+        if not any(x in text for x in self.special):
+            return self.words(text)
+        return [w for part in self.cut.findall(text) for w in ([part] if part in self.special else self.words(part))]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, found = self.known, [self.pieces(t) for t in texts]
+        new = list(set().union(*found).difference(known))
+        known.update((w, array("I", e.ids).tobytes()) for w, e in zip(new, self.encode(new, add_special_tokens=False)))
+        return [b"".join([known[w] for w in f]) for f in found]
 
 
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, piece, start, length, ids_crc32[, ids])`: the documents' token ids, cut to the capacity.
 
     A document is its text's ids and then END; a null text counts as empty. Only documents longer
-    than the capacity are cut; their first piece takes what is left over, all others are full.
+    than the capacity are cut; their first piece takes what is left over, all others are full. Null
+    ids stay null, repeated rows each give their pieces, an empty table gives none, and other
+    columns are ignored, whatever their names.
     """
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding().encode_to_numpy
+        encode = _Encoder()
         for b in batches:
-            ids, out, blobs = b.column(0).to_pylist(), [], []
-            for i, t in zip(ids, b.column(1).to_pylist()):
-                tokens = np.append(encode(t or "", disallowed_special=()), END).astype("<u4")
-                n = len(tokens)
+            out, blobs = [], []
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            cuts = np.flatnonzero(np.diff(np.cumsum([len(t) for t in texts]) // BATCH_CHARS, prepend=0)).tolist()
+            found = [raw for x, y in zip([0, *cuts], [*cuts, len(texts)]) if x < y for raw in encode(texts[x:y])]
+            for i, whole in zip(b.column(0).to_pylist(), found):
+                whole += END.to_bytes(4, "little")
+                n = len(whole) // 4
                 first = n if n <= capacity else (n % capacity or capacity)
-                cuts = [0, *range(first, n + 1, capacity)]
-                for k, (a, z) in enumerate(zip(cuts, cuts[1:])):
-                    raw = tokens[a:z].tobytes()
-                    out.append((i, k, a, z - a, zlib.crc32(raw)))
-                    blobs.append(raw)
+                ends = [0, *range(first, n + 1, capacity)]
+                for k, (x, y) in enumerate(zip(ends, ends[1:])):
+                    raw = whole[4 * x : 4 * y]
+                    out.append((i, k, x, y - x, zlib.crc32(raw)))
+                    if with_ids:
+                        blobs.append(raw)
             cols = list(zip(*out)) or [()] * 5
             arrays = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                arrays, names = [*arrays, pa.array(blobs, pa.binary())], [*names, "ids"]
+                ends = np.cumsum([0, *map(len, blobs)]) // 4
+                ids = pa.array(np.frombuffer(b"".join(blobs), "<u4").astype(np.int32))
+                arrays, names = [*arrays, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), ids)], [*names, "ids"]
             yield pa.record_batch(arrays, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(run, PIECES + (", ids array<int>" if with_ids else ""))
 
 
-def _best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of piece indexes, largest pieces first, each into the fullest bin with room."""
+def first_deal(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Bins of piece indexes: pieces as they come, each into the oldest of the last OPEN_BINS bins that has room."""
     bins: list[list[int]] = []
-    room: list[tuple[int, int]] = []
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        at = bisect_left(room, (sizes[i], -1))
-        if at == len(room):
-            bins.append([i])
-            left, k = capacity - sizes[i], len(bins) - 1
+    open_: list[list[int]] = []  # room and bin
+    for i, s in enumerate(sizes):
+        for x in open_:
+            if x[0] >= s:
+                x[0] -= s
+                bins[x[1]].append(i)
+                break
         else:
-            left, k = room.pop(at)
-            bins[k].append(i)
-            left -= sizes[i]
-        if left:
-            insort(room, (left, k))
+            bins.append([i])
+            open_.append([capacity - s, len(bins) - 1])
+            if len(open_) > OPEN_BINS:
+                open_.pop(0)
     return bins
 
 
 class _Search:
-    """Local search on bins; dissolves the emptiest underfull bin again and again."""
+    """Local search on bins: empties the emptiest one again and again."""
 
     def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int):
         self.size = np.array(sizes, np.int64)
         self.capacity = capacity
+        self.bins = [set(b) for b in bins]
         self.bin = np.empty(len(sizes), np.int64)
         for k, b in enumerate(bins):
             self.bin[b] = k
         self.fill = np.bincount(self.bin, self.size, len(bins)).astype(np.int64)
-        self.steps = 0
-        #: Pairs of pieces of one bin, for exchanges of two for one; those whose pieces have moved are skipped.
-        pairs = [(i, j) for b in bins if 2 <= len(b) <= 12 for x, i in enumerate(b) for j in b[x + 1 :]]
-        self.pairs = np.array(pairs, np.int64).reshape(-1, 2)
+        self.steps = {"move": 0, "one": 0, "two": 0}
 
     def put(self, piece: int, to: int) -> None:
-        self.fill[self.bin[piece]] -= self.size[piece]
+        home = self.bin[piece]
+        self.bins[home].discard(piece)
+        self.bins[to].add(piece)
+        self.fill[home] -= self.size[piece]
         self.fill[to] += self.size[piece]
         self.bin[piece] = to
-        self.steps += 1
 
     def improve(self, piece: int, home: int) -> bool:
-        """One step that takes `piece` out of `home`; what comes back is smaller. False if there is none."""
-        s, room = self.size[piece], self.capacity - self.fill
-        room[(self.fill <= self.fill[home])] = -1  # only fuller bins gain, so squared fill grows
-        room[home] = -1
+        """One step that takes `piece` out of `home`; what comes back is smaller. False if there is none.
+
+        Only bins at least as full take part, so whatever one of them gains makes the squares larger.
+        No bin gains more than its room, so only the pieces of bins with room can be exchanged.
+        """
+        s = int(self.size[piece])
+        room = np.where(self.fill >= self.fill[home], self.capacity - self.fill, 0)
+        room[home] = 0
         fits = np.flatnonzero(room >= s)
         if len(fits):
             self.put(piece, int(fits[np.argmin(room[fits])]))
+            self.steps["move"] += 1
             return True
-        gain = s - self.size
-        free = room[self.bin]
-        one = np.where((gain > 0) & (gain <= free), gain, 0)
-        best = int(one.argmax()) if len(one) else 0
-        two_gain, pair = 0, None
-        if len(self.pairs):
-            a, b = self.pairs[:, 0], self.pairs[:, 1]
-            more = s - self.size[a] - self.size[b]
-            ok = (more > one[best]) & (more <= free[a]) & (self.bin[a] == self.bin[b])
-            if ok.any():
-                at = int(np.where(ok, more, 0).argmax())
-                two_gain, pair = int(more[at]), self.pairs[at]
-        if pair is not None and two_gain > one[best]:
-            to = int(self.bin[pair[0]])
-            for p in pair:
-                self.put(int(p), home)
-            self.put(piece, to)
-            return True
-        if one[best] > 0:
-            to = int(self.bin[best])
-            self.put(best, home)
+        at = np.flatnonzero(room[self.bin] > 0)
+        if not len(at):
+            return False
+        free = room[self.bin[at]]
+        gain = s - self.size[at]
+        gain[(gain > free) | (gain < 0)] = 0
+        best = int(gain.argmax())
+        if gain[best] > 0:
+            other = int(at[best])
+            to = int(self.bin[other])
+            self.put(other, home)
             self.put(piece, to)
+            self.steps["one"] += 1
             return True
-        return False
+        pair = self.best_pair(s, at, free)
+        if pair is None:
+            return False
+        to = int(self.bin[pair[0]])
+        for p in pair:
+            self.put(p, home)
+        self.put(piece, to)
+        self.steps["two"] += 1
+        return True
+
+    def best_pair(self, s: int, at: np.ndarray, free: np.ndarray) -> tuple[int, int] | None:
+        """Two pieces of one bin, among those `at`, whose exchange for one of size `s` gains most.
+
+        To each piece belongs the smallest partner in its bin that leaves room enough if both go.
+        """
+        wide = 2 * self.capacity
+        order = np.lexsort((self.size[at], self.bin[at]))
+        at, free = at[order], free[order]
+        size, bin_ = self.size[at], self.bin[at]
+        key = bin_ * wide + size
+        partner = np.searchsorted(key, bin_ * wide + np.maximum(s - free - size, 0))
+        partner += partner == np.arange(len(at))
+        found = partner < len(at)
+        partner[~found] = 0
+        gain = np.where(found & (bin_[partner] == bin_), s - size - size[partner], 0)
+        best = int(gain.argmax())
+        return (int(at[best]), int(at[partner[best]])) if gain[best] > 0 else None
 
     def run(self) -> None:
+        """Until the number of bins can't be less, or a round in which each underfull bin had its turn has emptied none."""
         least = -(-int(self.size.sum()) // self.capacity)
-        stuck: set[int] = set()
-        while self.steps < MAX_STEPS and (self.fill > 0).sum() > least:
-            open_bins = [k for k in np.argsort(self.fill, kind="stable") if 0 < self.fill[k] < self.capacity and int(k) not in stuck]
-            if len(open_bins) < 2:
-                return
-            home, moved = int(open_bins[0]), True
-            while moved and self.fill[home] > 0 and self.steps < MAX_STEPS:
-                moved = any(self.improve(int(p), home) for p in sorted(np.flatnonzero(self.bin == home), key=lambda p: -self.size[p]))
-            if self.fill[home] > 0:
-                stuck.add(home)
-                if len(stuck) >= 200:
-                    return
+        used, before = len(self.bins), len(self.bins) + 1
+        while least < used < before:
+            before, tried = used, np.zeros(len(self.bins), bool)
+            while used > least:
+                under = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity) & ~tried)
+                if not len(under):
+                    break
+                home, moved = int(under[np.argmin(self.fill[under])]), True
+                tried[home] = True
+                while moved and self.fill[home] > 0:
+                    moved = any(self.improve(p, home) for p in sorted(self.bins[home], key=lambda p: (-self.size[p], p)))
+                used -= self.fill[home] == 0
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY) -> list[int]:
     """The bin of each piece, numbered from 0 without gaps. Sizes lie in 1 to capacity."""
+    return packed(sizes, capacity)[0]
+
+
+def packed(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[int], dict[str, int]]:
+    """pack(), and how many moves and exchanges the search made."""
     open_ = [i for i, s in enumerate(sizes) if s < capacity]
-    search = _Search([sizes[i] for i in open_], _best_fit([sizes[i] for i in open_], capacity), capacity)
+    part = [sizes[i] for i in open_]
+    search = _Search(part, first_deal(part, capacity), capacity)
     search.run()
     names: dict[int, int] = {}
     out = [-1] * len(sizes)
@@ -163,32 +250,33 @@ def pack(sizes: list[int], capacity: int = CAPACITY) -> list[int]:
         if s >= capacity:
             out[i] = len(names)
             names[-1 - i] = out[i]
-    return out
+    return out, search.steps
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """`pieces` with sequence_id and offset: which sequence each lies in and where, gapless from 0.
 
-    `pieces` are those of pieces_of(), read twice; write them first if that is dear. Pieces are
-    dealt into groups by a hash of document, piece and checksum, so copies spread. An empty table
-    gives no rows.
+    `pieces` are those of pieces_of(); they are written once, with a random number by which they are
+    dealt into groups, so repeated rows part and a repeated task reads the same numbers. Each group
+    is packed by itself. An empty table gives no rows.
     """
-    groups = max(1, -(-pieces.count() // group_pieces))
     names = pieces.columns
+    dealt = materialize(pieces.withColumn("_deal", F.xxhash64(F.lit(5), "doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())), "pieces")
+    groups = max(1, -(-dealt.count() // group_pieces))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable", na_position="first").reset_index(drop=True)
+        part = part.sort_values("_deal", kind="stable").reset_index(drop=True)
         part["_bin"] = pack(part["length"].tolist(), capacity)
         part = part.sort_values("_bin", kind="stable")
         part["sequence_id"] = (int(key[0]) << 32) + part["_bin"]
         part["offset"] = part.groupby("_bin")["length"].cumsum() - part["length"]
         return part[[*names, "sequence_id", "offset"]].astype({"doc_id": "Int64"})
 
-    group = F.pmod(F.xxhash64(F.lit(5), "doc_id", "piece", "ids_crc32"), F.lit(groups))
-    return pieces.withColumn("_group", group).groupBy("_group").applyInPandas(lambda k, p: run(k, p.drop(columns="_group")), f"{schema}, sequence_id long, offset long")
+    grouped = dealt.withColumn("_group", F.pmod("_deal", F.lit(groups))).groupBy("_group")
+    return grouped.applyInPandas(lambda k, p: run(k, p.drop(columns="_group")), f"{schema}, sequence_id long, offset long")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of operator 7: a row for each piece."""
-    return pack_pieces(materialize(pieces_of(documents(spark, sf_dir)), "pieces"))
+    return pack_pieces(pieces_of(documents(spark, sf_dir)))

@@ -14,7 +14,7 @@ from oracle import connect, same
 from pyspark.sql import functions as F
 from tests_data import SF, SF01
 
-from tallyloom.llm import bpe, edit_fingerprint as E, line_dedup, packing, pii, quality_cnn, quality_rules, registry, toxicity
+from tallyloom.llm import bpe, edit_fingerprint as E, line_dedup, pii, quality_cnn, quality_rules, registry, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -183,34 +183,6 @@ def test_decode(spark):
     assert [None if r.decoded is None else bytes(r.decoded) for r in bpe.decode(df).collect()] == [t[0] + t[1] + t[2], b"", None]
 
 
-def test_pieces_and_sequences(spark, texts):
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    rows = [*texts.items(), *[(10**6 + n, t) for n, (_, t) in enumerate(ROWS) if t and len(t) < 100_000]]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = packing.pack_pieces(packing.pieces_of(docs)).toPandas()
-    for doc, part in got.sort_values("piece").groupby("doc_id"):
-        ids = [*tokenizer.encode(dict(rows)[doc], add_special_tokens=False).ids, 0]
-        starts = [*part["start"], len(ids)]
-        assert starts[0] == 0 and (np.diff(starts) == part["length"]).all() and (part["length"][1:] == 2048).all() and (len(part) == 1 or len(ids) > 2048)
-        assert [zlib.crc32(np.array(ids[a:z], "<u4").tobytes()) for a, z in zip(starts, starts[1:])] == part["ids_crc32"].tolist()
-    for _, part in got.sort_values("offset").groupby("sequence_id"):
-        assert part["length"].sum() <= 2048 and part["offset"].tolist() == [0, *np.cumsum(part["length"])[:-1]]
-    assert got["sequence_id"].nunique() <= -(-got["length"].sum() // 2048) + 2
-
-
-def test_local_search_beats_best_fit():
-    rng = np.random.default_rng(8)
-    for _ in range(20):
-        sizes = rng.integers(1, 101, 80).tolist()
-        bins = packing.pack(sizes, 100)
-        fills = np.bincount(bins, sizes)
-        assert fills.max() <= 100 and sorted(set(bins)) == list(range(len(fills)))
-        assert len(fills) <= len(packing._best_fit(sizes, 100)) and len(fills) >= -(-sum(sizes) // 100)
-
-
 def test_repeated_words(spark):
     rng = np.random.default_rng(6)
     rows = [" ".join(rng.choice(list("abcd"), n)) for n in (0, 1, 2, 3, 4, 10, 60, 400)] + ["x y z q x y z", "a a a a"]
