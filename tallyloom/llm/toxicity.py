@@ -148,7 +148,7 @@ def abuse() -> Machine:
             if symbol[0] == TARGET and gap <= NEARBY:
                 ways.append(Arc(done, 0.9 - 0.05 * (gap - 1), ">target"))
             if symbol[0] == INSULT:
-                ways.append(Arc(done, 0.9, _named(">insult", symbol)))
+                ways.append(Arc(done, 0.9 * _said(symbol), _named(">insult", symbol)))
             if gap < PILED:
                 ways.append(Arc(state + 1))
         return ways

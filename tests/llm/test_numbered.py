@@ -14,7 +14,7 @@ from oracle import connect, same
 from pyspark.sql import functions as F
 from tests_data import SF, SF01
 
-from tallyloom.llm import bpe, edit_fingerprint as E, line_dedup, pii, quality_cnn, quality_rules, registry, toxicity
+from tallyloom.llm import bpe, edit_fingerprint as E, line_dedup, pii, quality_cnn, quality_rules, registry
 
 
 @pytest.fixture(scope="module")
@@ -33,26 +33,6 @@ def accuracy(rows, label):
     return sum(p == m for p, m, _ in held) / len(held), held
 
 
-def test_toxicity_held_out(spark):
-    rows = toxicity.op1_toxicity(spark, SF01).collect()
-    share, held = accuracy(rows, "toxic")
-    assert share > 0.9 and all(0 <= r.score <= 1 for r in rows)
-    assert {r.doc_id: r.held_out for r in rows} == {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in rows}
-
-
-def test_toxicity_clauses():
-    model = toxicity.ToxicityModel(words={"idiot": 0.95}, stems={"schwach": 0.9})
-    scan = toxicity.scanner(model)
-    paths = lambda t: [p for p, _ in scan(t)]
-    assert paths("You are an idiot. All is well.") == ["insult+target"]
-    assert paths("He is not an idiot") == ["insult+negated+target"]
-    assert paths("She said: fine. They said idiot") == ["insult+reported+target"]
-    assert paths("I will kill you") == ["target+threat"] and paths("Kill the process") == []
-    assert paths("Schwachkopf") == ["insult"] and paths("") == []
-    score = lambda t: toxicity.combine(model, scan(t))
-    assert score("You are an idiot") > 0.7 > score("He is not an idiot") > score("well")
-
-
 def test_quality_cnn_held_out(spark):
     rows = quality_cnn.op10_quality_classifier(spark, SF01).collect()
     share, _ = accuracy(rows, "quality")
