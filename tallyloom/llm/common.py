@@ -40,3 +40,15 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+def join_hot_keys_apart(rows: DataFrame, known: DataFrame, on: list[str], n_rows: int) -> DataFrame:
+    """`rows` inner-joined with `known`, which has each key once and `_n`, the number of its rows in `rows`.
+
+    Keys of more than a thousandth of all `n_rows` rows are at most a thousand: they are broadcast,
+    and their rows don't move. The rest is joined by shuffle, in which no key is large.
+    """
+    hot = F.col("_n") * 1000 > n_rows
+    large = F.broadcast(known.filter(hot).drop("_n"))
+    small = known.filter(~hot).drop("_n")
+    return rows.join(large, on).unionByName(rows.join(large.select(*on), on, "left_anti").join(small, on))

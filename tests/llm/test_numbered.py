@@ -45,16 +45,37 @@ def test_chunks_cover_the_whole_text():
     assert bytes(c[0]) + b"".join(bytes(x[quality_cnn.CHUNK - quality_cnn.STEP :]) for x in c[1:]) == text.encode().ljust(quality_cnn.CHUNK + quality_cnn.STEP * (len(c) - 1), b"\0")
 
 
+def lean(spark, docs, **how):
+    return {r.doc_id: (r.text, r.line_dedup.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), **how).collect()}
+
+
 def test_line_templates(spark):
-    docs = [(i, f"{chr(97 + i) * 9} {chr(98 + i) * 5} {chr(99 + i) * 7} is a body which is long enough to stay by far.\nCall us now at {i * 37} today") for i in range(8)]
+    docs = [(i, f"{chr(97 + i) * 9} {chr(98 + i) * 5} {chr(99 + i) * 7} is a body.\nCall us now at {i * 37} today") for i in range(8)]
     docs += [(100, "Call us now at nine today maybe\nunique words of this one")]
-    got = {r.doc_id: (r.text, r.line_dedup.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = lean(spark, docs)
     assert got[0] == (docs[0][1], 0) and all(got[i] == (docs[i][1].split("\n")[0], 1) for i in range(1, 8)) and got[100][1] == 0
 
 
-def test_copies_stay_whole(spark):
-    docs = [(i, "One line of the copy.\nAnother line of the copy.") for i in range(9)]
-    assert all(r.line_dedup.whole == (r.doc_id > 0) and r.text == docs[0][1] for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+def test_mostly_boilerplate_and_short_templates(spark):
+    docs = [(i, f"Contact page {i}\nAll the news of the day, every day, for all of you\nown{i} x{i}y") for i in range(9)] + [(20 + i, f"12 34 {i}{i}") for i in range(9)] + [(40 + i, f"7 7\nq{chr(97 + i)}") for i in range(9)]
+    got = lean(spark, docs)
+    assert got[0][1] == 0 and all(got[i] == (f"own{i} x{i}y", 2) for i in range(1, 9))
+    assert all(got[20 + i][1] == 0 for i in range(9))  # digits alone make no template
+    assert all(got[40 + i] == (f"q{chr(97 + i)}", 1) for i in range(1, 9))  # but a line that recurs as it stands does
+
+
+def test_long_passages_of_two_documents(spark):
+    passage = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    assert lean(spark, [(1, f"one own line\n{passage}"), (2, f"{passage}\nand another"), (3, "third")]) == {1: (f"one own line\n{passage}", 0), 2: ("and another", 1), 3: ("third", 0)}
+
+
+def test_copies(spark):
+    text = "One line of the copy.\nAnother line of the copy, somewhat longer than that."
+    docs = [(i, text) for i in range(9)]
+    assert set(lean(spark, docs).values()) == {(text, 0)}  # a text doesn't recur by being copied
+    near = [(i, f"{text}\nx{chr(97 + i)}") for i in range(9)]
+    assert [lean(spark, near)[i][1] for i in range(9)] == [0] + [2] * 8
+    assert {n for _, n in lean(spark, near, leave_copies=True).values()} == {0}
 
 
 KINDS = {k: re.compile(p) for k, p in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))}
