@@ -1,21 +1,25 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle (operator 9).
 
-1. Texts are cut into pre-tokens, in blocks of some megabytes of text. In a block every distinct
-   pre-token has a code, common ones the small codes; the positions of all pre-tokens are the
-   sequence of their codes, which waits at its block.
+1. Texts are cut into pre-tokens, in blocks of some megabytes of text. Exploded, every pre-token
+   would be a row of its own, several times as large as the text; so a block is packed: every
+   distinct pre-token has a code there, common ones the small codes, and the positions of all
+   pre-tokens are the sequence of their codes, which waits at its block.
 2. The distinct pre-tokens of all blocks are shuffled together by a hash, packed in one row for
    each block and hash bucket, and each is encoded once. What is shuffled grows with distinct
-   words; a word of every second position is one word like any other.
+   words; a word of every second position is one word like any other. The number of buckets grows
+   with the bytes of the input, so that each fits in memory.
 3. The ids are joined back to their blocks and each block is reassembled by position.
+4. Decoding joins the ids with the token-byte table, which has the size of the vocabulary.
 
 Blocks are cut twice, once for their words and once for their positions, which costs less disk
-than keeping one of them; both find the same codes, since a partition of files is read alike.
-Decoding looks every id up in the token-byte table, which has the size of the vocabulary.
+than keeping one of them. A block is named by a hash of its contents; if a second reading gave
+other blocks, names and counts wouldn't match and the job would fail.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -28,10 +32,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.llm.common import bounded_batches, documents
+from tallyloom.operators.materialize import materialize
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 BLOCK_BYTES = 16 << 20
-BUCKETS_PER_PARTITION = 8
+BUCKET_BYTES = 32 << 20  #: of text, whose distinct words are a part of it
 _BREAK = b"\xff"  #: between packed words; no UTF-8 text has this byte
 ROW = "_block long, _bucket int, _codes binary, _words binary, _ids binary"
 
@@ -82,12 +87,16 @@ def _from_varints(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Block:
     """Documents of one block: their ids, and their pre-tokens as codes, common ones small."""
 
-    def __init__(self, number: int, ids: list, texts: list[str]):
+    def __init__(self, ids: list, texts: list[str]):
+        named = hashlib.blake2b(digest_size=8)
+        for i, t in zip(ids, texts):
+            named.update(f"{i}:{len(t)}:".encode() + t.encode("utf-8", "surrogatepass"))
         found: dict[str, int] = defaultdict()
         found.default_factory = found.__len__
         cut = _pattern().findall
         parts = [np.fromiter(map(found.__getitem__, p), np.int64, len(p)) for p in map(cut, texts)]
-        self.number, self.ids, self.lengths = number, ids, np.array([len(p) for p in parts], np.int64)
+        self.number = int.from_bytes(named.digest(), "little", signed=True)
+        self.ids, self.lengths = ids, np.array([len(p) for p in parts], np.int64)
         flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
         order = np.argsort(-np.bincount(flat, minlength=len(found)), kind="stable")
         rank = np.empty(len(found), np.int64)
@@ -108,30 +117,27 @@ class _Block:
         return pa.record_batch([pa.array([self.number] * n, pa.int64()), pa.array([int(home[g[0]]) for g in groups], pa.int32()), pa.array(codes, pa.binary()), pa.array(words, pa.binary()), pa.nulls(n, pa.binary())], _NAMES)
 
     def position_row(self, _: int) -> pa.RecordBatch:
-        """One row, without bucket: ids and lengths of the documents, and all codes in order."""
+        """One row, without bucket: ids and lengths of the documents behind the number of distinct words, and all codes in order."""
         head = np.stack([np.array([i is None for i in self.ids], np.int64), np.array([i or 0 for i in self.ids], np.int64), self.lengths])
-        return pa.record_batch([pa.array([self.number], pa.int64()), pa.nulls(1, pa.int32()), pa.array([_varints(self.codes)[0].tobytes()]), pa.array([head.tobytes()]), pa.nulls(1, pa.binary())], _NAMES)
+        return pa.record_batch([pa.array([self.number], pa.int64()), pa.nulls(1, pa.int32()), pa.array([_varints(self.codes)[0].tobytes()]), pa.array([np.int64(len(self.words)).tobytes() + head.tobytes()]), pa.nulls(1, pa.binary())], _NAMES)
 
 
 _NAMES = ["_block", "_bucket", "_codes", "_words", "_ids"]
 
 
 def _cut(rows_of, buckets: int):
-    """Blocks are numbered by partition of the input (third column) and order in it, which a repeated task finds alike."""
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, ids, texts, size = 0, [], [], 0
+        ids, texts, size = [], [], 0
         for b in batches:
-            number = number or b.column(2)[0].as_py() << 32
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(i)
                 texts.append(t or "")
                 size += len(texts[-1]) + 64
                 if size >= BLOCK_BYTES:
-                    yield rows_of(_Block(number, ids, texts), buckets)
-                    number, ids, texts, size = number + 1, [], [], 0
+                    yield rows_of(_Block(ids, texts), buckets)
+                    ids, texts, size = [], [], 0
         if ids:
-            yield rows_of(_Block(number, ids, texts), buckets)
+            yield rows_of(_Block(ids, texts), buckets)
 
     return run
 
@@ -154,34 +160,35 @@ def _encode_bucket(table: pa.Table) -> pa.Table:
 
 
 def _reassemble(table: pa.Table) -> pa.Table:
-    """The documents of one block: ids and decoded bytes, by position."""
+    """The ids of one block's documents, by position; blocks of equal contents come together and are told apart by their rows."""
     codes, sizes, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    null = doc_ids = lengths = seq = np.empty(0, np.int64)
+    heads, seen = [], set()
     for bucket, c, w, packed in zip(*(table.column(k).to_pylist() for k in _NAMES[1:])):
         numbers, _ = _from_varints(np.frombuffer(c, np.uint8))
         if bucket is None:
-            seq = numbers
-            null, doc_ids, lengths = np.frombuffer(w, np.int64).reshape(3, -1)
-            continue
-        at = 4 + int(np.frombuffer(packed[:4], np.uint32)[0])
-        codes.append(np.cumsum(numbers))
-        sizes.append(_from_varints(np.frombuffer(packed[4:at], np.uint8))[0])
-        ids.append(_from_varints(np.frombuffer(packed[at:], np.uint8))[0])
+            heads.append((numbers, int(np.frombuffer(w[:8], np.int64)[0]), np.frombuffer(w[8:], np.int64).reshape(3, -1)))
+        elif bucket not in seen:
+            seen.add(bucket)
+            at = 4 + int(np.frombuffer(packed[:4], np.uint32)[0])
+            codes.append(np.cumsum(numbers))
+            sizes.append(_from_varints(np.frombuffer(packed[4:at], np.uint8))[0])
+            ids.append(_from_varints(np.frombuffer(packed[at:], np.uint8))[0])
     codes, sizes, ids = map(np.concatenate, (codes, sizes, ids))
+    if not heads or any(n != len(codes) for _, n, _ in heads):
+        raise ValueError("the input came in other partitions when it was read again; write it first")
     begin = np.empty(len(codes), np.int64)
     begin[codes] = np.cumsum(sizes) - sizes
     count = np.empty(len(codes), np.int64)
     count[codes] = sizes
-    spell = token_bytes()
-    pieces = [spell[i] for i in ids.tolist()]
-    words = [b"".join(pieces[a : a + n]) for a, n in zip(begin.tolist(), count.tolist())]
-    bounds = np.concatenate([[0], np.cumsum(lengths)])
-    per = count[seq]
-    ends = np.concatenate([[0], np.cumsum(per)])
-    flat = ids[np.repeat(begin[seq] - ends[:-1], per) + np.arange(ends[-1])].astype(np.int32)
-    texts = [b"".join([words[c] for c in seq[a:b].tolist()]) for a, b in zip(bounds, bounds[1:])]
-    doc = pa.array(doc_ids, pa.int64(), mask=null.astype(bool))
-    return pa.table([doc, pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(flat)), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+    out = []
+    for seq, _, (null, doc_ids, lengths) in heads:
+        bounds = np.concatenate([[0], np.cumsum(lengths)])
+        per = count[seq]
+        ends = np.concatenate([[0], np.cumsum(per)])
+        flat = ids[np.repeat(begin[seq] - ends[:-1], per) + np.arange(ends[-1])].astype(np.int32)
+        doc = pa.array(doc_ids, pa.int64(), mask=null.astype(bool))
+        out.append(pa.table([doc, pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(flat))], ["doc_id", "ids"]))
+    return pa.concat_tables(out)
 
 
 @lru_cache(1)
@@ -195,40 +202,48 @@ def token_bytes(path: str = RANKS) -> list[bytes]:
     return out
 
 
-def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`(doc_id, ids, decoded)`: each text's token ids, and the bytes these ids decode to.
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", written: bool = False) -> DataFrame:
+    """`(doc_id, ids)`: each text's token ids.
 
-    `docs` is read twice and must come in the same partitions and order both times, as a table of
-    files does; write other inputs first. A null text counts as empty: no ids, no bytes. Null ids stay null; repeated rows each give a
-    row. Other columns are ignored, whatever their names.
+    `docs` is read several times and must come in the same partitions each time. A table of files
+    does; say so by `written`, or else it is written first. A null text counts as empty: no ids.
+    Null ids stay null; repeated rows each give a row; an empty table gives none. Other columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.spark_partition_id().cast("long") + 1).alias("part"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows if written else materialize(rows, "texts")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     words = rows.mapInArrow(_cut(_Block.word_rows, buckets), ROW).groupBy("_bucket").applyInArrow(_encode_bucket, ROW)
     positions = rows.mapInArrow(_cut(_Block.position_row, buckets), ROW)
-    return words.unionByName(positions).groupBy("_block").applyInArrow(_reassemble, "doc_id long, ids array<int>, decoded binary")
-
-
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`(doc_id, ids)` of round_trip()."""
-    return round_trip(docs, id_col, text_col).select("doc_id", "ids")
+    return words.unionByName(positions).groupBy("_block").applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
-    """`encoded` with `decoded`: the bytes of its token ids, null for null; ids outside the table are an error."""
+    """`encoded` with `decoded`: the bytes of its token ids, null for null; ids outside the table are an error.
+
+    The token-byte table, one row for each id of the vocabulary, is gathered into a single row and
+    joined by broadcast; ids look their bytes up by place. Other columns stay; `decoded` is replaced.
+    """
+    spark = encoded.sparkSession
+    table = spark.createDataFrame(pd.DataFrame({"id": range(len(token_bytes())), "hex": [t.hex() for t in token_bytes()]}), "id int, hex string")
+    table = table.groupBy(F.lit(0).alias("_all")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "hex"))), lambda x: x["hex"]).alias("_hex"))
+    names = [c for c in encoded.columns if c != "decoded"]
+    rows = encoded.select(F.struct(*names).alias("_row"), F.lit(0).alias("_all")).join(F.broadcast(table), "_all")
+    unknown = F.raise_error(F.lit("an id that the token-byte table doesn't have"))
+    spelled = F.transform(F.col(f"_row.{ids_col}"), lambda i: F.coalesce(F.get(F.col("_hex"), i), unknown))
+    return rows.select("_row.*", F.unhex(F.array_join(spelled, "")).alias("decoded"))
 
-    @F.pandas_udf("binary")
-    def spell(ids: pd.Series) -> pd.Series:
-        table = token_bytes()
-        return pd.Series([None if x is None else b"".join(table[i] for i in x) for x in ids])
 
-    return encoded.withColumn("decoded", spell(ids_col))
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", written: bool = False) -> DataFrame:
+    """`(doc_id, ids, decoded)`: encode(), and what decode() makes of it."""
+    return decode(encode(docs, id_col, text_col, written))
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of operator 9."""
-    out = round_trip(documents(spark, sf_dir))
+    out = round_trip(documents(spark, sf_dir), written=True)
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -179,9 +179,31 @@ def test_encoding_equals_the_library(spark, texts, plain_encoding):
 
 
 def test_decode(spark):
-    df = spark.createDataFrame([([0, 1, 2],), ([],), (None,)], "ids array<int>")
+    df = spark.createDataFrame([([0, 1, 2], "x"), ([], "y"), (None, "z")], "ids array<int>, decoded string")
     t = bpe.token_bytes()
     assert [None if r.decoded is None else bytes(r.decoded) for r in bpe.decode(df).collect()] == [t[0] + t[1] + t[2], b"", None]
+    with pytest.raises(Exception, match="token-byte table"):
+        bpe.decode(spark.createDataFrame([([60_000],)], "ids array<int>")).collect()
+
+
+def test_bpe_query(spark, texts, plain_encoding):
+    hexed = lambda b: hashlib.sha256(b).hexdigest()
+    rows = bpe.op9_bpe(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = plain_encoding.encode_ordinary(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hexed(" ".join(map(str, ids)).encode()), hexed((texts[r.doc_id] or "").encode()))
+
+
+def test_blocks_that_changed_are_noticed():
+    import pyarrow as pa
+
+    one, other = bpe._Block([1], ["some words here"]), bpe._Block([1], ["some other words here"])
+    with pytest.raises(ValueError, match="write it first"):
+        bpe._reassemble(pa.Table.from_batches([other.position_row(4)]))
+    rows = bpe._encode_bucket(pa.Table.from_batches([one.word_rows(1)]))
+    got = bpe._reassemble(pa.concat_tables([rows, pa.Table.from_batches([one.position_row(1)])])).to_pylist()
+    assert got == [{"doc_id": 1, "ids": bpe.encoding().encode_ordinary("some words here")}] and one.number != other.number
 
 
 def test_repeated_words(spark):
