@@ -1,16 +1,14 @@
 """Quality classifier: a byte-level convolutional network in numpy (operator 10).
 
 A document's UTF-8 bytes are cut into overlapping chunks that cover all of it. Bytes are embedded,
-learned filters slide over each chunk and are max-pooled there; the pooled vectors of all chunks
-are combined by their mean and their maximum into one probability; how short the document is
-weighs in, since few windows pool to little. The network is fitted on the
-driver on a bounded sample of labelled documents, a bounded number of chunks each; scoring runs in
-Spark tasks over whole texts.
+learned filters slide over each chunk and are max-pooled over the windows that begin within the
+text; the pooled vectors of all chunks are combined by their mean and their maximum into one
+probability. The network is fitted on the driver on a bounded number of labelled documents, each
+read whole; scoring runs in Spark tasks over whole texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,10 +20,10 @@ from tallyloom.llm.common import bounded_batches, documents, fold, labels, train
 CHUNK, STEP = 1024, 960  #: bytes of a chunk, and from one chunk's start to the next's
 WIDTH, STRIDE = 8, 4
 EMBED, FILTERS = 8, 32
-SAMPLE_BOUND = 5_000  #: labelled training documents at most
-TRAIN_CHUNKS = 4  #: of a training document, spread evenly
-STEPS, BATCH, RATE = 500, 64, 0.01
-BLOCK_CHUNKS = 512  #: scored at once
+SAMPLE_BOUND = 4_000  #: labelled training documents at most, whole ones
+STEPS, RATE = 600, 0.01
+SIDES = 16, 48  #: bad and good documents of a training batch
+BLOCK_CHUNKS = 256  #: convolved at once
 
 
 @dataclass
@@ -42,7 +40,7 @@ class ByteCNN:
         embed = rng.normal(0, 0.5, (256, EMBED)).astype(np.float32)
         embed[0] = 0
         filters = rng.normal(0, 1 / np.sqrt(WIDTH * EMBED / 2), (WIDTH * EMBED, FILTERS)).astype(np.float32)
-        return ByteCNN(embed, filters, np.zeros(FILTERS, np.float32), np.zeros(3 * FILTERS + 1, np.float32), 0.0)
+        return ByteCNN(embed, filters, np.zeros(FILTERS, np.float32), np.zeros(2 * FILTERS, np.float32), 0.0)
 
     def windows(self, chunks: np.ndarray) -> np.ndarray:
         """Embedded windows of byte chunks: chunks x windows x (WIDTH * EMBED)."""
@@ -51,85 +49,85 @@ class ByteCNN:
         view = np.lib.stride_tricks.as_strided(x, (len(x), n, WIDTH * EMBED), (x.strides[0], STRIDE * EMBED * x.itemsize, x.itemsize))
         return np.ascontiguousarray(view)
 
-    def pooled(self, chunks: np.ndarray) -> np.ndarray:
+    def responses(self, chunks: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The largest response of each filter in each chunk, and at which window; windows behind a chunk's length don't count."""
+        most, where = [], []
+        for at in range(0, len(chunks), BLOCK_CHUNKS):
+            w = self.windows(chunks[at : at + BLOCK_CHUNKS])
+            y = (w.reshape(-1, w.shape[2]) @ self.filters).reshape(len(w), -1, FILTERS)
+            begins = np.arange(y.shape[1]) * STRIDE
+            y[(begins > 0) & (begins >= lengths[at : at + BLOCK_CHUNKS, None])] = -np.inf
+            top = y.argmax(axis=1)
+            where.append(top)
+            most.append(np.take_along_axis(y, top[:, None, :], 1)[:, 0])
+        return np.concatenate(most), np.concatenate(where)
+
+    def pooled(self, chunks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Max-pooled filter responses, a row of FILTERS for each chunk."""
-        w = self.windows(chunks)
-        y = w.reshape(-1, w.shape[2]) @ self.filters
-        return np.maximum(y.reshape(len(chunks), -1, FILTERS).max(axis=1) + self.bias, 0)
+        return np.maximum(self.responses(chunks, lengths)[0] + self.bias, 0)
 
-    def probability(self, pooled: np.ndarray, n_bytes: int) -> float:
-        """Of a document by the pooled rows of all its chunks and its length."""
-        x = features(pooled.mean(axis=0)[None], pooled.max(axis=0)[None], np.array([shortness(n_bytes)]))
+    def probability(self, pooled: np.ndarray) -> float:
+        """Of a document by the pooled rows of all its chunks."""
+        x = features(pooled.mean(axis=0)[None], pooled.max(axis=0)[None])
         return float(1 / (1 + np.exp(-np.clip(x @ self.out + self.shift, -30, 30)))[0])
 
 
-def shortness(n_bytes: np.ndarray | int) -> np.ndarray | float:
-    return 1 / (1 + n_bytes / 128)
+def features(mean: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Of documents: mean and maximum over chunks."""
+    return np.concatenate([mean, most], axis=1)
 
 
-def features(mean: np.ndarray, most: np.ndarray, short: np.ndarray) -> np.ndarray:
-    """Of documents: mean and maximum over chunks, the mean again as far as the document is short, and shortness."""
-    return np.concatenate([mean, most, mean * short[:, None], short[:, None]], axis=1)
-
-
-def chunked(text: str | None) -> np.ndarray:
-    """All chunks of a text, zero-padded; one empty chunk for null or empty texts. Zero bytes of the text count as padding."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+def chunked(text: str | bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """All chunks of a text, zero-padded, and their lengths; one empty chunk for null or empty texts."""
+    raw = np.frombuffer(text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass"), np.uint8)
     n = max(1, -(-max(0, len(raw) - CHUNK) // STEP) + 1)
     out = np.zeros((n, CHUNK), np.uint8)
     for k in range(n):
         part = raw[k * STEP : k * STEP + CHUNK]
         out[k, : len(part)] = part
-    return out
+    return out, np.minimum(CHUNK, len(raw) - STEP * np.arange(n))
 
 
-def fit(docs: list[np.ndarray], marks: np.ndarray, seed: int = 11) -> ByteCNN:
-    """Adam on the cross entropy of class-balanced batches. docs: each a few chunks. One class only: a constant."""
+def fit(docs: list[bytes], marks: np.ndarray, seed: int = 11) -> ByteCNN:
+    """Adam on the cross entropy of batches of whole documents, SIDES of each class. One class only: a constant."""
     net, rng = ByteCNN.new(seed), np.random.default_rng(seed)
     sides = [np.flatnonzero(marks == k) for k in (0, 1)]
     if not len(sides[0]) or not len(sides[1]):
         net.shift = 2.0 if len(sides[1]) or not len(marks) else -2.0
         return net
     net.out[:] = rng.normal(0, 0.05, len(net.out))
-    short = np.array([shortness(np.count_nonzero(d)) for d in docs])
     names = ["embed", "filters", "bias", "out"]
     moment = {k: [np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))] for k in names} | {"shift": [0.0, 0.0]}
     for step in range(1, STEPS + 1):
-        pick = np.concatenate([rng.choice(s, BATCH // 2) for s in sides])
-        chunks = np.concatenate([docs[i] for i in pick])
-        owner = np.repeat(np.arange(len(pick)), [len(docs[i]) for i in pick])
+        pick = np.concatenate([rng.choice(s, k) for s, k in zip(sides, SIDES)])
+        cut = [chunked(docs[i]) for i in pick]
+        chunks, lengths = np.concatenate([c for c, _ in cut]), np.concatenate([n for _, n in cut])
+        owner = np.repeat(np.arange(len(pick)), [len(c) for c, _ in cut])
         counts = np.bincount(owner)
-        w = net.windows(chunks)
-        y = (w.reshape(-1, w.shape[2]) @ net.filters).reshape(len(chunks), -1, FILTERS)
-        top = y.argmax(axis=1)
-        z = np.take_along_axis(y, top[:, None, :], 1)[:, 0] + net.bias
+        most_y, top = net.responses(chunks, lengths)
+        z = most_y + net.bias
         pooled = np.maximum(z, 0)
         starts = np.cumsum(counts) - counts
         mean = np.add.reduceat(pooled, starts) / counts[:, None]
         most = np.maximum.reduceat(pooled, starts)
-        x = features(mean, most, short[pick])
+        x = features(mean, most)
         p = 1 / (1 + np.exp(-np.clip(x @ net.out + net.shift, -30, 30)))
         d = ((p - marks[pick]) / len(pick)).astype(np.float32)
         g_x = d[:, None] * net.out
         winner = pooled == most[owner]
         ties = np.add.reduceat(winner.astype(np.float32), starts)
-        g_mean = g_x[:, :FILTERS] + g_x[:, 2 * FILTERS : -1] * short[pick][:, None]
-        g = g_mean[owner] / counts[owner][:, None] + g_x[owner, FILTERS : 2 * FILTERS] * winner / ties[owner]
+        g = g_x[owner, :FILTERS] / counts[owner][:, None] + g_x[owner, FILTERS:] * winner / ties[owner]
         g = np.where(z > 0, g, 0).astype(np.float32)
-        picked = w[np.arange(len(chunks))[:, None], top]  # chunks x FILTERS x window
-        grads = {
-            "filters": np.einsum("cf,cfw->wf", g, picked) + 1e-4 * net.filters,
-            "bias": g.sum(axis=0),
-            "out": x.T @ d + 1e-3 * net.out,
-            "shift": float(d.sum()),
-        }
-        g_window = g[:, :, None] * net.filters.T[None]  # chunks x FILTERS x window
-        where = top[:, :, None] * STRIDE + np.arange(WIDTH)
-        bytes_at = chunks[np.arange(len(chunks))[:, None, None], where]
-        g_embed = np.zeros_like(net.embed)
-        np.add.at(g_embed, bytes_at.ravel(), g_window.reshape(-1, EMBED))
-        g_embed[0] = 0
-        grads["embed"] = g_embed
+        grads = {"filters": 1e-4 * net.filters, "bias": g.sum(axis=0), "out": x.T @ d + 1e-3 * net.out, "shift": float(d.sum()), "embed": np.zeros_like(net.embed)}
+        for at in range(0, len(chunks), BLOCK_CHUNKS):  # through the windows that won
+            part, some = g[at : at + BLOCK_CHUNKS], chunks[at : at + BLOCK_CHUNKS]
+            where = top[at : at + BLOCK_CHUNKS, :, None] * STRIDE + np.arange(WIDTH)
+            bytes_at = some[np.arange(len(some))[:, None, None], where]
+            picked = net.embed[bytes_at].reshape(len(some), FILTERS, -1)
+            grads["filters"] = grads["filters"] + np.einsum("cf,cfw->wf", part, picked)
+            back = (part[:, :, None] * net.filters.T[None]).reshape(-1, EMBED)
+            grads["embed"] += np.stack([np.bincount(bytes_at.ravel(), back[:, e], 256) for e in range(EMBED)], axis=1)
+        grads["embed"][0] = 0
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
         for k, grad in grads.items():
             m = moment[k]
@@ -144,47 +142,38 @@ def fit(docs: list[np.ndarray], marks: np.ndarray, seed: int = 11) -> ByteCNN:
 
 
 def learn(rows: DataFrame) -> ByteCNN:
-    """The network fitted on `(text, label)` rows, at most SAMPLE_BOUND; what reaches the driver is TRAIN_CHUNKS of each."""
-
-    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            blobs = []
-            for t in b["text"]:
-                c = chunked(t)
-                at = np.unique(np.linspace(0, len(c) - 1, TRAIN_CHUNKS).astype(int))
-                blobs.append(c[at].tobytes())
-            yield pd.DataFrame({"chunks": blobs, "label": b["label"]})
-
-    got = rows.mapInPandas(cut, "chunks binary, label int").toPandas()
-    got = got.sort_values(["label", "chunks"]).reset_index(drop=True)  # the order of rows must not matter
-    docs = [np.frombuffer(x, np.uint8).reshape(-1, CHUNK) for x in got["chunks"]]
-    return fit(docs, got["label"].to_numpy(np.float32))
+    """The network fitted on `(text, label)` rows, at most SAMPLE_BOUND; their texts reach the driver whole."""
+    got = rows.select(F.encode("text", "utf-8").alias("text"), "label").toPandas()
+    got = got.sort_values(["label", "text"]).reset_index(drop=True)  # the order of rows must not matter
+    return fit([bytes(x) for x in got["text"]], got["label"].to_numpy(np.float32))
 
 
 def score_quality(docs: DataFrame, net: ByteCNN, text_col: str = "text") -> DataFrame:
-    """`docs` with `quality_score`, 0 to 1. Null texts are scored like empty ones. Other columns stay; a column of that name is replaced."""
+    """`docs` with `quality_score`, 0 to 1.
+
+    Null texts are scored like empty ones; every row is scored by itself, so repeated rows score
+    alike; an empty table gives an empty one. Other columns stay; a column of that name is replaced.
+    """
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         out: list[float] = []
-        waiting, sizes, lengths = [], [], []
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+        held = 0
 
         def flush() -> None:
-            if sizes:
-                rows = np.concatenate(waiting)
-                pooled = np.concatenate([net.pooled(rows[a : a + BLOCK_CHUNKS]) for a in range(0, len(rows), BLOCK_CHUNKS)])
-                out.extend(net.probability(p, n) for p, n in zip(np.split(pooled, np.cumsum(sizes)[:-1]), lengths))
-                for x in (waiting, sizes, lengths):
-                    x.clear()
+            if waiting:
+                pooled = net.pooled(np.concatenate([c for c, _ in waiting]), np.concatenate([n for _, n in waiting]))
+                out.extend(net.probability(p) for p in np.split(pooled, np.cumsum([len(c) for c, _ in waiting])[:-1]))
+                waiting.clear()
 
         for t in texts:
-            c = chunked(t)
-            waiting.append(c)
-            sizes.append(len(c))
-            lengths.append(np.count_nonzero(c))
-            if sum(sizes) >= BLOCK_CHUNKS:
+            waiting.append(chunked(t))
+            held += len(waiting[-1][0])
+            if held >= BLOCK_CHUNKS:
                 flush()
+                held = 0
         flush()
         return pd.Series(out, dtype=float)
 

@@ -1,8 +1,8 @@
 """Quality rules with line-first cleaning (operator 8), in DataFrame functions only.
 
-Every line is judged by itself: by its symbols and closing marks, as navigation, as boilerplate
-and as shouting. Lines that fail are removed; a document that loses too much of its text is
-rejected. Base measures of the whole text (repeated three-word windows and the like) are computed
+Every line is judged by itself: by its symbols, marks and letters, as a fragment without a closing
+mark, as navigation, as boilerplate and as shouting. Lines that fail are removed; a document that
+loses too much of its text is rejected. Base measures of the whole text (repeated three-word windows and the like) are computed
 within the row by sorting window hashes, so nothing is shuffled.
 """
 
@@ -20,11 +20,25 @@ MAX_LOSS = 0.3  #: a document that loses a larger share of its word characters i
 MIN_WORDS = 50
 FEW = 50  #: repeated windows up to which each window is looked up among them
 
-# Phrases of navigation and boilerplate lines.
-BOILERPLATE = "(?i)all rights reserved|terms of (use|service)|privacy policy|cookie policy|we use cookies|accept (all )?cookies|javascript is (disabled|required)|enable javascript|lorem ipsum|powered by|licensed under|is licensed under|released under the"
-NAVIGATION = r"(?i)^(home|menu|login|log in|sign (in|up)|search|next|previous|back to top|read more|share|contact( us)?|about( us)?|subscribe|skip to content)$"
+# Phrases of navigation and boilerplate lines, in the four languages of the corpus.
+PHRASES = (
+    "all rights reserved|terms of (use|service)|privacy policy|cookie policy|we use cookies|accept (all )?cookies|javascript is (disabled|required)|enable javascript|lorem ipsum|powered by|licensed under|released under the"
+    "|alle rechte vorbehalten|nutzungsbedingungen|datenschutzerklärung|wir verwenden cookies"
+    "|tous droits réservés|conditions d.utilisation|politique de confidentialité|nous utilisons des cookies"
+    "|todos los derechos reservados|términos de uso|política de privacidad|utilizamos cookies"
+)
+LINKS = (
+    "home|menu|login|log in|sign (in|up)|search|next|previous|back to top|read more|share|contact( us)?|about( us)?|subscribe|skip to content"
+    "|startseite|menü|anmelden|suche|weiter|zurück|nach oben|mehr lesen|kontakt|über uns"
+    "|accueil|connexion|recherche|suivant|précédent|retour en haut|lire la suite|à propos"
+    "|inicio|menú|iniciar sesión|buscar|siguiente|anterior|volver arriba|leer más|contacto|sobre nosotros"
+)
+BOILERPLATE, NAVIGATION = f"(?iu)({PHRASES})", f"(?iu)^({LINKS})$"
 SEPARATED = "([|»›>•·] ?[^|»›>•·]{1,30} ?){3}"
 MARKS = "!?¡¿"
+CLOSED = r"[.!?…:;,\"'»”)\]]\s*$"  #: how a line ends that isn't a fragment
+FRAGMENT_WORDS = 3  #: of a line without a closing mark at most
+PHRASE_CHARS = 120  #: a line with a phrase for each so many characters is boilerplate
 
 
 def _length(c: Column) -> Column:
@@ -86,7 +100,7 @@ def _cover_three(at: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """Whether the rules remove a line (with a word). The share of symbols, shouting, navigation, boilerplate."""
+    """Whether the rules remove a line (with a word). Marks, letters and capitals count against its length, so short lines may hold a few."""
     return _let(_without_space(line), lambda bare: _bare_fails(line, bare))
 
 
@@ -95,11 +109,13 @@ def _bare_fails(line: Column, bare: Column) -> Column:
     upper = F.length(F.regexp_replace(bare, r"\P{Lu}+", ""))
     letters = F.length(F.regexp_replace(bare, r"\P{L}+", ""))
     odd = line.rlike(r"[#*$%&|<>!?¡¿»›•·]")  # one search lets plain lines pass the rules about marks
+    fragment = ~line.rlike(CLOSED) & (F.size(F.split(F.trim(line), SPACE, FRAGMENT_WORDS + 1)) <= FRAGMENT_WORDS)
     return (
-        odd & ((_count(bare, SYMBOLS) * 20 > n) | (n >= 20) & (_count(bare, MARKS) * 20 > n) | line.rlike(SEPARATED))
-        | (n >= 20) & _let(letters, lambda k: (k * 2 < n) | (k >= 20) & (upper * 2 > k))
-        | (n <= 40) & line.rlike(NAVIGATION)
-        | (n < 120) & line.rlike(BOILERPLATE)
+        odd & ((_count(bare, SYMBOLS) * 20 > n) | (_count(bare, MARKS) * 20 > n + 40) | line.rlike(SEPARATED))
+        | _let(letters, lambda k: (k * 2 < n - 10) | (upper * 2 > k + 20))
+        | fragment
+        | line.rlike(NAVIGATION)
+        | line.rlike(BOILERPLATE) & (F.regexp_count(line, F.lit(BOILERPLATE)) * PHRASE_CHARS > n)
     )
 
 
@@ -109,36 +125,35 @@ def clean_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Fields: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, clean_text,
     n_removed (lines), removed_chars (of words) and kept. kept is false if base_failed, or if the
     removed lines hold over MAX_LOSS of the word characters. Null texts count as empty: no words,
-    base_failed. Blank lines are never removed. Other columns stay; a column quality is replaced.
+    base_failed. Blank lines are never removed. Every row is judged by itself, so repeated rows are
+    judged alike; an empty table gives an empty one. Other columns stay; a column quality is replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
+    solid = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
     step = docs.withColumn("quality", F.struct(words_of(text).alias("words"), F.split(text, "\n", -1).alias("lines")))
-    lines = F.col("quality.lines")
-    solid = F.filter(lines, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    bad = F.filter(solid, line_fails)
     step = step.withColumn(
         "quality",
         F.struct(
             F.size("quality.words").cast("long").alias("n_words"),
             _length(_without_space(text)).cast("long").alias("word_chars"),
             _count(text, SYMBOLS).cast("long").alias("n_symbols"),
-            (F.size(solid) - F.size(F.array_distinct(solid))).cast("long").alias("n_dup_lines"),
+            _let(F.filter("quality.lines", solid), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(F.col("quality.words")).cast("long").alias("n_repeat_words"),
-            F.col("quality.lines").alias("lines"),
-            bad.alias("bad"),
+            F.transform("quality.lines", lambda x: F.struct(x.alias("line"), (solid(x) & line_fails(x)).alias("bad"))).alias("lines"),
         ),
     )
     q = F.col("quality")
     base_failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
-    lost = F.length(_without_space(F.array_join(q["bad"], "")))
-    clean = F.when(F.size(q["bad"]) == 0, text).otherwise(F.array_join(F.filter(q["lines"], lambda x: ~F.array_contains(q["bad"], x)), "\n"))
+    of = lambda bad: F.transform(F.filter(q["lines"], lambda x: x["bad"] == F.lit(bad)), lambda x: x["line"])
+    any_bad = F.exists(q["lines"], lambda x: x["bad"])
+    lost = F.when(any_bad, F.length(_without_space(F.array_join(of(True), "")))).otherwise(0)
     return step.withColumn(
         "quality",
         F.struct(
             *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
             base_failed.alias("base_failed"),
-            clean.alias("clean_text"),
-            F.size(q["bad"]).alias("n_removed"),
+            F.when(any_bad, F.array_join(of(False), "\n")).otherwise(text).alias("clean_text"),
+            F.when(any_bad, F.size(of(True))).otherwise(0).alias("n_removed"),
             lost.cast("long").alias("removed_chars"),
             (~base_failed & (lost <= MAX_LOSS * q["word_chars"])).alias("kept"),
         ),
@@ -159,11 +174,12 @@ s AS (SELECT doc_id, line, regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g') AS
 j AS (
   SELECT doc_id, line, bare, length(bare) AS n, length(bare) - length(translate(bare, '{SYMBOLS}', '')) AS sym,
     length(bare) - length(translate(bare, '!?¡¿', '')) AS marks,
-    length(regexp_replace(bare, '[^\p{{Lu}}]', '', 'g')) AS upper, length(regexp_replace(bare, '[^\p{{L}}]', '', 'g')) AS letters, line AS low
+    length(regexp_replace(bare, '[^\p{{Lu}}]', '', 'g')) AS upper, length(regexp_replace(bare, '[^\p{{L}}]', '', 'g')) AS letters
   FROM s WHERE bare <> ''),
 f AS (
-  SELECT doc_id, line, n, (sym * 20 > n) OR (marks * 20 > n AND n >= 20) OR (letters * 2 < n AND n >= 20) OR (upper * 2 > letters AND letters >= 20 AND n >= 20)
-    OR regexp_matches(low, '{NAVIGATION}') OR regexp_matches(low, '{SEPARATED}') OR (n < 120 AND regexp_matches(low, '{BOILERPLATE}')) AS bad FROM j),
+  SELECT doc_id, line, n, (sym * 20 > n) OR (marks * 20 > n + 40) OR (letters * 2 < n - 10) OR (upper * 2 > letters + 20)
+    OR (NOT regexp_matches(line, '{CLOSED.replace("'", "''")}') AND len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) <= {FRAGMENT_WORDS})
+    OR regexp_matches(line, '(?i)^({LINKS})$') OR regexp_matches(line, '{SEPARATED}') OR len(regexp_extract_all(line, '(?i)({PHRASES})')) * {PHRASE_CHARS} > n AS bad FROM j),
 g AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (bad) AS n_removed, coalesce(sum(n) FILTER (bad), 0) AS removed_chars FROM f GROUP BY ALL),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM t WHERE len(w) >= 3),

@@ -34,15 +34,42 @@ def accuracy(rows, label):
 
 
 def test_quality_cnn_held_out(spark):
-    rows = quality_cnn.op10_quality_classifier(spark, SF01).collect()
-    share, _ = accuracy(rows, "quality")
-    assert share > 0.9 and all(0 <= r.score <= 1 for r in rows)
+    """Against the labels that weren't learned from, and against always answering `good`."""
+    sf = "/root/testdata/sf0.1"
+    marks = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{sf}/labels.parquet'").fetchall())
+    rows = quality_cnn.op10_quality_classifier(spark, sf).collect()
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
+    held = [(r.predicted, marks[r.doc_id]) for r in rows if r.held_out and r.doc_id in marks]
+    right = sum(p == m for p, m in held) / len(held)
+    assert right > 0.97 > sum(m for _, m in held) / len(held) + 0.08
+    assert sum(p for p, m in held if m) / sum(m for _, m in held) > 0.985  # good ones pass
 
 
 def test_chunks_cover_the_whole_text():
     text = "".join(chr(97 + i % 26) for i in range(5_000))
-    c = quality_cnn.chunked(text)
+    c, n = quality_cnn.chunked(text)
     assert bytes(c[0]) + b"".join(bytes(x[quality_cnn.CHUNK - quality_cnn.STEP :]) for x in c[1:]) == text.encode().ljust(quality_cnn.CHUNK + quality_cnn.STEP * (len(c) - 1), b"\0")
+    assert n.tolist() == [1024] * (len(c) - 1) + [5_000 - quality_cnn.STEP * (len(c) - 1)]
+
+
+def test_padding_is_not_pooled():
+    net = quality_cnn.ByteCNN.new()
+    c, n = quality_cnn.chunked("x" * 21)
+    windows = net.windows(c)[0][:6] @ net.filters  # six windows begin within 21 bytes
+    assert np.allclose(net.pooled(c, n)[0], np.maximum(windows.max(axis=0), 0), atol=1e-5)
+    assert net.pooled(*quality_cnn.chunked("")).shape == (1, quality_cnn.FILTERS)
+
+
+@pytest.mark.parametrize(
+    ("line", "fails"),
+    [
+        ("A plain sentence, of some length, that ends as it should.", False), ("Really? Yes!", False), ("Wow!!! Buy!!!", True), ("home", True), ("Über uns", True), ("three short words", True), ("three short words.", False),
+        ("Copyright 2020, all rights reserved.", True), ("The phrase all rights reserved " + "stands in a long sentence of many words " * 8 + "here.", False), ("all rights reserved, " * 30 + "end.", True),
+        ("Tous droits réservés par la société.", True), ("THIS LINE IS SHOUTED FROM ITS FIRST WORD TO THE LAST.", True), ("### $$$ %%%.", True), ("Home | News | Sports | Contact | About.", True), ("1234567890 1234567890.", True),
+    ],
+)
+def test_line_rules(spark, line, fails):
+    assert spark.createDataFrame([(line,)], "x string").select(quality_rules.line_fails(F.col("x")).alias("f")).first().f == fails
 
 
 def lean(spark, docs, **how):

@@ -52,7 +52,7 @@ def test_stages_take_odd_rows(spark, stage):
 def test_models_without_rows(spark):
     rows = spark.createDataFrame([], "text string, label int")
     assert toxicity.learn(rows).words == {}
-    assert quality_cnn.learn(rows).probability(quality_cnn.ByteCNN.new().pooled(quality_cnn.chunked("")), 0) > 0.5
+    assert quality_cnn.learn(rows).probability(quality_cnn.ByteCNN.new().pooled(*quality_cnn.chunked(""))) > 0.5
 
 
 def test_results_of_odd_rows(spark):
