@@ -34,7 +34,7 @@ GROUP_PIECES = 4_000
 OPEN_BINS = 50  #: of the first deal
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BATCH_CHARS = 2_000_000  #: encoded at once
-REMEMBERED = 400_000  #: distinct pre-tokens
+REMEMBERED = 800_000  #: distinct pre-tokens
 
 
 @lru_cache(2)
@@ -79,6 +79,12 @@ class _Encoder:
         return [b"".join([known[w] for w in f]) for f in found]
 
 
+@lru_cache(1)
+def encoder(path: str = TOKENIZER) -> _Encoder:
+    """One for all tasks of a worker process, so that they share what it remembers."""
+    return _Encoder(path)
+
+
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`(doc_id, piece, start, length, ids_crc32[, ids])`: the documents' token ids, cut to the capacity.
 
@@ -90,7 +96,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, with_ids: bool = False,
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _Encoder()
+        encode = encoder()
         for b in batches:
             out, blobs = [], []
             texts = [t or "" for t in b.column(1).to_pylist()]
@@ -138,15 +144,20 @@ def first_deal(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class _Search:
-    """Local search on bins: empties the emptiest one again and again."""
+    """Local search on bins: empties the emptiest one again and again. Pieces are numbered by size here, smallest first."""
 
     def __init__(self, sizes: list[int], bins: list[list[int]], capacity: int):
-        self.size = np.array(sizes, np.int64)
+        self.order = np.argsort(np.array(sizes, np.int64), kind="stable")
+        self.size = np.array(sizes, np.int64)[self.order]
         self.capacity = capacity
-        self.bins = [set(b) for b in bins]
-        self.bin = np.empty(len(sizes), np.int64)
+        given = np.empty(len(sizes), np.int64)
         for k, b in enumerate(bins):
-            self.bin[b] = k
+            given[b] = k
+        self.bin = given[self.order]
+        self.bins: list[set[int]] = [set() for _ in bins]
+        for p, k in enumerate(self.bin.tolist()):
+            self.bins[k].add(p)
+        self.narrow = np.int16 if len(bins) < 2**15 else np.int64  #: numpy sorts short numbers without comparing
         self.fill = np.bincount(self.bin, self.size, len(bins)).astype(np.int64)
         self.steps = {"move": 0, "one": 0, "two": 0}
 
@@ -202,7 +213,11 @@ class _Search:
         To each piece belongs the smallest partner in its bin that leaves room enough if both go.
         """
         wide = 2 * self.capacity
-        order = np.lexsort((self.size[at], self.bin[at]))
+        smaller = int(np.searchsorted(self.size[at], s))  # both must be smaller; pieces come by size
+        at, free = at[:smaller], free[:smaller]
+        if smaller < 2:
+            return None
+        order = np.argsort(self.bin[at].astype(self.narrow), kind="stable")
         at, free = at[order], free[order]
         size, bin_ = self.size[at], self.bin[at]
         key = bin_ * wide + size
@@ -244,7 +259,7 @@ def packed(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[int], dict[
     search.run()
     names: dict[int, int] = {}
     out = [-1] * len(sizes)
-    for i, b in zip(open_, search.bin.tolist()):
+    for i, b in zip(np.array(open_, np.int64)[search.order].tolist(), search.bin.tolist()):
         out[i] = names.setdefault(b, len(names))
     for i, s in enumerate(sizes):
         if s >= capacity:

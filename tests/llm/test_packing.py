@@ -105,7 +105,7 @@ def test_search_on_small_bins():
             pairs += pair is not None
         squares = (search.fill**2).sum()
         search.run()
-        assert (search.fill == np.bincount(search.bin, sizes, len(search.fill))).all() and search.fill.max() <= 100 and (search.fill**2).sum() >= squares
+        assert (search.fill == np.bincount(search.bin, search.size, len(search.fill))).all() and search.fill.max() <= 100 and (search.fill**2).sum() >= squares
         assert (search.fill > 0).sum() <= -(-sum(sizes) // 100) + 1
     assert pairs
 
