@@ -155,6 +155,9 @@ def plain_walk(text):
 def test_walk_equals_the_plain_one():
     texts = ["", "a", "ab", "some longer text, é😀", "x" * 400, "".join(chr(97 + i * i % 26) for i in range(1500))]
     assert [w.tolist() for w in E.walk(texts)] == [plain_walk(t) for t in texts]
+    assert [E._walk_alone(t).tolist() for t in texts if t] == [plain_walk(t) for t in texts if t]
+    long = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(20_000))
+    assert E.walk([long, "ab"])[0].tolist() == plain_walk(long)
 
 
 def test_edited_texts_and_likeness(spark):
@@ -188,6 +191,38 @@ def test_alike_groups(spark, texts):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_groups_against_brute_force(spark):
+    """Texts edited at the head, in the middle, at the tail and all over: nine tenths of all links are found, whatever lies between."""
+    rng = np.random.default_rng(12)
+    alphabet = list("abcdefghijklmnop  ")
+    texts = []
+    for n in [24, 60, 150, 400, 900, 2_000, 5_000, 9_000] * 6:
+        base = rng.choice(alphabet, n)
+        texts.append("".join(base))
+        for where in ("head", "middle", "tail", "all over"):
+            k, t = max(1, n // 12), base.copy()
+            at = {"head": 0, "middle": n // 2, "tail": n - k}.get(where)
+            at = rng.choice(n, max(1, n // 40), replace=False) if at is None else np.arange(at, at + k)
+            t[at] = rng.choice(alphabet, len(at))
+            texts.append("".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = E.edit_fingerprints(docs).select("doc_id", "fingerprint")
+    got = {r.doc_id: r.near_id for r in prints.join(E.alike_groups(prints), "fingerprint").collect()}
+    parsed = {r.doc_id: E.parsed(r.fingerprint) for r in prints.collect()}
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if abs(i - j) < 5 and E.likeness(parsed[i], parsed[j]) >= E.ALIKE]
+    found = sum(got[i] == got[j] for i, j in links)
+    assert len(links) > 150 and found / len(links) > 0.9
+    assert all(i // 5 == j // 5 for i, j in got.items())
+
+
+def test_alike_groups_of_odd_rows(spark):
+    rows = [(1, None), (2, ""), (None, "only without an id"), (None, None), (3, "ab"), (4, "ab"), (5, "abc")]
+    prints = E.edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "fingerprint")
+    got = {r.doc_id: r.near_id for r in prints.filter("doc_id is not null").join(E.alike_groups(prints), "fingerprint").collect()}
+    assert got[1] == got[2] == 1 and got[3] == got[4] == 3
+    assert E.alike_groups(prints.filter("doc_id = 99")).collect() == []
+
+
 @pytest.fixture(scope="module")
 def plain_encoding():
     import tiktoken
