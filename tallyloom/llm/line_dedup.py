@@ -1,7 +1,8 @@
 """Line dedup by a log-template tree (operator 3), in DataFrame functions only.
 
-A line's place in the tree is fixed-depth: its token count, then its three leading tokens, with
-every token that holds a digit read as a variable field. Only leaves that several texts reach are
+A line's place in the tree is fixed-depth: its token count, then its three leading tokens (twelve in
+long lines, which else would meet by chance), with every token that holds a digit read as a variable
+field. Only leaves that several texts reach are
 looked into. There, a token is constant at its position if enough texts have it there; other
 positions vary. A line is an instance of the template so made if at most a fifth of its positions
 vary and at least half hold constant words, or if it is found as it stands in enough texts, whatever
@@ -22,7 +23,7 @@ from tallyloom.operators.materialize import materialize
 
 MIN_DOCS = 5  #: texts that make a template recur
 LONG, LONG_MIN_DOCS = 50, 2  #: tokens from which a line is long, and texts that make its template recur
-LEADING = 3  #: tokens below the token count in the tree
+LEADING, LONG_LEADING = 3, 12  #: tokens below the token count in the tree, and in that of long lines
 VARIABLE_SHARE = 5  #: one position of so many may vary
 FIELD_SHARE = 2  #: one position of so many may be a field of digits
 COPY_SHARE = 0.8  #: of its characters that a copy has in common with the document it copies
@@ -51,7 +52,7 @@ def parsed_lines(docs: DataFrame) -> DataFrame:
     masked = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", "<*>")).otherwise(F.col("line"))
     line = at.select("doc_id", "th", "chars", "pos", "size", F.xxhash64("line").alias("line"), masked.alias("masked"))
     n = _words_in(F.col("masked"))
-    leaf = F.xxhash64(n, F.substring_index("masked", " ", LEADING))
+    leaf = F.xxhash64(n, F.when(n >= LONG, F.substring_index("masked", " ", LONG_LEADING)).otherwise(F.substring_index("masked", " ", LEADING)))
     return line.select("doc_id", "th", "chars", "pos", "size", n.alias("n"), leaf.alias("leaf"), "line", "masked")
 
 
@@ -152,7 +153,7 @@ WITH key AS (SELECT doc_id, text, md5(coalesce(text, '')) AS th, string_split(te
 cut AS (SELECT doc_id, th, unnest(parts) AS raw, generate_subscripts(parts, 1) - 1 AS pos FROM key WHERE text IS NOT NULL),
 normal AS (SELECT doc_id, th, pos, trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS line FROM cut),
 lines AS (
-  SELECT doc_id, th, pos, line, len(toks) AS n, CASE WHEN len(toks) >= 50 THEN 2 ELSE 5 END AS enough, array_to_string(toks, ' ') AS masked, array_to_string(toks[1:3], ' ') AS lead
+  SELECT doc_id, th, pos, line, len(toks) AS n, CASE WHEN len(toks) >= 50 THEN 2 ELSE 5 END AS enough, array_to_string(toks, ' ') AS masked, array_to_string(toks[1:CASE WHEN len(toks) >= 50 THEN 12 ELSE 3 END], ' ') AS lead
   FROM (SELECT doc_id, th, pos, line, list_transform(string_split(line, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS toks FROM normal WHERE line <> '')),
 
 leaves AS (SELECT n, lead FROM (SELECT DISTINCT n, enough, lead, th FROM lines) GROUP BY n, enough, lead HAVING count(*) >= enough),
