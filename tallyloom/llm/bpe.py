@@ -28,14 +28,16 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tallyloom.llm.common import bounded_batches, documents
 from tallyloom.operators.materialize import materialize
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 12 << 20
 BUCKET_BYTES = 32 << 20  #: of text, whose distinct words are a part of it
 _BREAK = b"\xff"  #: between packed words; no UTF-8 text has this byte
 ROW = "_block long, _bucket int, _codes binary, _words binary, _ids binary"
@@ -221,20 +223,34 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", writ
     return words.unionByName(positions).groupBy("_block").applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
+@lru_cache(1)
+def _token_table() -> pa.Array:
+    return pa.array(token_bytes(), pa.large_binary())
+
+
+def _spelled(ids: pa.ListArray) -> pa.Array:
+    """The bytes of each list of ids: the ids joined with the token-byte table, whose bytes then lie in order."""
+    found = _token_table().take(ids.values)  # an id is the key, and its place in the table
+    ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
+    cuts = ends[ids.offsets.to_numpy()]
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(cuts)), found.buffers()[2] or pa.py_buffer(b"")])
+    return pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
+
+
 def decode(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
     """`encoded` with `decoded`: the bytes of its token ids, null for null; ids outside the table are an error.
 
-    The token-byte table, one row for each id of the vocabulary, is gathered into a single row and
-    joined by broadcast; ids look their bytes up by place. Other columns stay; `decoded` is replaced.
+    The token-byte table has a row for each id of the vocabulary, so it is the side of the join that
+    every task holds; ids don't move. Other columns stay; `decoded` is replaced.
     """
-    spark = encoded.sparkSession
-    table = spark.createDataFrame(pd.DataFrame({"id": range(len(token_bytes())), "hex": [t.hex() for t in token_bytes()]}), "id int, hex string")
-    table = table.groupBy(F.lit(0).alias("_all")).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "hex"))), lambda x: x["hex"]).alias("_hex"))
-    names = [c for c in encoded.columns if c != "decoded"]
-    rows = encoded.select(F.struct(*names).alias("_row"), F.lit(0).alias("_all")).join(F.broadcast(table), "_all")
-    unknown = F.raise_error(F.lit("an id that the token-byte table doesn't have"))
-    spelled = F.transform(F.col(f"_row.{ids_col}"), lambda i: F.coalesce(F.get(F.col("_hex"), i), unknown))
-    return rows.select("_row.*", F.unhex(F.array_join(spelled, "")).alias("decoded"))
+    encoded = encoded.drop("decoded")
+    at = encoded.columns.index(ids_col)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, _spelled(b.column(at))], [*b.schema.names, "decoded"])
+
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", written: bool = False) -> DataFrame:
