@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.sources.tables import table
@@ -52,3 +54,32 @@ def join_hot_keys_apart(rows: DataFrame, known: DataFrame, on: list[str], n_rows
     large = F.broadcast(known.filter(hot).drop("_n"))
     small = known.filter(~hot).drop("_n")
     return rows.join(large, on).unionByName(rows.join(large.select(*on), on, "left_anti").join(small, on))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, however often a lambda in the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(numbers: Column, start: Column) -> Column:
+    """Sums before each number, from `start` on; the array grows by copying, so it must be short."""
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(numbers, F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")), step)["out"]
+
+
+def sums_before(numbers: Column, levels: int = 3, width: int = 32) -> Column:
+    """For an array of ints, the sum of all before each, in time that grows with its length.
+
+    The array is cut into pieces of `width`, whose sums are summed up in the same way first.
+    """
+    if not levels:
+        return _running(numbers, F.lit(0))
+    cut = lambda xs: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(xs) - 1, F.lit(0)) / width).cast("int")), lambda i: F.slice(xs, i * width + 1, width))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
+    whole = lambda xs: let(cut(xs), lambda pieces: F.flatten(F.zip_with(pieces, sums_before(F.transform(pieces, total), levels - 1, width), _running)))
+    return let(numbers, lambda xs: F.when(F.size(xs) <= width, _running(xs, F.lit(0))).otherwise(whole(xs)))
+
+
+def small_or_shuffled(table: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A written table as the broadcast side of a join if it has at most `rows` rows, else as it is."""
+    return F.broadcast(table) if table.count() <= rows else table

@@ -8,11 +8,9 @@ within the row by sorting window hashes, so nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyloom.llm.common import documents
+from tallyloom.llm.common import documents, let
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -61,11 +59,6 @@ def words_of(text: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body(value)` with `value` computed once, however often a lambda in the body reads it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def repeated_words(words: Column) -> Column:
     """How many words of the array lie in a three-word window that occurs twice or more.
 
@@ -73,15 +66,15 @@ def repeated_words(words: Column) -> Column:
     three words, less what the next covers.
     """
     hashes = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    return F.when(F.size(words) < 3, F.lit(0)).otherwise(_let(words, lambda w: _let(hashes(w), _covered)))
+    return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(words, lambda w: let(hashes(w), _covered)))
 
 
 def _covered(hashes: Column) -> Column:
     """Sorting finds the repeated hashes. If they are few, their places are looked for; else `(hash, place)` is sorted."""
-    repeated = _let(F.sort_array(hashes), lambda s: F.array_distinct(F.filter(s, lambda h, i: h == F.get(s, i + 1))))
+    repeated = let(F.sort_array(hashes), lambda s: F.array_distinct(F.filter(s, lambda h, i: h == F.get(s, i + 1))))
     few = lambda d: F.array_compact(F.transform(hashes, lambda h, i: F.when(F.array_contains(d, h), i)))
-    places = _let(repeated, lambda d: F.when(F.size(d) == 0, F.array().cast("array<int>")).when(F.size(d) <= FEW, few(d)).otherwise(_places(hashes)))
-    return _let(places, _cover_three)
+    places = let(repeated, lambda d: F.when(F.size(d) == 0, F.array().cast("array<int>")).when(F.size(d) <= FEW, few(d)).otherwise(_places(hashes)))
+    return let(places, _cover_three)
 
 
 def _places(hashes: Column) -> Column:
@@ -89,7 +82,7 @@ def _places(hashes: Column) -> Column:
     pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     before = lambda s, i: F.when(i > 0, F.get(s, i - 1)["h"])
     after = lambda s, i: F.get(s, i + 1)["h"]
-    hit = _let(pairs, lambda s: F.transform(s, lambda p, i: F.when((p["h"] == before(s, i)) | (p["h"] == after(s, i)), p["i"])))
+    hit = let(pairs, lambda s: F.transform(s, lambda p, i: F.when((p["h"] == before(s, i)) | (p["h"] == after(s, i)), p["i"])))
     return F.array_sort(F.array_compact(hit))
 
 
@@ -101,7 +94,7 @@ def _cover_three(at: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Whether the rules remove a line (with a word). Marks, letters and capitals count against its length, so short lines may hold a few."""
-    return _let(_without_space(line), lambda bare: _bare_fails(line, bare))
+    return let(_without_space(line), lambda bare: _bare_fails(line, bare))
 
 
 def _bare_fails(line: Column, bare: Column) -> Column:
@@ -112,7 +105,7 @@ def _bare_fails(line: Column, bare: Column) -> Column:
     fragment = ~line.rlike(CLOSED) & (F.size(F.split(F.trim(line), SPACE, FRAGMENT_WORDS + 1)) <= FRAGMENT_WORDS)
     return (
         odd & ((_count(bare, SYMBOLS) * 20 > n) | (_count(bare, MARKS) * 20 > n + 40) | line.rlike(SEPARATED))
-        | _let(letters, lambda k: (k * 2 < n - 10) | (upper * 2 > k + 20))
+        | let(letters, lambda k: (k * 2 < n - 10) | (upper * 2 > k + 20))
         | fragment
         | line.rlike(NAVIGATION)
         | line.rlike(BOILERPLATE) & (F.regexp_count(line, F.lit(BOILERPLATE)) * PHRASE_CHARS > n)
@@ -137,7 +130,7 @@ def clean_lines(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.size("quality.words").cast("long").alias("n_words"),
             _length(_without_space(text)).cast("long").alias("word_chars"),
             _count(text, SYMBOLS).cast("long").alias("n_symbols"),
-            _let(F.filter("quality.lines", solid), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+            let(F.filter("quality.lines", solid), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
             repeated_words(F.col("quality.words")).cast("long").alias("n_repeat_words"),
             F.transform("quality.lines", lambda x: F.struct(x.alias("line"), (solid(x) & line_fails(x)).alias("bad"))).alias("lines"),
         ),
