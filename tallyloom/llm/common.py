@@ -83,3 +83,16 @@ def sums_before(numbers: Column, levels: int = 3, width: int = 32) -> Column:
 def small_or_shuffled(table: DataFrame, rows: int = 100_000) -> DataFrame:
     """A written table as the broadcast side of a join if it has at most `rows` rows, else as it is."""
     return F.broadcast(table) if table.count() <= rows else table
+
+
+def perhaps_among(rows: DataFrame, keys: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
+    """`rows` without most of those whose `key`, a hash, isn't among `keys`; a few of them stay, none of the others goes.
+
+    A bitmap of fixed size says which remainders of keys exist; it has `bits` / 64 rows at most,
+    whatever the number of keys, so it is broadcast and only rows that may match move to a join.
+    """
+    slot = F.pmod(F.xxhash64(F.lit(99), key), F.lit(bits))
+    word, bit = F.shiftright(slot, 6).cast("int"), slot.bitwiseAND(63).cast("int")
+    marks = keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    held = rows.withColumn("_word", word).withColumn("_bit", bit).join(F.broadcast(marks), "_word")
+    return held.filter(F.expr("shiftright(_bits, _bit) & 1L") == 1).select(*rows.columns)

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tallyloom.llm.common import documents, join_hot_keys_apart
+from tallyloom.llm.common import documents, join_hot_keys_apart, perhaps_among
 from tallyloom.operators.materialize import materialize
 
 MIN_DOCS = 5  #: texts that make a template recur
@@ -69,10 +69,14 @@ def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """
     seen = lines.groupBy("leaf", "n", "th").agg(F.lit(1).alias("one"))
     leaves = materialize(seen.groupBy("leaf", "n").count().filter(F.col("count") >= _enough(F.col("n"), min_docs)).select("leaf"), "leaves")
-    in_docs = lines.join(leaves, "leaf", "left_semi")
+    in_docs = perhaps_among(lines, leaves, "leaf").join(leaves, "leaf", "left_semi")
     place = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
     by_doc = materialize(in_docs.groupBy("leaf", "line", "th").agg(F.any_value("n").alias("n"), F.any_value("masked").alias("masked"), place.alias("place"), F.count("*").alias("rows")), "by_doc")
     distinct = materialize(by_doc.groupBy("leaf", "line").agg(F.any_value("n").alias("n"), F.any_value("masked").alias("masked"), F.count("*").alias("docs"), F.sum("rows").alias("rows")), "distinct_lines")
+    # Where a leaf has one line, that line is the template; tokens tell others apart.
+    several = materialize(distinct.groupBy("leaf").agg(F.count("*").alias("lines")).filter("lines > 1").select("leaf"), "several")
+    alone = distinct.join(several, "leaf", "left_anti").select("leaf", "line", "n", "rows", F.xxhash64("line", F.lit("alone")).alias("template"))
+    distinct = materialize(distinct.join(several, "leaf", "left_semi"), "several_lines")
     tokens = distinct.select("leaf", "line", "n", "docs", F.posexplode(F.split("masked", " ")).alias("at", "token"))
     constant = tokens.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support"), F.count("*").alias("_n"), F.any_value("n").alias("n")).filter(F.col("support") >= _enough(F.col("n"), min_docs))
     constant = materialize(constant.select("leaf", "at", "token", "_n"), "constants")
@@ -84,7 +88,7 @@ def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     fits = ((F.col("n") - F.col("constant")) * VARIABLE_SHARE <= F.col("n")) & (F.col("fields") * FIELD_SHARE <= F.col("n"))
     as_it_stands = F.col("docs") >= _enough(F.col("n"), min_docs)
     shape = read.filter(fits | as_it_stands).select("leaf", "line", "n", "rows", F.when(fits, F.col("template")).otherwise(F.xxhash64("line", F.lit("as it stands"))).alias("template"))
-    shape = materialize(shape, "shapes")
+    shape = materialize(shape.unionByName(alone), "shapes")
     of_docs = by_doc.select("leaf", "line", "th", "place").join(shape, ["leaf", "line"]).groupBy("leaf", "template", "th").agg(F.min("place").alias("place"), F.any_value("n").alias("n"))
     recurs = of_docs.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min("place").alias("first"), F.any_value("n").alias("n")).filter(F.col("docs") >= _enough(F.col("n"), min_docs))
     recurs = materialize(recurs.select("leaf", "template", "first"), "templates")
@@ -115,7 +119,8 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, leave_copies: bool =
     key = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     lines = materialize(parsed_lines(key), "lines")
     drops = materialize(recurring_lines(lines, min_docs).select("leaf", "line", "first", F.col("rows").alias("_n")), "recurring")
-    hit = join_hot_keys_apart(lines.select("doc_id", "th", "chars", "pos", "size", "leaf", "line"), drops, ["leaf", "line"], lines.count())
+    narrow = lines.select("doc_id", "th", "chars", "pos", "size", "leaf", "line")
+    hit = join_hot_keys_apart(perhaps_among(narrow, drops, "line"), drops, ["leaf", "line"], lines.count())
     hit = hit.filter(F.col("th") != F.col("first.th")).dropDuplicates(["doc_id", "th", "pos"])
     if leave_copies:
         hit = materialize(hit.drop("leaf", "line"), "hits")
