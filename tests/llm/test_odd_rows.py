@@ -4,6 +4,7 @@ import corpus_pipeline
 import pytest
 from odd import EXTRA, ROWS, nothing, table
 from pyspark.sql import functions as F
+from tests_data import SF
 
 from tallyloom.llm import bpe, edit_fingerprint, line_dedup, near_dedup, packing, pii, quality_cnn, quality_rules, sharding, toxicity
 
@@ -38,15 +39,27 @@ def test_no_rows_give_none(spark, name):
     assert (KEEPING | REDUCING)[name](nothing(spark)).collect() == []
 
 
-@pytest.mark.parametrize("stage", range(1, 5))
+@pytest.mark.parametrize("stage", range(5))
 def test_stages_take_odd_rows(spark, stage):
     name, run = corpus_pipeline.STAGES[stage]
     docs = table(spark).withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.lit(None).cast("long")}).select(*corpus_pipeline.COLUMNS)
-    out = run(spark, docs, "unused")
+    out = run(spark, docs, SF)
+    got = out.collect()
     if stage < 4:
         assert out.columns == corpus_pipeline.COLUMNS
-    assert out.count() > 0
-    assert run(spark, docs.filter("doc_id = -1"), "unused").count() == 0
+        want = sorted(str(i) for i, t in ROWS)
+        if name == "near_dedup":
+            want = sorted(str(i) for i, t in ROWS if (i, t) not in ((5, ROWS[4][1]), (7, ROWS[9][1])))
+        assert sorted(str(r.doc_id) for r in got) == want
+        texts = {(r.doc_id, r.text) for r in got}
+        if name != "pii":
+            assert texts <= {(i, t) for i, t in ROWS} and (1, None) in texts and (2, "") in texts
+        else:
+            assert (10, "Mail [EMAIL] or [PHONE], [IP], [CARD]") in texts and (1, None) in texts
+    else:
+        assert sorted(str(r.doc_id) for r in got if r.piece == 0) == sorted(str(i) for i, _ in ROWS)
+        assert all(len(r.ids) == r.length for r in got)
+    assert run(spark, docs.filter("doc_id = -1"), SF).count() == 0
 
 
 def test_models_without_rows(spark):
