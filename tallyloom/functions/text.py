@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -103,6 +105,7 @@ def parse_id(c: Column) -> Column:
     return F.when(c.rlike("^[0-9]{13}$"), F.struct(part(1, 2).alias("source_no"), period.alias("period"), part(9, 1).alias("tache"), part(10, 2).alias("partie"), part(12, 2).alias("sujet")))
 
 
+# Fixed value: what may lead a line as decoration.
 LEADING_MARKS = r"^[\s\x{2022}\x{2023}\x{25aa}-\x{25ff}\x{2190}-\x{21ff}\x{2600}-\x{27bf}\x{1f000}-\x{1faff}\x{fe0f}]+"
 
 
@@ -112,6 +115,7 @@ def clean_decoration(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s*\x{2192}\s*", " : "), SPACE + "+", " "))
 
 
+# How requests, wishes and roles begin.
 STRONG = r"(?i)((?:vous\s+me\s+(?:demandez|posez)|(?:posez|demandez)-moi)[^.]*)"
 WEAK = r"(?i)(vous\s+(?:voulez|souhaitez|cherchez)[^.]*)"
 ROLE = r"(?i)^(\s*(?:je\s+suis|je\s+travaille|je\s+viens)\b[^.]*)"
@@ -167,32 +171,62 @@ def composed(df: DataFrame, col: str = "text") -> DataFrame:
     return df.filter(~odd).unionByName(df.filter(odd).withColumn(col, nfc(col)))
 
 
+DIFF_ROWS = 256  #: rows of the table that are held at once, and between those that are remembered
+
+
+def _common_steps(p: np.ndarray, q: np.ndarray) -> Iterator[str]:
+    """The steps `=`, `-` and `+` of a longest common subsequence, a deletion first where both gain alike.
+
+    The table of lengths is computed from its end, row by row; every DIFF_ROWS-th row is remembered
+    and the rows between are computed again on the way back, so long texts need little memory.
+    """
+
+    def row_before(i: int, after: np.ndarray) -> np.ndarray:
+        gain = np.where(q == p[i], after[1:] + 1, after[:-1])
+        return np.append(np.maximum.accumulate(gain[::-1])[::-1], 0)
+
+    held = {len(p): np.zeros(len(q) + 1, np.int32)}
+    row = held[len(p)]
+    for i in reversed(range(len(p))):
+        row = row_before(i, row)
+        if i % DIFF_ROWS == 0:
+            held[i] = row
+    j = 0
+    for begin in range(0, len(p), DIFF_ROWS):
+        end = min(begin + DIFF_ROWS, len(p))
+        rows = [held[end]]
+        for i in reversed(range(begin, end)):
+            rows.append(row_before(i, rows[-1]))
+        rows.reverse()
+        i = begin
+        while i < end:
+            if j < len(q) and p[i] == q[j]:
+                i, j = i + 1, j + 1
+                yield "="
+            elif j == len(q) or rows[i + 1 - begin][j] >= rows[i - begin][j + 1]:
+                i += 1
+                yield "-"
+            else:
+                j += 1
+                yield "+"
+    yield from "+" * (len(q) - j)
+
+
 def word_diff(df: DataFrame, a: str, b: str) -> DataFrame:
     """`df` with `diff`: ops (`=`, `-`, `+`) and tokens of the longest common subsequence of two texts.
 
     Tokens are words and the white space between them; on equal gain a deletion comes first.
     """
-    import re
-
     cut = re.compile(r"(\s+)")
 
     def ops(x: str, y: str) -> list[dict]:
         p, q = [t for t in cut.split(x or "") if t], [t for t in cut.split(y or "") if t]
-        best = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        for i in reversed(range(len(p))):
-            for j in reversed(range(len(q))):
-                best[i][j] = best[i + 1][j + 1] + 1 if p[i] == q[j] else max(best[i + 1][j], best[i][j + 1])
+        names = {t: k for k, t in enumerate(dict.fromkeys([*p, *q]))}
+        kept = _common_steps(np.array([names[t] for t in p], np.int64), np.array([names[t] for t in q], np.int64))
         out, i, j = [], 0, 0
-        while i < len(p) or j < len(q):
-            if i < len(p) and j < len(q) and p[i] == q[j]:
-                out.append({"op": "=", "tok": p[i]})
-                i, j = i + 1, j + 1
-            elif j == len(q) or (i < len(p) and best[i + 1][j] >= best[i][j + 1]):
-                out.append({"op": "-", "tok": p[i]})
-                i += 1
-            else:
-                out.append({"op": "+", "tok": q[j]})
-                j += 1
+        for step in kept:
+            out.append({"op": step, "tok": q[j] if step == "+" else p[i]})
+            i, j = i + (step != "+"), j + (step != "-")
         return out
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -101,7 +101,7 @@ def agent_report(rows: DataFrame) -> DataFrame:
     right, base = F.col("agent") == F.col("gold"), F.col("blind") == F.col("gold")
     fixed = n(right & ~base)
     out = done.agg(
-        F.count("*").alias("n"), n(F.col("agent") == F.col("bank")).alias("agreed"), n(F.col("agent") != F.col("blind")).alias("revised"), n(F.col("is_new")).alias("new"),
+        F.count("*").alias("n"), n(F.col("agent") == F.col("bank")).alias("agreed"), n(F.col("agent") != F.col("blind")).alias("revised"), n(F.col("is_new")).alias("new"), n(F.col("theme_wrong")).alias("theme_wrong"),
         n(F.col("agent").isNull() & F.col("action").isNotNull()).alias("deferred"), n(F.col("action").isNull()).alias("capped"), n(F.size("fabricated") > 0).alias("fabricated"),
         F.sum("tokens").alias("tokens"), F.max("tokens").alias("max_tokens"), F.count("tokens").alias("_m"), fixed.alias("fixed"), n(base & ~right).alias("broke"), n(right & (F.col("agent") == F.col("bank"))).alias("both_right"),
     )

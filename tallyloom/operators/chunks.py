@@ -5,11 +5,28 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tallyloom.operators.materialize import materialize
+
 
 def grouped_chunks(rows: DataFrame, size: int, group: list[str], order: list[str]) -> DataFrame:
-    """`rows` with chunk (from 1 in each group) and n (from 1 in each chunk); chunks never mix groups."""
-    rn = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return rows.withColumn("_rn", rn).withColumns({"chunk": F.ceil(F.col("_rn") / size).cast("int"), "n": ((F.col("_rn") - 1) % size + 1).cast("int")}).drop("_rn")
+    """`rows` with chunk (from 1 in each group) and n (from 1 in each chunk); chunks never mix groups.
+
+    Rows are numbered within ranges of group and order, which are written, and the ranges' counts
+    are added up; so a group of any size is spread over tasks.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id())
+    placed = materialize(ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_part", *group).orderBy(*order))), "ranges")
+    counts = placed.groupBy("_part", *group).agg(F.max("_rn").alias("_n"))
+    before = counts.select("_part", *group, F.coalesce(F.sum("_n").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    keys = ["_part", *group]
+    before = before.select(*[F.col(c).alias(f"_of_{c}") for c in keys], "_before")
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    rn = F.col("_before") + F.col("_rn")
+    numbered = placed.join(before, same).select(*rows.columns, rn.alias("_rn"))
+    return numbered.withColumns({"chunk": F.ceil(F.col("_rn") / size).cast("int"), "n": ((F.col("_rn") - 1) % size + 1).cast("int")}).drop("_rn")
 
 
 def budgeted_batches(rows: DataFrame, key: str, tokens: str, max_rows: int, max_tokens: int, shard_rows: int = 50_000) -> DataFrame:

@@ -197,8 +197,9 @@ def accounting(canonicals: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def review_queue(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs with both texts, score to four places, strongest first. `texts` is `(id, text)`."""
-    out = pairs.join(texts.select(F.col("id").alias("a_id"), F.col("text").alias("a_text")), "a_id").join(texts.select(F.col("id").alias("b_id"), F.col("text").alias("b_text")), "b_id")
+    """Pairs with all columns of both sides, as `a_` and `b_`, score to four places, strongest first. `texts` has id and text."""
+    side = lambda x: texts.select(*[F.col(c).alias(f"{x}_{c}") for c in texts.columns])
+    out = pairs.join(side("a"), "a_id").join(side("b"), "b_id")
     return out.withColumn("score", F.round("score", 4)).orderBy(F.desc("score"), "a_id", "b_id")
 
 
@@ -209,10 +210,10 @@ def apply_pair_decisions(nodes: DataFrame, decisions: DataFrame) -> DataFrame:
     return single_linkage(nodes, merges).select("id", F.col("cluster").alias("canonical_id"))
 
 
-def score_distribution(pairs: DataFrame, n_docs: int, at: tuple[float, ...] = (0.5, 0.9, 0.99)) -> DataFrame:
+def score_distribution(pairs: DataFrame, n_docs: int, at: tuple[float, ...] = (0.5, 0.9, 0.99, 0.999)) -> DataFrame:
     """Quantiles (linear) over all n(n-1)/2 pairs, of which those not listed score 0. `pairs` has every score above 0."""
     total = n_docs * (n_docs - 1) // 2
-    listed = pairs.agg(F.count("*").alias("k"), F.max("score").alias("max"))
+    listed = pairs.agg(F.count("*").alias("k"), F.min("score").alias("min"), F.max("score").alias("max"))
     k = listed.first()["k"]
     # Rank r of all pairs is rank r - zeros of the listed ones: zeros come first.
     wanted = sorted({int(f) for q in at for f in (math.floor(q * (total - 1)), math.ceil(q * (total - 1)))})
@@ -223,4 +224,4 @@ def score_distribution(pairs: DataFrame, n_docs: int, at: tuple[float, ...] = (0
         got = pairs.agg(F.percentile("score", F.array(*map(F.lit, share)))).first()[0]
         found = {r + total - k: v for r, v in zip(ranks, got)}
     quantile = lambda q: (lambda lo, hi, f: found.get(lo, 0.0) + (found.get(hi, 0.0) - found.get(lo, 0.0)) * f)(math.floor(q * (total - 1)), math.ceil(q * (total - 1)), q * (total - 1) % 1)
-    return listed.select(F.lit(total).cast("long").alias("pairs"), *[F.round(F.lit(quantile(q)), 6).alias(f"p{q * 100:g}".replace(".", "_")) for q in at], F.round("max", 6).alias("max"))
+    return listed.select(F.lit(total).cast("long").alias("pairs"), *[F.round(F.lit(quantile(q)), 6).alias(f"p{q * 100:g}".replace(".", "_")) for q in at], F.round(F.col("min") if k == total else F.lit(0.0), 6).alias("min"), F.round("max", 6).alias("max"))

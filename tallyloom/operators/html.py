@@ -73,6 +73,7 @@ def block_texts(nodes: DataFrame) -> DataFrame:
     return out.select("page_id", "block", "tag", squeezed(joined(F.col("ps"))).alias("text"), squeezed(joined(F.filter("ps", lambda x: x["bold"]))).alias("bold_text")).filter("text <> ''")
 
 
+# How headings name task, part and subject.
 MARKERS = {"tache": r"(?i)^t[âa]che\s*(\d+)", "partie": r"(?i)^(?:partie|combinaison)\s*(\d+)", "sujet": r"(?i)^sujet\s*(\d+)"}
 
 
@@ -148,12 +149,25 @@ def nested_questions(pages: DataFrame, parties: Column) -> DataFrame:
     return rows.select("page_id", "partie", "tache", n.alias("sujet"), "text")
 
 
+HREF = r"""<a\s(?:[^>]*?\s)?href=("[^"]*"|'[^']*')"""
+
+
 def links(pages: DataFrame, slug: str) -> DataFrame:
-    """`(page_id, url, slug)`: same-host links whose path matches, once for each slug, absolute."""
-    hrefs = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
-    host = F.regexp_extract("base", r"^(https?://[^/]+)", 1)
-    absolute = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("/"), F.concat(host, "href"))
-    found = hrefs.withColumns({"host": host, "link": absolute}).filter(F.col("link").isNotNull() & F.startswith("link", "host"))
+    """`(page_id, url, slug)`: same-host links whose path matches, once for each slug, absolute, the first on the page.
+
+    Links may be absolute, without scheme, from the root, or beside the page; hosts must be equal.
+    """
+    hrefs = pages.select("page_id", F.col("url").alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("pos", "quoted"))
+    hrefs = hrefs.withColumn("href", F.trim(F.substring("quoted", F.lit(2), F.length("quoted") - 2))).filter("href <> '' and not startswith(href, '#')")
+    host = lambda c: F.lower(F.regexp_extract(c, "^(https?://[^/?#]+)", 1))
+    beside = F.when(F.col("base").rlike("^https?://[^/]+/"), F.regexp_replace(F.regexp_replace("base", "[?#].*$", ""), "[^/]*$", "")).otherwise(F.concat("base", F.lit("/")))
+    absolute = (
+        F.when(F.col("href").rlike("^https?://"), F.col("href"))
+        .when(F.col("href").startswith("//"), F.concat(F.regexp_extract("base", "^(https?:)", 1), "href"))
+        .when(F.col("href").startswith("/"), F.concat(F.regexp_extract("base", "^(https?://[^/?#]+)", 1), "href"))
+        .when(~F.col("href").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), F.concat(beside, "href"))
+    )
+    found = hrefs.withColumn("link", absolute).filter(F.col("link").isNotNull() & (host(F.col("link")) == host(F.col("base"))))
     found = found.withColumn("slug", F.regexp_extract("link", slug, 1)).filter("slug <> ''")
     first = found.groupBy("page_id", "slug").agg(F.min_by("link", "pos").alias("url"))
     return first.select("page_id", "url", "slug")

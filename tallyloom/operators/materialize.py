@@ -30,9 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_dir(spark)}/tallyloom/{label}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write `df` once to the shared folder and return it as read back from there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyloom/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

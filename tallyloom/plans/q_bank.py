@@ -234,10 +234,10 @@ def theme_ranks(spark, d):
     return C.core_set(v_identity(spark, d), v_bank(spark, d), 2).select("theme", "theme_rank").distinct()
 
 
-@query("win_03", "SELECT f_id, string_agg(period, ',' ORDER BY period DESC) AS periods FROM v_list WHERE f_id % 10 = 1 GROUP BY f_id", "v_bank v_list")
+@query("win_03", "SELECT f_id, string_agg(period, ',' ORDER BY period DESC) AS periods FROM v_list GROUP BY f_id", "v_bank v_list")
 def also_asked_in(spark, d):
     """All months of an identity, newest first."""
-    rows = v_list(spark, d).filter("f_id % 10 = 1").groupBy("f_id").agg(F.sort_array(F.collect_list("period"), asc=False).alias("p"))
+    rows = v_list(spark, d).groupBy("f_id").agg(F.sort_array(F.collect_list("period"), asc=False).alias("p"))
     return rows.select("f_id", F.array_join("p", ",").alias("periods"))
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.functions import vectors as V
+from tallyloom.functions import text as T, vectors as V
 from tallyloom.operators import dedup as D, knn as K, layers as L
 from tallyloom.operators.materialize import materialize
 from tallyloom.plans.base import query, sql_normalize, v_bank, v_identity, v_list, v_sightings, v_vectors
 from tallyloom.plans.q_text import TOK
 from tallyloom.sources.tables import table
 
-REPS = "reps AS (SELECT tache, fp, min(doc_id) AS id, arg_min(text, doc_id) AS text FROM v_sightings GROUP BY tache, fp)"
+REPS = "reps AS (SELECT tache, fp, min(doc_id) AS id, arg_min(text, doc_id) AS text, arg_min(source, doc_id) AS source FROM v_sightings GROUP BY tache, fp)"
 VEC = f"""{REPS}, toks AS (SELECT id, tache, {TOK} AS w FROM reps), grams AS (SELECT id, tache, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS term FROM toks),
     tf AS (SELECT id, tache, term, 1 + ln(count(*)) AS tf FROM grams GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
     wt AS (SELECT id, tache, term, df, tf * (ln((1.0 + (SELECT count(*) FROM reps)) / (1.0 + df)) + 1) AS w FROM tf JOIN df USING (term)), nm AS (SELECT id, sqrt(sum(w * w)) AS n FROM wt GROUP BY id),
@@ -23,17 +23,28 @@ CLUSTERS = f"""{PAIRS}, edges AS (SELECT a_id AS x, b_id AS y FROM pairs WHERE s
 
 def reps(spark, d):
     """One sighting for each exact group: the first."""
-    first = v_sightings(spark, d).groupBy("tache", "fp").agg(F.min(F.struct("doc_id", "text")).alias("r"))
-    return first.select("tache", "fp", F.col("r.doc_id").alias("id"), F.col("r.text").alias("text"))
+    first = v_sightings(spark, d).groupBy("tache", "fp").agg(F.min(F.struct("doc_id", "text", "source")).alias("r"))
+    return first.select("tache", "fp", F.col("r.doc_id").alias("id"), F.col("r.text").alias("text"), F.col("r.source").alias("source"))
+
+
+_kept = {}  #: tables that several queries read, by application and folder
+
+
+def kept(spark, d, name, make):
+    """The table that `make` gives, written once in an application."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _kept:
+        _kept[key] = materialize(make(), name)
+    return _kept[key]
 
 
 def pairs(spark, d):
-    return materialize(D.cosine_pairs(D.term_weights(reps(spark, d).select("id", "tache", "text")), 0.55), "pairs")
+    return kept(spark, d, "pairs", lambda: D.cosine_pairs(D.term_weights(reps(spark, d).select("id", "tache", "text")), 0.55))
 
 
 def clusters(spark, d):
     """Single-linkage clusters at 0.75, as a table."""
-    return materialize(D.single_linkage(reps(spark, d), pairs(spark, d).filter("score >= 0.75")), "clusters")
+    return kept(spark, d, "clusters", lambda: D.single_linkage(reps(spark, d), pairs(spark, d).filter("score >= 0.75")))
 
 
 def clustered(spark, d):
@@ -133,10 +144,11 @@ def accounting(spark, d):
     return D.accounting(canon(spark, d), v_sightings(spark, d))
 
 
-@query("ded_13", f"WITH {PAIRS} SELECT a_id, b_id, round(score, 4) AS score, a.text AS a_text, b.text AS b_text FROM pairs JOIN reps a ON a.id = a_id JOIN reps b ON b.id = b_id WHERE score < 0.95", "v_sightings")
+@query("ded_13", f"WITH {PAIRS} SELECT a_id, b_id, round(score, 4) AS score, a.text AS a_text, a.source AS a_theme, substr(a.text, 1, 160) AS a_abstract, b.text AS b_text, b.source AS b_theme, substr(b.text, 1, 160) AS b_abstract FROM pairs JOIN reps a ON a.id = a_id JOIN reps b ON b.id = b_id WHERE score < 0.95", "v_sightings")
 def review_queue(spark, d):
-    """Pairs to review with their texts."""
-    return D.review_queue(pairs(spark, d).filter("score < 0.95"), reps(spark, d))
+    """Pairs to review with the texts, themes and abstracts of both sides; a source stands for the theme, a text's head for its abstract."""
+    sides = reps(spark, d).select("id", "text", F.col("source").alias("theme"), T.snippet(F.col("text"), 160).alias("abstract"))
+    return D.review_queue(pairs(spark, d).filter("score < 0.95"), sides)
 
 
 @query("ded_14", f"""WITH RECURSIVE {PAIRS}, merges AS (SELECT a_id AS x, b_id AS y FROM pairs WHERE (a_id + b_id) % 2 = 0 UNION SELECT b_id, a_id FROM pairs WHERE (a_id + b_id) % 2 = 0),
@@ -154,7 +166,7 @@ def pair_self_join(spark, d):
 
 
 @query("agg_20", """WITH p AS (SELECT list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), z AS (SELECT greatest(s, 0) AS s FROM p)
-    SELECT count(*) AS pairs, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.9), 6) AS p90, round(quantile_cont(s, 0.99), 6) AS p99, round(max(s), 6) AS max FROM z""")
+    SELECT count(*) AS pairs, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.9), 6) AS p90, round(quantile_cont(s, 0.99), 6) AS p99, round(quantile_cont(s, 0.999), 6) AS p99_9, round(min(s), 6) AS min, round(max(s), 6) AS max FROM z""")
 def score_distribution(spark, d):
     """Quantiles of all pair scores; pairs that aren't listed count as 0."""
     v = v_vectors(spark, d)

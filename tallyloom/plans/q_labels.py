@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
-from tallyloom.operators import agreement as A, chunks as K, joins as J, labels as L
+from tallyloom.operators import agreement as A, dedup as D, chunks as K, joins as J, labels as L
 from tallyloom.plans.base import query, v_identity, v_runs, v_vectors, v_vocab
 from tallyloom.sources.tables import table
 
@@ -69,7 +69,7 @@ def option_coverage(spark, d):
 
 
 AGENT = """agent AS (SELECT id, gold, a AS blind, b AS bank, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 4 = 0 THEN b ELSE a END AS agent, CASE WHEN id % 12 = 0 THEN NULL ELSE 'label' END AS action,
-    id % 7 = 0 AS is_new, 100 + id % 50 AS tokens, [id % 10, id % 13] AS evidence_ids, list_distinct([id % 10, id % 11, id % 13 - id % 2]) AS retrieved FROM v_runs)"""
+    id % 7 = 0 AS is_new, id % 9 = 0 AS theme_wrong, 100 + id % 50 AS tokens, [id % 10, id % 13] AS evidence_ids, list_distinct([id % 10, id % 11, id % 13 - id % 2]) AS retrieved FROM v_runs)"""
 
 
 def agent(spark, d):
@@ -77,11 +77,11 @@ def agent(spark, d):
     r, i = v_runs(spark, d), F.col("id")
     return r.select(
         "id", "gold", F.col("a").alias("blind"), F.col("b").alias("bank"), F.when(i % 6 == 0, None).when(i % 4 == 0, F.col("b")).otherwise(F.col("a")).alias("agent"), F.when(i % 12 != 0, "label").alias("action"),
-        (i % 7 == 0).alias("is_new"), (100 + i % 50).alias("tokens"), F.array(i % 10, i % 13).alias("evidence_ids"), F.array_distinct(F.array(i % 10, i % 11, i % 13 - i % 2)).alias("retrieved"),
+        (i % 7 == 0).alias("is_new"), (i % 9 == 0).alias("theme_wrong"), (100 + i % 50).alias("tokens"), F.array(i % 10, i % 13).alias("evidence_ids"), F.array_distinct(F.array(i % 10, i % 11, i % 13 - i % 2)).alias("retrieved"),
     )
 
 
-@query("agg_17", f"""WITH {AGENT} SELECT count(*) AS n, count(*) FILTER (agent = bank) AS agreed, count(*) FILTER (agent <> blind) AS revised, count(*) FILTER (is_new) AS new, count(*) FILTER (agent IS NULL AND action IS NOT NULL) AS deferred,
+@query("agg_17", f"""WITH {AGENT} SELECT count(*) AS n, count(*) FILTER (agent = bank) AS agreed, count(*) FILTER (agent <> blind) AS revised, count(*) FILTER (is_new) AS new, count(*) FILTER (theme_wrong) AS theme_wrong, count(*) FILTER (agent IS NULL AND action IS NOT NULL) AS deferred,
     count(*) FILTER (action IS NULL) AS capped, count(*) FILTER (len(list_filter(evidence_ids, lambda x: NOT list_contains(retrieved, x))) > 0) AS fabricated, CAST(sum(tokens) AS BIGINT) AS tokens, max(tokens) AS max_tokens,
     count(*) FILTER (agent = gold AND blind <> gold) AS fixed, count(*) FILTER (blind = gold AND agent <> gold) AS broke, count(*) FILTER (agent = gold AND agent = bank) AS both_right,
     list_sort(list(tokens))[count(*) // 2 + 1] AS median_tokens FROM agent""", "v_runs")
@@ -120,15 +120,12 @@ def batch_progress(spark, d):
     return items.groupBy("batch").agg(F.count("*").alias("items"), F.count("decision").alias("decided"))
 
 
-@query("top_03", "SELECT a.vec_id AS a_id, b.vec_id AS b_id FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND b.vec_id <= a.vec_id + 20 WHERE list_cosine_similarity(a.embedding, b.embedding) > 0.2 ORDER BY round(CAST(list_cosine_similarity(a.embedding, b.embedding) AS DOUBLE), 4) DESC, a_id, b_id LIMIT 100")
+@query("top_03", """WITH p AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+    SELECT a_id, b_id, score FROM p WHERE score >= 0.2 ORDER BY score DESC, a_id, b_id LIMIT 100""")
 def top_pairs(spark, d):
-    """The strongest pairs among neighbours by id."""
-    from tallyloom.functions.vectors import dot
-
-    v = v_vectors(spark, d).select("f_id", "embedding")
-    near = v.select(F.col("f_id").alias("a_id"), F.col("embedding").alias("x"), F.explode(F.sequence(F.col("f_id") + 1, F.col("f_id") + 20)).alias("b_id"))
-    pairs = near.join(v.select(F.col("f_id").alias("b_id"), F.col("embedding").alias("y")), "b_id").withColumn("score", dot(F.col("x"), F.col("y"))).filter("score > 0.2")
-    return pairs.orderBy(F.round("score", 4).desc(), "a_id", "b_id").limit(100).select("a_id", "b_id")
+    """The hundred strongest of all pairs."""
+    pairs = D.dense_pairs(v_vectors(spark, d), 0.2).withColumn("score", F.round("score", 6))
+    return pairs.orderBy(F.desc("score"), "a_id", "b_id").limit(100)
 
 
 @query("top_04", "SELECT id, a AS said, gold FROM v_runs WHERE a <> gold ORDER BY confidence DESC, id LIMIT 10", "v_runs")

@@ -12,19 +12,27 @@ from tallyloom.sources.tables import table
 from tallyloom.streaming import flags as S, intake as I
 
 
+PAGE_IDS = 300
+PAGE = f"source || '/' || period || '/' || CAST(doc_id // {PAGE_IDS} AS VARCHAR)"
+
+
+def page_id():
+    return F.concat_ws("/", "source", "period", F.floor(F.col("doc_id") / PAGE_IDS).cast("string")).alias("page_id")
+
+
 def marked_pages(spark, d):
-    """A page for each source and month, laid out with headings, made of the sightings."""
+    """Pages of each source and month, laid out with headings, made of the sightings of PAGE_IDS ids in a row; so no page grows with the input."""
     esc = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     part = lambda tag, word, n: F.concat(F.lit(f"<{tag}>{word} "), F.col(n).cast("string"), F.lit(f"</{tag}>"))
     item = F.concat(part("h2", "Tâche", "tache"), part("h3", "Partie", "partie"), part("p", "Sujet", "sujet"), F.lit("<p><strong>"), esc, F.lit("</strong></p>"))
-    rows = v_sightings(spark, d).select(F.concat_ws("/", "source", "period").alias("page_id"), "doc_id", item.alias("item"))
+    rows = v_sightings(spark, d).select(page_id(), "doc_id", item.alias("item"))
     pages = rows.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "item"))).alias("items"))
     body = F.array_join(F.transform("items", lambda x: x["item"]), "\n")
     return pages.select("page_id", F.concat(F.lit("<html><nav><a href='/'>Menu</a></nav><article>"), body, F.lit("</article><footer>Sujet 9 of the footer</footer></html>")).alias("html"))
 
 
 WIDE = r"trim(regexp_replace(replace(text, chr(160), ' '), '[\s\x0b]+', ' ', 'g'), ' ')"
-ASKED = f"asked AS (SELECT DISTINCT source || '/' || period AS page_id, tache, partie, sujet, {WIDE} AS text FROM v_sightings WHERE length({WIDE}) > 40)"
+ASKED = f"asked AS (SELECT DISTINCT {PAGE} AS page_id, tache, partie, sujet, {WIDE} AS text FROM v_sightings WHERE length({WIDE}) > 40)"
 
 
 @query("htm_01")
@@ -41,7 +49,7 @@ def marked_questions(spark, d):
     return found.select("page_id", "tache", "partie", "sujet", F.sha2("text", 256).alias("sha"))
 
 
-@query("htm_03", f"SELECT source || '/' || period AS page_id, count(*) AS blocks, CAST(sum(length({WIDE})) AS BIGINT) AS chars FROM v_sightings GROUP BY ALL", "v_sightings")
+@query("htm_03", f"SELECT {PAGE} AS page_id, count(*) AS blocks, CAST(sum(length({WIDE})) AS BIGINT) AS chars FROM v_sightings GROUP BY ALL", "v_sightings")
 def bold_runs(spark, d):
     """Bold text of each page's blocks."""
     bold = H.block_texts(H.html_nodes(marked_pages(spark, d))).filter("bold_text <> ''")
@@ -50,8 +58,8 @@ def bold_runs(spark, d):
 
 def pushed_pages(spark, d):
     """Pages that carry nested questions as two pushed pieces of JSON, made of the sightings."""
-    subject = F.struct("tache", F.substring("text", 1, 200).alias("text"))
-    parts = v_sightings(spark, d).withColumn("page_id", F.concat_ws("/", "source", "period")).groupBy("page_id", "partie").agg(F.array_sort(F.collect_list(F.struct("doc_id", subject.alias("s")))).alias("xs"))
+    subject = F.struct("tache", "text")
+    parts = v_sightings(spark, d).select("*", page_id()).groupBy("page_id", "partie").agg(F.array_sort(F.collect_list(F.struct("doc_id", subject.alias("s")))).alias("xs"))
     pages = parts.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("partie", F.transform("xs", lambda x: x["s"]).alias("sujets")))).alias("parties"))
     text = F.to_json(F.struct("parties"))
     piece = lambda s: F.regexp_replace(F.to_json(F.array(s)), r"^\[|\]$", "")
@@ -60,23 +68,28 @@ def pushed_pages(spark, d):
     return pages.select("page_id", text.alias("t")).select("page_id", F.concat(call(F.substring(F.col("t"), F.lit(1), half)), F.lit("<p>between</p>"), call(F.substring(F.col("t"), half + 1, F.length("t")))).alias("html"))
 
 
-@query("htm_04", "SELECT page_id, CAST(count(*) AS INTEGER) AS parties FROM (SELECT DISTINCT source || '/' || period AS page_id, partie FROM v_sightings) GROUP BY page_id", "v_sightings")
+@query("htm_04", f"SELECT page_id, CAST(count(*) AS INTEGER) AS parties FROM (SELECT DISTINCT {PAGE} AS page_id, partie FROM v_sightings) GROUP BY page_id", "v_sightings")
 def embedded_json(spark, d):
     """The JSON array cut out of pushed payloads."""
     cut = H.bracket_slice(H.pushed_payload(F.col("html")), F.lit("parties"))
     return pushed_pages(spark, d).select("page_id", F.size(F.from_json(cut, H.PARTIES)).alias("parties"))
 
 
-@query("htm_05", """SELECT source || '/' || period AS page_id, partie, tache, CAST(row_number() OVER (PARTITION BY source, period, partie, tache ORDER BY doc_id) AS INTEGER) AS sujet, trim(substr(text, 1, 200), ' ') AS text
-    FROM v_sightings WHERE trim(substr(text, 1, 200), ' ') <> ''""", "v_sightings")
+@query("htm_05", f"""SELECT {PAGE} AS page_id, partie, tache, CAST(row_number() OVER (PARTITION BY source, period, doc_id // {PAGE_IDS}, partie, tache ORDER BY doc_id) AS INTEGER) AS sujet, trim(text, ' ') AS text
+    FROM v_sightings WHERE trim(text, ' ') <> ''""", "v_sightings")
 def nested_explode(spark, d):
     """Questions of nested parts and subjects."""
     pages = pushed_pages(spark, d).withColumn("parties", F.from_json(H.bracket_slice(H.pushed_payload(F.col("html")), F.lit("parties")), H.PARTIES))
     return H.nested_questions(pages, F.col("parties"))
 
 
-@query("htm_06", r"""WITH h AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS host, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS href FROM pages)
-    SELECT DISTINCT page_id, host || href AS url, regexp_extract(href, '^/([a-z]{3,})$', 1) AS slug FROM h WHERE starts_with(href, '/') AND regexp_matches(href, '^/[a-z]{3,}$')""")
+@query("htm_06", r"""WITH q AS (SELECT page_id, url, unnest(list_zip(regexp_extract_all(html, '<a\s(?:[^>]*?\s)?href=("[^"]*"|''[^'']*'')', 1), range(1000000))) AS x FROM pages),
+    h AS (SELECT page_id, url, x[2] AS pos, trim(x[1][2:-2]) AS href FROM q WHERE x[1] IS NOT NULL),
+    l AS (SELECT page_id, pos, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1)) AS host, CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^(https?:)', 1) || href
+      WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/?#]+)', 1) || href WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL
+      ELSE CASE WHEN regexp_matches(url, '^https?://[^/]+/') THEN regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') ELSE url || '/' END || href END AS link FROM h WHERE href <> '' AND NOT starts_with(href, '#'))
+    SELECT page_id, arg_min(link, pos) AS url, regexp_extract(link, '^https?://[^/]+/([a-z]{3,})$', 1) AS slug FROM l
+    WHERE lower(regexp_extract(link, '^(https?://[^/?#]+)', 1)) = host AND regexp_matches(link, '^https?://[^/]+/[a-z]{3,}$') GROUP BY ALL""")
 def link_discovery(spark, d):
     """Links of each page to its own host."""
     return H.links(table(spark, d, "pages"), r"^https?://[^/]+/([a-z]{3,})$")
@@ -98,7 +111,7 @@ def content_change(spark, d):
 
 
 @query("htm_09", f"""WITH {ASKED} SELECT page_id, count(*) FILTER (tache = 2) AS t2, count(*) FILTER (tache = 3) AS t3, count(tache) = 0 AS empty
-    FROM (SELECT DISTINCT source || '/' || period AS page_id FROM v_sightings) LEFT JOIN asked USING (page_id) GROUP BY page_id""", "v_sightings")
+    FROM (SELECT DISTINCT {PAGE} AS page_id FROM v_sightings) LEFT JOIN asked USING (page_id) GROUP BY page_id""", "v_sightings")
 def yield_report(spark, d):
     """What each page gave."""
     pages = marked_pages(spark, d)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
 from tallyloom.plans.base import _WS, query, sql_flatten, sql_key, sql_normalize, v_bank, v_identity, v_runs, v_sightings
+from tallyloom.operators.materialize import scratch_path
 from tallyloom.sources import jsonl
 from tallyloom.sources.tables import table
 
@@ -79,7 +80,10 @@ def sink_jsonl(spark, d):
     """Rows through JSON lines in key order."""
     from tallyloom.plans.base import v_list
 
-    return jsonl.jsonl_round_trip(v_list(spark, d).select("f_id", "tache", "period", "month_sightings"))
+    rows = v_list(spark, d).select("f_id", "tache", "period", "month_sightings")
+    path = scratch_path(spark, "jsonl")
+    jsonl.write_jsonl(rows, path, [F.col("f_id"), F.col("period")])
+    return spark.read.schema(rows.schema).json(path)
 
 
 @query("src_08", "SELECT f_id, substr(sha256(text || f_id), 1, 12) AS fingerprint, theme AS theme_name, months_seen FROM v_identity WHERE tache = 2", "v_identity")
@@ -131,11 +135,11 @@ def word_tokens(spark, d):
     return table(spark, d, "documents").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.array_join("w", " ").alias("words"))
 
 
-@query("txt_05", f"""WITH t AS (SELECT doc_id, {TOK} AS w FROM documents WHERE length(text) < 3000)
+@query("txt_05", f"""WITH t AS (SELECT doc_id, {TOK} AS w FROM documents)
     SELECT doc_id, array_to_string(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]), '|') AS grams FROM t""")
 def ngrams(spark, d):
-    """Words and word pairs of the shorter texts."""
-    rows = table(spark, d, "documents").filter(F.length("text") < 3000).select("doc_id", T.word_tokens(F.col("text")).alias("w"))
+    """Words and word pairs of every text."""
+    rows = table(spark, d, "documents").select("doc_id", T.word_tokens(F.col("text")).alias("w"))
     return rows.select("doc_id", F.array_join(T.ngrams(F.col("w"), 2), "|").alias("grams"))
 
 
@@ -147,13 +151,13 @@ def label_keys(spark, d):
     )
 
 
-@query("txt_07", """SELECT doc_id, trim(regexp_replace(strip_accents(lower(substr(text, 1, 80))), '[^a-z0-9]+', ' ', 'g'), ' ') AS slug,
+@query("txt_07", """SELECT doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g'), ' ') AS slug,
     CAST(CASE doc_id % 5 WHEN 0 THEN 2 WHEN 1 THEN 8 WHEN 2 THEN 12 WHEN 3 THEN 1 END AS INTEGER) AS month FROM documents""")
 def slugs(spark, d):
-    """Slugs of text heads, and month numbers from spelled months."""
+    """Slugs of texts, and month numbers from spelled months."""
     k = F.col("doc_id") % 5
     month = F.when(k == 0, "Février").when(k == 1, "août").when(k == 2, "DÉC.").when(k == 3, "junvier").otherwise("someday")
-    return table(spark, d, "documents").select("doc_id", T.deaccent_slug(F.substring("text", 1, 80)).alias("slug"), T.month_number(month).alias("month"))
+    return table(spark, d, "documents").select("doc_id", T.deaccent_slug(F.col("text")).alias("slug"), T.month_number(month).alias("month"))
 
 
 @query("txt_08", """SELECT doc_id, '03' || replace(period, '-', '') || tache || lpad(CAST(partie AS VARCHAR), 2, '0') || lpad(CAST(sujet AS VARCHAR), 2, '0') AS qid, period, tache, partie, sujet FROM v_sightings""", "v_sightings")
@@ -182,9 +186,9 @@ def slots(spark, d):
 
 @query("txt_11")
 def word_diffs(spark, d):
-    """Word diffs between the texts of neighbouring turns; dynamic programming, checked by rebuilding both sides."""
+    """Word diffs between the texts of neighbouring turns; dynamic programming, tested against a plain one and by rebuilding both sides."""
     turns = table(spark, d, "conversations")
-    rows = turns.join(turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next")), ["conv_id", "turn"]).filter("length(text) < 2000 and length(next) < 2000")
+    rows = turns.join(turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next")), ["conv_id", "turn"])
     out = T.word_diff(rows.select("conv_id", "turn", "text", "next"), "text", "next")
     side = lambda op: F.array_join(F.transform(F.filter("diff", lambda x: x["op"].isin("=", op)), lambda x: x["tok"]), "")
     return out.select("conv_id", "turn", F.size(F.filter("diff", lambda x: x["op"] == "=")).alias("kept"), (side("-") == F.col("text")).alias("left_ok"), (side("+") == F.col("next")).alias("right_ok"))

@@ -139,4 +139,22 @@ def test_upsert_keeps_labels_and_twice_changes_nothing(spark):
 def test_score_distribution_counts_unlisted_pairs(spark):
     pairs = spark.createDataFrame([(0.5,), (0.25,), (1.0,)], "score double")
     got = D.score_distribution(pairs, 4).first()
-    assert (got.pairs, got.p50, got.max) == (6, 0.125, 1.0)
+    assert (got.pairs, got.p50, got.min, got.max) == (6, 0.125, 0.0, 1.0)
+
+
+def test_links_keep_to_the_host(spark):
+    html = """<a href="https://ex.com.evil.net/news">x</a><a class='c' href='/tips'>x</a><a href="https://EX.com/news">x</a><a href="about">x</a><a href="//ex.com/help">x</a>
+        <a href="mailto:me@ex.com">x</a><a href="#top">x</a><a href="/tips">again</a><a data-href="/hidden">x</a>"""
+    pages = spark.createDataFrame([(1, "https://ex.com/a", html), (2, "https://ex.com", '<a href="plan">x</a>')], "page_id long, url string, html string")
+    got = sorted((r.page_id, r.slug, r.url) for r in H.links(pages, r"^https?://[^/]+/([a-z]{3,})$").collect())
+    assert got == [(1, "about", "https://ex.com/about"), (1, "help", "https://ex.com/help"), (1, "news", "https://EX.com/news"), (1, "tips", "https://ex.com/tips"), (2, "plan", "https://ex.com/plan")]
+
+
+def test_chunks_of_a_hot_group(spark):
+    rows = [(i, "a" if i % 5 else None) for i in range(500)]
+    got = K.grouped_chunks(spark.createDataFrame(rows, "id long, g string"), 20, ["g"], ["id"]).collect()
+    want, seen = {}, {}
+    for i, g in rows:
+        k = seen[g] = seen.get(g, -1) + 1
+        want[i] = (k // 20 + 1, k % 20 + 1)
+    assert {r.id: (r.chunk, r.n) for r in got} == want
