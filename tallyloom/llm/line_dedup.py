@@ -69,7 +69,7 @@ def recurring_lines(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """
     seen = lines.groupBy("leaf", "n", "th").agg(F.lit(1).alias("one"))
     leaves = materialize(seen.groupBy("leaf", "n").count().filter(F.col("count") >= _enough(F.col("n"), min_docs)).select("leaf"), "leaves")
-    in_docs = perhaps_among(lines, leaves, "leaf").join(leaves, "leaf", "left_semi")
+    in_docs = perhaps_among(lines, leaves, "leaf").join(leaves, "leaf")  # a semi join would be moved before the bitmap
     place = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th"))
     by_doc = materialize(in_docs.groupBy("leaf", "line", "th").agg(F.any_value("n").alias("n"), F.any_value("masked").alias("masked"), place.alias("place"), F.count("*").alias("rows")), "by_doc")
     distinct = materialize(by_doc.groupBy("leaf", "line").agg(F.any_value("n").alias("n"), F.any_value("masked").alias("masked"), F.count("*").alias("docs"), F.sum("rows").alias("rows")), "distinct_lines")
