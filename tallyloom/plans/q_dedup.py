@@ -38,6 +38,11 @@ def kept(spark, d, name, make):
     return _kept[key]
 
 
+def forget():
+    """Let the next query compute what several share anew."""
+    _kept.clear()
+
+
 def pairs(spark, d):
     return kept(spark, d, "pairs", lambda: D.cosine_pairs(D.term_weights(reps(spark, d).select("id", "tache", "text")), 0.55))
 
