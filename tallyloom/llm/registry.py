@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import bpe, edit_fingerprint, line_dedup, near_dedup, packing, pii, quality_cnn, quality_rules, sharding, toxicity
+from tallyloom.llm import bpe, edit_fingerprint, fill_middle, line_dedup, near_dedup, packing, pii, quality_cnn, quality_rules, sharding, toxicity
 
 QUERIES: dict = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +15,12 @@ QUERIES: dict = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_bpe": bpe.op9_bpe,
     "op10_quality_classifier": quality_cnn.op10_quality_classifier,
+    "op13_fill_in_middle": fill_middle.op13_fill_in_middle,
 }
 ORACLE: dict = {
     "op2_near_dedup": near_dedup.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
     "op4_pii": pii.ORACLE,
     "op8_quality_rules": quality_rules.ORACLE,
+    "op13_fill_in_middle": fill_middle.ORACLE,
 }
