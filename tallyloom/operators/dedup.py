@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions import text as T
-from tallyloom.operators.components import connected_components
+from tallyloom.operators.linkage import complete_linkage, single_linkage  # noqa: F401
 from tallyloom.operators.materialize import materialize
 
 
@@ -108,51 +108,6 @@ def banded(pairs: DataFrame, review_low: float = 0.55, auto_merge: float = 0.95)
     return pairs.filter(F.col("score") >= review_low).withColumn("band", F.when(F.col("score") >= auto_merge, "merge").otherwise("review"))
 
 
-def single_linkage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """`(id, cluster)` of all nodes; clusters are connected components, named by their smallest id."""
-    found = connected_components(edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
-
-
-def complete_linkage(nodes: DataFrame, edges: DataFrame, max_size: int = 6) -> tuple[DataFrame, DataFrame]:
-    """`(id, cluster)` and the refused edges `(a_id, b_id, score, reason)`.
-
-    Edges join two clusters, strongest first, only if every pair across them is an edge and the
-    union has `max_size` members at most. Clusters never cross connected components, so components
-    fold apart, and a component is as large as its near-duplicate group. Reason: `veto` or `size_cap`.
-    """
-    comp = materialize(connected_components(edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))), "components")
-    placed = edges.join(comp.select(F.col("id").alias("a_id"), "component"), "a_id").select("component", "a_id", "b_id", "score")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(zip(-pdf["score"], pdf["a_id"], pdf["b_id"]))
-        linked = {(a, b) for _, a, b in rows}
-        member: dict[int, set] = {}
-        for _, a, b in rows:
-            member.setdefault(a, {a})
-            member.setdefault(b, {b})
-        out = []
-        for s, a, b in rows:
-            x, y = member[a], member[b]
-            if x is y:
-                continue
-            if any((min(p, q), max(p, q)) not in linked for p in x for q in y):
-                out.append((a, b, -s, "veto"))
-            elif len(x) + len(y) > max_size:
-                out.append((a, b, -s, "size_cap"))
-            else:
-                x |= y
-                for m in y:
-                    member[m] = x
-        homes = [(m, min(group), None, "member") for m, group in member.items()]
-        return pd.DataFrame(out + homes, columns=["a_id", "b_id", "score", "reason"])
-
-    done = materialize(placed.groupBy("component").applyInPandas(fold, "a_id long, b_id long, score double, reason string"), "linkage")
-    clusters = done.filter("reason = 'member'").select(F.col("a_id").alias("id"), F.col("b_id").alias("cluster"))
-    clusters = nodes.select("id").join(clusters, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
-    return clusters, done.filter("reason <> 'member'")
-
-
 def canonical_records(rows: DataFrame, strategy: str = "latest") -> DataFrame:
     """One record for each cluster of sightings `(cluster, doc_id, id, fp, text, period, source)`.
 
