@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.functions import text as T
 from tallyloom.operators.linkage import complete_linkage, single_linkage  # noqa: F401
 from tallyloom.operators.materialize import materialize
+from tallyloom.operators.products import dense_pairs, score_quantiles, similar_pairs, top_pairs  # noqa: F401
 
 
 def exact_groups(rows: DataFrame, ignore_task: bool = False) -> DataFrame:
@@ -79,28 +78,6 @@ def cosine_pairs(vectors: DataFrame, threshold: float, slack: float = 0.1) -> Da
     return scored.groupBy("a_id", "b_id").agg(F.sum(F.col("x") * F.col("y")).alias("score")).filter(F.col("score") >= threshold)
 
 
-def dense_pairs(vectors: DataFrame, threshold: float, block_rows: int = 2000) -> DataFrame:
-    """The same over unit `embedding` arrays: `(a_id, b_id, score)`. Blocks meet pairwise as matrix products."""
-    blocks = max(1, math.ceil(vectors.count() / block_rows))
-    home = F.pmod(F.xxhash64("f_id"), F.lit(blocks)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    rows = vectors.select("f_id", "embedding", home.alias("home")).withColumn("other", F.explode(every))
-    rows = rows.select("f_id", "embedding", "home", F.least("home", "other").alias("i"), F.greatest("home", "other").alias("j"))
-
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iat[0]), int(pdf["j"].iat[0])
-        p, q = pdf[pdf["home"] == i], pdf[pdf["home"] == j]
-        if not len(p) or not len(q):
-            return pd.DataFrame({"a_id": [], "b_id": [], "score": []}).astype({"a_id": "int64", "b_id": "int64", "score": "float64"})
-        m = np.array(p["embedding"].tolist(), np.float64) @ np.array(q["embedding"].tolist(), np.float64).T
-        x, y = np.nonzero(m >= threshold)
-        a, b = p["f_id"].to_numpy()[x], q["f_id"].to_numpy()[y]
-        keep = a < b if i == j else np.ones(len(a), bool)
-        return pd.DataFrame({"a_id": np.minimum(a, b)[keep], "b_id": np.maximum(a, b)[keep], "score": m[x, y][keep]})
-
-    return rows.groupBy("i", "j").applyInPandas(multiply, "a_id long, b_id long, score double")
-
-
 def banded(pairs: DataFrame, review_low: float = 0.55, auto_merge: float = 0.95) -> DataFrame:
     """`band` of each pair: merge or review; weaker ones are gone."""
     if review_low > auto_merge:

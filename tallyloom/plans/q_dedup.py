@@ -20,6 +20,8 @@ PAIRS = f"{VEC}, pairs AS (SELECT a.id AS a_id, b.id AS b_id, sum(a.w * b.w) AS
 CLUSTERS = f"""{PAIRS}, edges AS (SELECT a_id AS x, b_id AS y FROM pairs WHERE score >= 0.75 UNION SELECT b_id, a_id FROM pairs WHERE score >= 0.75),
     reach AS (SELECT id, id AS root FROM reps UNION SELECT e.y, r.root FROM reach r JOIN edges e ON e.x = r.id), clusters AS (SELECT id, min(root) AS cluster FROM reach GROUP BY id)"""
 
+PRODUCTS = "p AS (SELECT list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)"
+
 
 def reps(spark, d):
     """One sighting for each exact group: the first."""
@@ -90,6 +92,16 @@ def dense_pairs(spark, d):
     return D.dense_pairs(v_vectors(spark, d), 0.4).withColumn("score", F.round("score", 6))
 
 
+@query("ded_05_lsh", f"WITH {PRODUCTS} SELECT count(*) AS pairs, CAST(0 AS BIGINT) AS wrong, true AS enough FROM p WHERE s >= 0.4")
+def similar_pairs(spark, d):
+    """The pairs that buckets of random projections find, against all: none is wrong, and nine tenths at least are found."""
+    v = v_vectors(spark, d)
+    every = D.dense_pairs(v, 0.4).select("a_id", "b_id", F.lit(1).alias("real"))
+    found = D.similar_pairs(v, 0.4, bits=4).select("a_id", "b_id", F.lit(1).alias("given"))
+    both = every.join(found, ["a_id", "b_id"], "full")
+    return both.agg(F.count("real").alias("pairs"), F.count(F.when(F.col("real").isNull(), 1)).alias("wrong"), (F.coalesce(F.count(F.when(F.col("real").isNotNull(), F.col("given"))) / F.count("real"), F.lit(1.0)) >= 0.9).alias("enough"))
+
+
 @query("ded_06", f"WITH {PAIRS} SELECT CASE WHEN score >= 0.95 THEN 'merge' ELSE 'review' END AS band, count(*) AS n FROM pairs GROUP BY ALL", "v_sightings")
 def banding(spark, d):
     """Pairs to merge and pairs to review."""
@@ -176,13 +188,11 @@ def pair_self_join(spark, d):
     return pairs(spark, d).select("a_id", "b_id")
 
 
-@query("agg_20", """WITH p AS (SELECT list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id), z AS (SELECT greatest(s, 0) AS s FROM p)
-    SELECT count(*) AS pairs, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.9), 6) AS p90, round(quantile_cont(s, 0.99), 6) AS p99, round(quantile_cont(s, 0.999), 6) AS p99_9, round(min(s), 6) AS min, round(max(s), 6) AS max FROM z""")
+@query("agg_20", f"""WITH {PRODUCTS} SELECT count(*) AS pairs, round(quantile_cont(s, 0.5), 6) AS p50, round(quantile_cont(s, 0.9), 6) AS p90, round(quantile_cont(s, 0.99), 6) AS p99,
+    round(quantile_cont(s, 0.999), 6) AS p99_9, round(min(s), 6) AS min, round(max(s), 6) AS max FROM p""")
 def score_distribution(spark, d):
-    """Quantiles of all pair scores; pairs that aren't listed count as 0."""
-    v = v_vectors(spark, d)
-    positive = materialize(D.dense_pairs(v, 1e-300), "positive")
-    return D.score_distribution(positive, v.count())
+    """Quantiles of the scores of all pairs, those below 0 as well."""
+    return D.score_quantiles(v_vectors(spark, d))
 
 
 @query("lay_01", "SELECT tache, fp, arg_max(text, period || id) AS text, min(period) AS first_seen, max(period) AS last_seen, count(*) AS total_sightings, count(DISTINCT period) AS months_seen FROM v_sightings GROUP BY tache, fp", "v_sightings")

@@ -124,8 +124,7 @@ def batch_progress(spark, d):
     SELECT a_id, b_id, score FROM p WHERE score >= 0.2 ORDER BY score DESC, a_id, b_id LIMIT 100""")
 def top_pairs(spark, d):
     """The hundred strongest of all pairs."""
-    pairs = D.dense_pairs(v_vectors(spark, d), 0.2).withColumn("score", F.round("score", 6))
-    return pairs.orderBy(F.desc("score"), "a_id", "b_id").limit(100)
+    return D.top_pairs(v_vectors(spark, d), 100, 0.2)
 
 
 @query("top_04", "SELECT id, a AS said, gold FROM v_runs WHERE a <> gold ORDER BY confidence DESC, id LIMIT 10", "v_runs")
