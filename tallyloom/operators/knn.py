@@ -1,47 +1,156 @@
-"""Exact nearest neighbours over unit vectors, as blocked matrix products."""
+"""Exact nearest neighbours, as blocked matrix products over cells around pivots."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tallyloom.operators.materialize import materialize
+from tallyloom.operators.products import TILE_ROWS, dealt, matrix, packed_by, unpack
 
-def exact_knn(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = 4000, dim: int | None = None) -> DataFrame:
-    """`(q_id, f_id, score, rank)`: the k nearest of each query, itself left out; ties go to the smaller id.
+CELL_ROWS = 4000
+MOST_CELLS = 1024  #: pivots are held by the driver and every task
+SLACK = 1e-9  #: by which a bound is wider than it need be, for rounding
 
-    `queries` and `vectors` are `(f_id, embedding)`; with `dim` another length is an error. k is held
-    to 1..8. Every query block meets every vector block once; a block keeps its own best k of each
-    query, and a window over blocks' bests chooses among them. Scores are rounded to four places last.
-    """
-    k = max(1, min(8, k))
-    nq, nv = (max(1, math.ceil(df.count() / block_rows)) for df in (queries, vectors))
-    block = lambda n: F.pmod(F.xxhash64("f_id"), F.lit(n)).cast("int")
-    q = queries.select("f_id", "embedding", F.lit(True).alias("q"), block(nq).alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
-    v = vectors.select("f_id", "embedding", F.lit(False).alias("q"), block(nv).alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf["q"]], pdf[~pdf["q"]].sort_values("f_id")
-        rows = []
-        if len(a) and len(b):
-            x, y = np.array(a["embedding"].tolist(), np.float64), np.array(b["embedding"].tolist(), np.float64)
-            if x.shape[1] != y.shape[1] or (dim and x.shape[1] != dim):
+
+def _checked(rows: DataFrame, dim: int | None) -> DataFrame:
+    """`(f_id, embedding)` as doubles; with `dim` another length is an error."""
+    v = F.col("embedding").cast("array<double>")
+    if dim:
+        v = F.when(F.size(v) == dim, v).otherwise(F.raise_error(F.lit("vectors of different length")).cast("array<double>"))
+    return rows.select(F.col("f_id").cast("long").alias("f_id"), v.alias("embedding"))
+
+
+def _in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """`rows` with the cell of the nearest pivot and the distance from it."""
+
+    def near(batches):
+        for b in batches:
+            m = matrix(b["embedding"])
+            if b.num_rows and m.shape[1] != pivots.shape[1]:
+                raise ValueError("vectors of different length")
+            far = np.sqrt(np.maximum((m**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1) - 2 * m @ pivots.T, 0))
+            cell = far.argmin(axis=1)
+            yield pa.record_batch([b["f_id"], b["embedding"], pa.array(cell, pa.int32()), pa.array(far[np.arange(len(m)), cell])], ["f_id", "embedding", "cell", "away"])
+
+    return rows.mapInArrow(near, "f_id long, embedding array<double>, cell int, away double")
+
+
+FOUND = "q_id long, f_id long, score double"
+
+
+def _asked(asking: DataFrame, packs: DataFrame, parts: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """The k best of each part of a cell for the queries that ask it: `asking` is `(f_id, embedding, cell)`."""
+    sizes = asking.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("groups"))
+    known = F.broadcast(parts.join(sizes, "cell"))  # a row for each cell
+    return _meet(asking.join(known, "cell"), packs.join(known.select("cell", "groups"), "cell"), k)
+
+
+def _meet(asking: DataFrame, packs: DataFrame, k: int) -> DataFrame:
+    """The same where `asking` knows its cell's parts, and both know in how many groups the queries come."""
+    blocks = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    queries = asking.withColumn("group", F.pmod(F.xxhash64("f_id"), F.col("groups")).cast("int"))
+    queries = packed_by(queries, ["cell", "group", "parts"]).withColumn("part", blocks("parts"))
+    rows = packs.withColumn("group", blocks("groups"))
+
+    def best(q: pa.Table, v: pa.Table) -> pa.Table:
+        out = [pa.table({"q_id": pa.array([], pa.int64()), "f_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
+        if len(q) and len(v):
+            (own, x), (ids, y) = unpack(q), unpack(v)
+            if x.shape[1] != y.shape[1]:
                 raise ValueError("vectors of different length")
-            ids = b["f_id"].to_numpy()
-            for at in range(0, len(x), 512):
-                m = x[at : at + 512] @ y.T
-                own = a["f_id"].to_numpy()[at : at + 512]
-                m[own[:, None] == ids[None]] = -np.inf
-                top = np.argsort(-m, axis=1, kind="stable")[:, :k]
-                for r, (o, t) in enumerate(zip(own, top)):
-                    rows += [(o, ids[c], m[r, c]) for c in t if m[r, c] > -np.inf]
-        return pd.DataFrame(rows, columns=["q_id", "f_id", "score"]).astype({"q_id": "int64", "f_id": "int64", "score": "float64"})
-
-    found = q.unionByName(v).groupBy("i", "j").applyInPandas(best, "q_id long, f_id long, score double")
+            order = np.argsort(ids)
+            ids, y = ids[order], y[order]
+            for at in range(0, len(x), TILE_ROWS):
+                m = x[at : at + TILE_ROWS] @ y.T
+                mine = own[at : at + TILE_ROWS]
+                m[mine[:, None] == ids] = -np.inf
+                # all that reach the k-th score, so that ties go to the smaller id
+                bar = np.partition(m, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(m), -np.inf)
+                r, c = np.nonzero((m >= bar[:, None]) & (m > -np.inf))
+                order = np.lexsort((ids[c], -m[r, c], r))
+                r, c = r[order], c[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                r, c = r[place < k], c[place < k]
+                out.append(pa.table({"q_id": mine[r], "f_id": ids[c], "score": m[r, c]}))
+        return pa.concat_tables(out)
+
+    keys = ["cell", "group", "part"]
+    return queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(best, FOUND)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("q_id").orderBy(F.desc("score"), "f_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("score", F.round("score", 4))
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _search(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int, dim: int | None, cell_rows: int) -> tuple[DataFrame, DataFrame | None, dict]:
+    """The k best, the visits `(f_id, cell)` to further cells (None if there is one cell), and counts."""
+    queries, vectors = _checked(queries, dim), _checked(vectors, dim)
+    n = vectors.count()
+    cells = min(MOST_CELLS, max(1, math.ceil(n / cell_rows)))
+    if not n:
+        return queries.limit(0).select(F.col("f_id").alias("q_id"), "f_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")), None, {"cells": 0}
+    if cells == 1:
+        groups, parts = math.ceil(queries.count() / block_rows), math.ceil(n / block_rows)
+        whole = packed_by(vectors.withColumn("cell", F.lit(0)).withColumn("part", dealt("f_id", parts)), ["cell", "part"])
+        all_ = queries.select("f_id", "embedding", F.lit(0).alias("cell"), F.lit(max(1, groups)).alias("groups"), F.lit(parts).alias("parts"))
+        return _ranked(_meet(all_, whole.withColumn("groups", F.lit(max(1, groups))), k), k), None, {"cells": 1}
+    chosen = vectors.orderBy(F.xxhash64("f_id"), "f_id").limit(cells).select("embedding").toArrow()
+    pivots = matrix(chosen["embedding"])
+    placed = materialize(_in_cells(vectors, pivots), "cells")
+    about = placed.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).toPandas()  # a row for each pivot at most
+    radius, filled = np.zeros(cells), np.zeros(cells, bool)
+    radius[about["cell"]], filled[about["cell"]] = about["radius"], True
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+    parts = materialize(sizes, "parts")
+    split = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("f_id"), F.col("parts")).cast("int"))
+    packs = materialize(packed_by(split, ["cell", "part"]), "packs")
+    asking = materialize(_in_cells(queries, pivots).drop("away"), "asking")
+    near = materialize(_ranked(_asked(asking, packs, parts, k, block_rows), k), "near")
+    known = near.filter(F.col("rank") == k).select(F.col("q_id").alias("_q"), F.col("score").alias("bar"))
+
+    def further(batches):
+        for b in batches:
+            m = matrix(b["embedding"])
+            most = m @ pivots.T + np.linalg.norm(m, axis=1)[:, None] * radius + SLACK
+            bar = np.asarray(b["bar"].fill_null(-np.inf))
+            go = (most >= bar[:, None]) & filled
+            go[np.arange(len(m)), np.asarray(b["cell"])] = False
+            r, c = np.nonzero(go)
+            yield pa.record_batch([b["f_id"].take(pa.array(r)), b["embedding"].take(pa.array(r)), pa.array(c, pa.int32())], ["f_id", "embedding", "cell"])
+
+    visits = asking.join(known, F.col("f_id") == F.col("_q"), "left").drop("_q").mapInArrow(further, "f_id long, embedding array<double>, cell int")
+    visits = materialize(visits, "visits")
+    found = near.drop("rank").unionByName(_asked(visits, packs, parts, k, block_rows))
+    return _ranked(found, k), visits, {"cells": int(filled.sum())}
+
+
+def exact_knn(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = 4000, dim: int | None = None, searchable: Column | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """`(q_id, f_id, score, rank)`: the k nearest of each query, itself left out; ties go to the smaller id.
+
+    `queries` and `vectors` are `(f_id, embedding)`; of `vectors` only rows for which `searchable`
+    holds are candidates (as: those with a subject). With `dim` another length is an error. k is held to 1..8.
+
+    Vectors lie in cells around pivots, about one for `cell_rows` vectors. A query first meets its own
+    cell, which gives it a k-th best so far. A product with a vector is at most that with the cell's
+    pivot and the query's length times the cell's radius more, so cells that can't reach the k-th
+    best are skipped. Large cells and many queries of one cell are split into blocks of `block_rows`.
+    Scores are rounded to four places last.
+    """
+    found, _, _ = _search(queries, vectors.filter(searchable) if searchable is not None else vectors, max(1, min(8, k)), block_rows, dim, cell_rows)
+    return found.withColumn("score", F.round("score", 4))
+
+
+def visits_of(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = 4000, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """One row: queries, cells, visits of queries to cells, and the share of all that was skipped."""
+    found, visits, about = _search(queries, vectors, max(1, min(8, k)), block_rows, None, cell_rows)
+    n, cells = queries.count(), about["cells"]
+    made = n * min(1, cells) + (visits.count() if visits is not None else 0)
+    return queries.sparkSession.createDataFrame([(n, cells, made, 1 - made / (n * cells) if n and cells else 0.0)], "queries long, cells int, visits long, skipped double")
 
 
 def recall_at_k(neighbours: DataFrame, labels: DataFrame, fields: list[str]) -> DataFrame:

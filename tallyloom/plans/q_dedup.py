@@ -294,6 +294,16 @@ def knn(spark, d):
     return K.exact_knn(v, v, 5)
 
 
+NEAR_SEARCHABLE = NEAR.replace("ON a.vec_id <> b.vec_id", "ON a.vec_id <> b.vec_id WHERE b.label % 3 <> 0")
+
+
+@query("knn_01_cells", f"WITH {NEAR_SEARCHABLE} SELECT q_id, f_id, round(score, 4) AS score, rank FROM near")
+def knn_cells(spark, d):
+    """The same among the vectors that have a subject, in small cells, most of which a query may skip."""
+    v = v_vectors(spark, d).withColumn("core_subject", F.when(F.col("core_subject") % 3 != 0, F.col("core_subject")))
+    return K.exact_knn(v, v, 5, searchable=F.col("core_subject").isNotNull(), cell_rows=100)
+
+
 @query("knn_02", "SELECT vec_id AS f_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) , 4) AS before, 1.0::DOUBLE AS after FROM embeddings")
 def unit_vectors(spark, d):
     """Vectors scaled to unit length."""

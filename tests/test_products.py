@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tallyloom.operators import products as P
+from tallyloom.operators import knn as K, products as P
 
 SCHEMA = "f_id long, embedding array<double>"
 
@@ -64,3 +64,27 @@ def test_random_projections_find_nine_tenths(spark):
     rows = [(r.a_id, r.b_id) for r in P.similar_pairs(df, 0.85, block_rows=20).collect()]
     assert len(rows) == len(set(rows)) and set(rows) <= want
     assert len(rows) >= 0.9 * len(want) > 600
+
+
+@pytest.mark.parametrize(("cells", "block"), [(4000, 4000), (15, 4000), (40, 6)])
+def test_nearest_neighbours_in_cells(spark, cells, block):
+    m, df = vectors(spark, 140, 3, 5, copies=60)
+    s = np.round(m @ m.T, 12)
+    want = []
+    for a in range(140):
+        best = sorted((-s[a, b], b) for b in range(140) if b != a)[:4]
+        want += [(a, r + 1, b) for r, (_, b) in enumerate(best)]
+    got = K.exact_knn(df, df, 4, block_rows=block, cell_rows=cells)
+    assert sorted((r.q_id, r.rank, r.f_id) for r in got.collect()) == want
+    few = K.exact_knn(df.filter("f_id < 9"), df, 8, searchable=df.f_id >= 135, cell_rows=cells).collect()
+    assert len(few) == 9 * 5 and {r.f_id for r in few} == set(range(135, 140))
+
+
+def test_cells_far_away_are_skipped(spark):
+    dice = np.random.default_rng(8)
+    m = np.repeat(dice.standard_normal((20, 16)), 30, axis=0) + 0.02 * dice.standard_normal((600, 16))
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], SCHEMA)
+    row = K.visits_of(df, df, 5, cell_rows=30).first()
+    assert row.cells > 10 and row.skipped > 0.5
+    assert K.exact_knn(df, df.filter("f_id < 0"), 5).collect() == []
