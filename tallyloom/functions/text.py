@@ -39,8 +39,16 @@ def accent_table() -> tuple[str, str]:
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+@lru_cache(1)
+def combining_marks() -> str:
+    """Every character of a combining class other than 0."""
+    return "".join(chr(n) for n in range(0x300, 0x110000) if unicodedata.combining(chr(n)))
+
+
 def without_accents(c: Column) -> Column:
-    return F.regexp_replace(F.translate(c, *accent_table()), r"[\x{300}-\x{36f}]", "")
+    """Accented letters as letters, and no combining mark of any script: one pass, since what `translate` has no partner for goes."""
+    letters, plain = accent_table()
+    return F.translate(c, letters + combining_marks(), plain)
 
 
 def flatten_accents(c: Column) -> Column:

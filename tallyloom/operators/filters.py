@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -81,6 +83,31 @@ def page(df: DataFrame, order: list[Column], number: int, per_page: int) -> Data
     return rows.crossJoin(F.broadcast(total))  # one row
 
 
+def page_after(df: DataFrame, order: list[tuple[str, bool]], last: dict | None, per_page: int) -> DataFrame:
+    """The rows that follow the row `last` (None: the first page) in `order`, pairs of column and whether it descends.
+
+    The order must be total. Nulls come first where it ascends and last where it descends. The first
+    column's range covers all that follows, so it is a filter that files may be skipped by; nothing before is sorted or counted.
+    """
+
+    def same(c: str) -> Column:
+        return F.col(c).isNull() if last[c] is None else F.col(c) == F.lit(last[c])
+
+    def behind(c: str, down: bool) -> Column:
+        if last[c] is None:
+            return F.lit(False) if down else F.col(c).isNotNull()
+        return (F.col(c) < F.lit(last[c])) | F.col(c).isNull() if down else F.col(c) > F.lit(last[c])
+
+    if last is not None:
+        df = df.filter(same(order[0][0]) | behind(*order[0]))
+        ways, equal = [], F.lit(True)
+        for c, down in order:
+            ways.append(equal & behind(c, down))
+            equal = equal & same(c)
+        df = df.filter(reduce(Column.__or__, ways))
+    return df.orderBy(*[F.desc(c) if down else F.asc(c) for c, down in order]).limit(per_page)
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each group, numbered."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(rank) <= n)

@@ -5,7 +5,9 @@ Derived counts are recomputed, never incremented, so loading twice changes nothi
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from tallyloom.operators.numbering import numbered
 
 
 def roll_up(sightings: DataFrame, keys: tuple[str, ...] = ("tache", "fp")) -> DataFrame:
@@ -24,23 +26,11 @@ def month_rows(sightings: DataFrame, keys: tuple[str, ...] = ("tache", "period",
 def assign_ids(identities: DataFrame, known: DataFrame, keys: tuple[str, ...] = ("tache", "fp")) -> DataFrame:
     """`(keys, f_id)` for all: known ids stay; new keys get numbers after the largest, in key order.
 
-    New keys are numbered by range partitions and the counts before them, so no window sees all.
+    New keys are numbered by ranges, so no window sees all.
     """
-    spark = identities.sparkSession
     new = identities.select(*keys).distinct().join(known, list(keys), "left_anti")
     top = known.agg(F.coalesce(F.max("f_id"), F.lit(0))).first()[0]
-    numbered = _numbered(spark, new, list(keys), top)
-    return known.select(*keys, "f_id").unionByName(numbered)
-
-
-def _numbered(spark: SparkSession, df: DataFrame, order: list[str], after: int) -> DataFrame:
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    ranked = ordered.withColumn("_rank", rank)
-    counts = ranked.groupBy("_part").agg(F.max("_rank").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return ranked.join(before, "_part").select(*order, (F.col("_before") + F.col("_rank") + after).cast("long").alias("f_id"))
+    return known.select(*keys, "f_id").unionByName(numbered(new, list(keys), "f_id", top))
 
 
 def upsert_actions(new: DataFrame, old: DataFrame, keys: list[str], compared: list[str]) -> DataFrame:

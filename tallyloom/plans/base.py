@@ -30,6 +30,14 @@ def _accents() -> str:
     return f"'{a}', '{b}'"
 
 
+def _marks() -> str:
+    """The combining marks as a class of a regular expression."""
+    points = [ord(c) for c in T.combining_marks()]
+    heads = [n for i, n in enumerate(points) if not i or points[i - 1] != n - 1]
+    ends = [n for i, n in enumerate(points) if i + 1 == len(points) or points[i + 1] != n + 1]
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in zip(heads, ends)) + "]"
+
+
 _WS = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
 
 
@@ -41,7 +49,7 @@ def sql_normalize(x: str) -> str:
 
 
 def sql_flatten(x: str) -> str:
-    return rf"regexp_replace(translate(lower({sql_normalize(x)}), {_accents()}), '[\x{{300}}-\x{{36f}}]', '', 'g')"
+    return rf"regexp_replace(translate(lower({sql_normalize(x)}), {_accents()}), '{_marks()}', '', 'g')"
 
 
 def sql_fingerprint(x: str) -> str:

@@ -253,6 +253,19 @@ def list_page(spark, d):
     return L.page(v_list(spark, d).filter("tache = 2"), [F.desc("period"), F.desc("f_id")], 3, 50).select("f_id", "period", "total", "pages")
 
 
+@query("top_01_keyset", "SELECT f_id, period FROM v_list WHERE tache = 2 ORDER BY period DESC, f_id DESC LIMIT 50 OFFSET 100", "v_bank v_list")
+def list_page_by_key(spark, d):
+    """The same page, reached by the last rows of the pages before it."""
+    rows = v_list(spark, d).filter("tache = 2").select("f_id", "period")
+    order, last = [("period", True), ("f_id", True)], None
+    for _ in range(2):
+        *_, end = L.page_after(rows, order, last, 50).collect() or [None]
+        if end is None:
+            return rows.limit(0)
+        last = end.asDict()
+    return L.page_after(rows, order, last, 50)
+
+
 @query("top_02", "SELECT tache, fp, count(*) AS total_sightings, arg_max(text, period || id) AS text FROM v_sightings GROUP BY tache, fp ORDER BY total_sightings DESC, tache, fp LIMIT 100", "v_sightings")
 def core_top(spark, d):
     """The identities seen most often (flagship)."""

@@ -243,12 +243,15 @@ def grouped_chunks(spark, d):
     return K.grouped_chunks(v_runs(spark, d), 20, ["tache"], ["id"]).select("id", "tache", "chunk", "n")
 
 
-@query("chk_02")
+@query("chk_02", """WITH RECURSIVE r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos, length(text) // 3 + 8 AS t FROM documents), c AS (SELECT *, sum(t) OVER (ORDER BY pos) AS upto FROM r),
+    s AS (SELECT CAST(1 AS BIGINT) AS pos UNION ALL SELECT min(n.pos) FROM s JOIN c f ON f.pos = s.pos JOIN c n ON n.pos > s.pos AND (n.pos - s.pos >= 100 OR n.upto - f.upto + f.t > 20000) GROUP BY s.pos),
+    b AS (SELECT c.*, (SELECT max(s.pos) FROM s WHERE s.pos <= c.pos) AS head FROM c)
+    SELECT CAST(dense_rank() OVER (ORDER BY head) - 1 AS BIGINT) AS batch, min(doc_id) AS first_id, count(*) AS n, CAST(sum(t) AS BIGINT) AS tokens FROM b GROUP BY head""")
 def budgeted_batches(spark, d):
-    """Greedy batches under both limits; sequential in each shard, tested against a plain fold."""
+    """Greedy batches under both limits, in one order over all documents."""
     docs = table(spark, d, "documents").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
-    out = K.budgeted_batches(docs, "doc_id", "tokens", max_rows=100, max_tokens=20_000, shard_rows=50_000)
-    return out.groupBy("shard", "batch").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+    out = K.budgeted_batches(docs, ["doc_id"], "tokens", max_rows=100, max_tokens=20_000)
+    return out.groupBy("batch").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
 
 
 REPLY = """c AS (SELECT id, tache, gold, CAST(ceil(row_number() OVER (PARTITION BY tache ORDER BY id) / 20.0) AS INTEGER) AS chunk, CAST((row_number() OVER (PARTITION BY tache ORDER BY id) - 1) % 20 + 1 AS INTEGER) AS n FROM v_runs),

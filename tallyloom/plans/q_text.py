@@ -16,10 +16,7 @@ TOK = f"regexp_extract_all({sql_flatten('text')}, '[a-z0-9]+')"
 @query("src_01", "SELECT id, text, tache, period, source FROM v_sightings", "v_sightings")
 def scan_jsonl(spark, d):
     """Sightings written as JSON lines and scanned back."""
-    from tallyloom.operators.materialize import shared_dir
-    import uuid
-
-    path = f"{shared_dir(spark)}/tallyloom/jsonl-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "jsonl")
     v_sightings(spark, d).select("id", "text", "tache", "period", "source").write.json(path)
     return jsonl.scan_jsonl(spark, path).filter("_corrupt is null").select("id", "text", F.col("tache").cast("int").alias("tache"), "period", "source")
 
@@ -93,6 +90,16 @@ def export_view(spark, d):
     return jsonl.export_view(view, {"theme": "theme_name"})
 
 
+@query("src_08_csv", "SELECT f_id, substr(sha256(text || f_id), 1, 12) AS fingerprint, theme AS theme_name, text, months_seen FROM v_identity", "v_identity")
+def export_flat_files(spark, d):
+    """The whole view as CSV files with a header, read back."""
+    view = v_identity(spark, d).select("f_id", F.sha2(F.concat("text", F.col("f_id").cast("string")), 256).alias("fingerprint"), "theme", "text", "months_seen")
+    out = jsonl.export_view(view, {"theme": "theme_name"})
+    path = scratch_path(spark, "export")
+    jsonl.write_flat(out, path)
+    return jsonl.read_flat(spark, path, out.schema)
+
+
 @query("src_09", """SELECT i.f_id, i.text FROM v_identity i WHERE tache = 3 AND EXISTS (SELECT 1 FROM v_bank b WHERE b.f_id = i.f_id AND b.source % 10 = 3) AND theme IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4')
     ORDER BY last_seen DESC, i.f_id DESC LIMIT 25""", "v_identity")
 def export_for_labelling(spark, d):

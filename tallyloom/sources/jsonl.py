@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tallyloom.operators.materialize import materialize
 
@@ -88,3 +89,13 @@ def export_view(view: DataFrame, labels_as: dict[str, str] | None = None) -> Dat
     for a, b in (labels_as or {}).items():
         out = out.withColumnRenamed(a, b)
     return out.orderBy(F.col("months_seen").desc(), F.col("f_id").desc())
+
+
+def write_flat(view: DataFrame, path: str) -> None:
+    """An ordered view as CSV files with a header, in its order. Nulls are empty fields, empty strings are quoted, quotes are doubled."""
+    view.write.option("header", True).option("escape", '"').option("escapeQuotes", True).csv(path)
+
+
+def read_flat(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """What `write_flat` wrote; fields may hold line breaks."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("enforceSchema", False).csv(path)

@@ -48,17 +48,20 @@ def test_banding_refuses_crossed_bars(spark):
         D.banded(spark.createDataFrame([(1, 2, 0.5)], "a_id long, b_id long, score double"), 0.9, 0.5)
 
 
-def test_budgeted_batches_are_greedy(spark):
-    rng = random.Random(2)
-    rows = [(i, rng.randrange(1, 60)) for i in range(200)]
-    got = K.budgeted_batches(spark.createDataFrame(rows, "i long, t int"), "i", "t", 5, 100).collect()
+@pytest.mark.parametrize(("block", "fan", "parts"), [(50_000, 256, 3), (7, 3, 4), (5, 2, 1), (1, 4, 9)])
+def test_budgeted_batches_are_greedy_in_one_order(spark, block, fan, parts):
+    rng = random.Random(block)
+    rows = [(i, rng.choice([rng.randrange(1, 60), rng.randrange(1, 9), 0, 150])) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, t int").withColumn("kept", F.lit("own")).repartition(parts)
+    got = K.budgeted_batches(df, ["i"], "t", 5, 100, block, fan).collect()
     batches, n, total, want = 0, 0, 0, {}
     for i, t in rows:
         if n and (n >= 5 or total + t > 100):
             batches, n, total = batches + 1, 0, 0
         want[i] = batches
         n, total = n + 1, total + t
-    assert {r.i: r.batch for r in got} == want
+    assert {r.i: r.batch for r in got} == want and {r.kept for r in got} == {"own"}
+    assert K.budgeted_batches(df.filter("i < 0"), ["i"], "t", 5, 100).collect() == []
 
 
 @pytest.mark.parametrize(

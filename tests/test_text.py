@@ -91,3 +91,11 @@ def test_word_diff(spark):
     df = spark.createDataFrame([("a b c", "a x c")], "p string, q string")
     ops = [(o.op, o.tok) for o in T.word_diff(df, "p", "q").first()["diff"]]
     assert ops == [("=", "a"), ("=", " "), ("-", "b"), ("+", "x"), ("=", " "), ("=", "c")]
+
+
+def test_marks_of_every_script_go(spark):
+    import unicodedata
+
+    texts = ["été", "a⃗b", "д҃x", "אַ", "n᪰o", "x\U0001d165y", "︠k"]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.without_accents(F.col("t")).alias("t")).collect()]
+    assert got == ["".join(c for c in unicodedata.normalize("NFD", t) if not unicodedata.combining(c)) for t in texts]
