@@ -131,7 +131,7 @@ def streamed_sightings(spark, d):
     at = F.col("doc_id")
     docs = I.stream_table(spark, f"{d}/documents.parquet")
     period = F.concat(F.lit("2024-"), F.lpad((at % 6 + 1).cast("string"), 2, "0"))
-    return docs.select(F.lpad(at.cast("string"), 13, "0").alias("id"), F.when(F.col("lang") == "en", 2).otherwise(3).alias("tache"), period.alias("period"), "source", "text", T.fingerprint(F.col("text")).alias("fp"))
+    return docs.select(F.lpad(at.cast("string"), 13, "0").alias("id"), F.when(F.col("lang") == "en", 2).otherwise(3).alias("tache"), period.alias("period"), "source", "text", T.fingerprint(F.col("text")).alias("fp"), F.col("_metadata.file_modification_time").alias("arrived"))
 
 
 @query("str_01", "SELECT tache, fp, arg_max(text, period || id) AS text, count(*) AS total_sightings, count(DISTINCT period) AS months_seen FROM v_sightings GROUP BY tache, fp", "v_sightings")
@@ -140,7 +140,7 @@ def stream_intake(spark, d):
     home = I.workspace(spark, "intake")
     store = I.SightingStore(spark, f"{home}/store")
     I.stream_intake(streamed_sightings(spark, d), store, f"{home}/checkpoint")
-    again = spark.read.parquet(f"{home}/store/sightings/drop=0")
+    again = spark.read.parquet(f"{home}/store/sightings/drop=0").drop("bucket")
     store.take(materialize(again, "again"), 0)
     return store.identities().select("tache", "fp", "text", "total_sightings", "months_seen")
 
@@ -149,8 +149,9 @@ def stream_intake(spark, d):
 def stream_dedup(spark, d):
     """One sighting for each identity across drops."""
     home = I.workspace(spark, "distinct")
-    I.stream_distinct(streamed_sightings(spark, d), ["tache", "fp"], f"{home}/out", f"{home}/checkpoint")
-    return spark.read.parquet(f"{home}/out").select("tache", "fp")
+    store = I.KeyedStore(spark, f"{home}/out", ["tache", "fp"])
+    I.stream_distinct(streamed_sightings(spark, d), ["tache", "fp"], "arrived", "1 hour", store, f"{home}/checkpoint")
+    return store.read().select("tache", "fp")
 
 
 @query("str_03", "SELECT CAST(period || '-01' AS DATE) AS month, source, count(*) AS n FROM v_sightings GROUP BY ALL", "v_sightings")
@@ -159,8 +160,23 @@ def late_months(spark, d):
     home = I.workspace(spark, "months")
     rows = streamed_sightings(spark, d).withColumn("period_start", F.to_timestamp(F.concat("period", F.lit("-01"))))
     I.stream_monthly(rows, f"{home}/out", f"{home}/checkpoint")
-    out = spark.read.parquet(f"{home}/out")
-    return out.groupBy(F.col("period_start").cast("date").alias("month"), "source").agg(F.max_by("n", "batch").alias("n"))
+    return I.newest_counts(spark, f"{home}/out").select(F.col("period_start").cast("date").alias("month"), "source", "n")
+
+
+@query("str_03_late", """SELECT CAST(count(*) FILTER (period >= '2024-05') AS BIGINT) AS first_rows, CAST(count(*) FILTER (period < '2024-05') AS BIGINT) AS then_rows,
+    CAST(count(*) FILTER (period >= '2024-04') AS BIGINT) AS counted, CAST(count(*) FILTER (period < '2024-04') AS BIGINT) AS late FROM v_sightings""", "v_sightings")
+def late_rows(spark, d):
+    """The newest two months come first; of the rest, what is older than the watermark is late and told."""
+    home = I.workspace(spark, "late")
+    rows = v_sightings(spark, d).select("source", F.to_timestamp(F.concat("period", F.lit("-01"))).alias("period_start"))
+    newest = F.col("period_start") >= F.to_timestamp(F.lit("2024-05-01"))
+    told = []
+    for name, part in (("a", rows.filter(newest)), ("b", rows.filter(~newest))):
+        part.write.parquet(f"{home}/in/drop={name}")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{home}/in/*")
+        told.append(I.stream_monthly(stream, f"{home}/out", f"{home}/checkpoint"))
+    counted = I.newest_counts(spark, f"{home}/out").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("counted"))
+    return counted.select(F.lit(told[0]["rows"]).cast("long").alias("first_rows"), F.lit(told[1]["rows"]).cast("long").alias("then_rows"), "counted", F.lit(told[0]["late"] + told[1]["late"]).cast("long").alias("late"))
 
 
 FOLDED = """folded AS (SELECT user_id, f_id, coalesce(arg_max(is_on, (ts, event_id)) FILTER (flag = 'bookmarked'), false) AS bookmarked, max(ts) FILTER (flag = 'bookmarked' AND is_on) AS bookmarked_at,

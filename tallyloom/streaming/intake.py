@@ -1,18 +1,26 @@
-"""Incremental intake by Structured Streaming; every result is recomputed from stored sightings, so replays change nothing."""
+"""Incremental intake by Structured Streaming; every result is recomputed from stored rows, so replays change nothing.
+
+Stored rows lie in folders by drop and by a hash of their key. A drop reads and rewrites only the
+hashes that its keys have; the rest of the store isn't opened.
+"""
 
 from __future__ import annotations
 
-import uuid
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from tallyloom.operators.layers import roll_up
+from tallyloom.operators.materialize import materialize, scratch_path
 
-from tallyloom.operators.layers import roll_up, touched_keys
-from tallyloom.operators.materialize import shared_dir
+BUCKETS = 64
+SPLIT = 8  #: tasks that may write one bucket of a drop
 
 
 def workspace(spark: SparkSession, label: str) -> str:
-    """A fresh folder in the shared directory."""
-    return f"{shared_dir(spark)}/tallyloom/{label}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared directory, which goes with the application."""
+    return scratch_path(spark, label)
 
 
 def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 8) -> DataFrame:
@@ -22,47 +30,114 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int = 8) ->
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path[:-1] + "[" + path[-1] + "]")
 
 
-def run_to_end(writer) -> None:
-    """Start a query with all available input and wait for it; its error is ours."""
+def run_to_end(writer) -> list[dict]:
+    """Start a query with all available input and wait for it; its error is ours. Returns the progress of its batches."""
     q = writer.trigger(availableNow=True).start()
     q.awaitTermination()
+    return [json.loads(p.json) if hasattr(p, "json") else p for p in q.recentProgress]
+
+
+class KeyedStore:
+    """A Parquet folder laid out as `drop=<number>/bucket=<hash of the key>`."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], buckets: int = BUCKETS):
+        self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets
+        self.schema: StructType | None = None  # known after a drop, else taken from the files
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+
+    def exists(self) -> bool:
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place)
+
+    def put(self, rows: DataFrame, number: int) -> DataFrame:
+        """Write a drop in place of what stands under its number, and return it."""
+        spread = F.pmod(F.xxhash64(*rows.columns), F.lit(SPLIT))
+        rows.withColumn("bucket", self.bucket()).repartition("bucket", spread).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/drop={number}")
+        self.schema = StructType([*rows.schema.fields, StructField("bucket", IntegerType()), StructField("drop", LongType())])
+        return self.spark.read.schema(StructType(self.schema.fields[:-1])).parquet(f"{self.path}/drop={number}")
+
+    def touched(self, rows: DataFrame) -> list[int]:
+        """The buckets of `rows`, of which there are `buckets` at most."""
+        return sorted(r.b for r in rows.select(self.bucket().alias("b")).distinct().collect())
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """All drops, or only these buckets of them; both are folders, so others aren't listed for reading."""
+        reader = self.spark.read.schema(self.schema) if self.schema else self.spark.read
+        rows = reader.option("basePath", self.path).parquet(self.path)
+        return rows.filter(F.col("bucket").isin(buckets)) if buckets is not None else rows
 
 
 class SightingStore:
     """Stored sightings and identities, brought up to date drop by drop.
 
     A drop replaces what an earlier drop of the same number wrote, and sightings count by id, so a
-    drop that is delivered twice changes nothing. Identities are versions: each drop writes anew
-    those it touches, and a reader takes the newest version of each.
+    drop that is delivered twice changes nothing. The identities of a drop's keys are computed anew
+    from the sightings in their buckets, and written into these buckets among the others there.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    KEYS = ["tache", "fp"]
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.path = spark, path
+        self.store = KeyedStore(spark, f"{path}/sightings", self.KEYS, buckets)
 
     def sightings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/sightings").drop("drop")
-
-    def take(self, batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{self.path}/sightings/drop={number}")
-        fresh = self.spark.read.parquet(f"{self.path}/sightings/drop={number}")
-        identities = roll_up(touched_keys(fresh, self.sightings(), ["tache", "fp"]))
-        identities.write.mode("overwrite").parquet(f"{self.path}/identities/drop={number}")
-
-    def identities(self) -> DataFrame:
-        all_ = self.spark.read.parquet(f"{self.path}/identities")
-        cols = [c for c in all_.columns if c not in ("tache", "fp", "drop")]
-        newest = all_.groupBy("tache", "fp").agg(F.max_by(F.struct(*cols), "drop").alias("r"))
-        return newest.select("tache", "fp", "r.*")
+        return self.store.read().drop("drop", "bucket")
+
+    def take(self, batch: DataFrame, number: int) -> list[int]:
+        """Take a drop in; returns the buckets that were read and written."""
+        fresh = self.store.put(batch.dropDuplicates(["id"]), number)
+        touched = self.store.touched(fresh)
+        if not touched:
+            return touched
+        keys = fresh.select("bucket", *self.KEYS).distinct()
+        near = self.store.read(touched).drop("drop").join(keys, ["bucket", *self.KEYS], "left_semi").dropDuplicates(["id"])
+        new = roll_up(near, ("bucket", *self.KEYS))
+        place = f"{self.path}/identities"
+        if self._has_identities():
+            others = self.identities(touched).join(keys, ["bucket", *self.KEYS], "left_anti")
+            new = new.unionByName(others)
+        new = materialize(new, "identities")  # the buckets are read before they are replaced
+        new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(place)
+        return touched
+
+    def _has_identities(self) -> bool:
+        return KeyedStore(self.spark, f"{self.path}/identities", self.KEYS).exists()
+
+    def identities(self, buckets: list[int] | None = None) -> DataFrame:
+        """All identities, or those of some buckets with their `bucket`."""
+        rows = self.spark.read.parquet(f"{self.path}/identities")
+        return rows.filter(F.col("bucket").isin(buckets)) if buckets is not None else rows.drop("bucket")
 
 
 def stream_intake(sightings: DataFrame, store: SightingStore, checkpoint: str) -> None:
     """Feed a stream of sightings into the store."""
-    run_to_end(sightings.writeStream.foreachBatch(store.take).option("checkpointLocation", checkpoint))
 
+    def take(batch: DataFrame, number: int) -> None:
+        store.take(batch, number)
 
-def stream_distinct(sightings: DataFrame, keys: list[str], path: str, checkpoint: str) -> None:
-    """Write the first sighting of each key across drops; the seen keys are the stream's state."""
-    run_to_end(sightings.dropDuplicates(keys).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint))
+    run_to_end(sightings.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint))
+
+
+def stream_distinct(rows: DataFrame, keys: list[str], arrived: str, delay: str, store: KeyedStore, checkpoint: str) -> list[dict]:
+    """Store the first row of each key across drops; returns the progress of the run.
+
+    `arrived` is when a row came in, so it never runs backwards by more than `delay`. The stream's state
+    holds the keys of the last `delay` only; what repeats later is found by an anti join with the
+    stored rows in the buckets of the drop's keys.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch = materialize(batch, "distinct")
+        if store.exists():
+            known = store.read(store.touched(batch)).filter(F.col("drop") != number)
+            batch = batch.join(known.select(*keys), keys, "left_anti")
+        store.put(batch, number)
+
+    first = rows.withWatermark(arrived, delay).dropDuplicatesWithinWatermark(keys)
+    return run_to_end(first.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint))
 
 
 def monthly_counts(sightings: DataFrame, late: str = "62 days") -> DataFrame:
@@ -70,10 +145,31 @@ def monthly_counts(sightings: DataFrame, late: str = "62 days") -> DataFrame:
     return sightings.withWatermark("period_start", late).groupBy("period_start", "source").agg(F.count("*").alias("n"))
 
 
-def stream_monthly(sightings: DataFrame, path: str, checkpoint: str) -> None:
-    """Keep the newest count of each month and source as versions by batch."""
+def stream_monthly(sightings: DataFrame, path: str, checkpoint: str) -> dict:
+    """Keep the newest count of each month and source as versions by run and batch; returns what came in.
+
+    The result has `rows`, all that the run read, and `late`, how many of them came behind the watermark and were
+    not counted: what was read less what the counts grew by. `late_groups` is Spark's own figure, which
+    counts a month and source once for each task that dropped it.
+    """
+    before = _counted(sightings.sparkSession, path)
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    run_to_end(monthly_counts(sightings).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint))
+    seen = sightings.observe("intake", F.count(F.lit(1)).alias("rows"))
+    progress = run_to_end(monthly_counts(seen).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint))
+    rows = sum(p["observedMetrics"].get("intake", {}).get("rows", 0) for p in progress)
+    late_groups = sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
+    return {"rows": rows, "late": rows - (_counted(sightings.sparkSession, path) - before), "late_groups": late_groups}
+
+
+def newest_counts(spark: SparkSession, path: str) -> DataFrame:
+    """`(period_start, source, n)` as the last batch that changed each left it."""
+    return spark.read.parquet(path).groupBy("period_start", "source").agg(F.max_by("n", "batch").alias("n"))
+
+
+def _counted(spark: SparkSession, path: str) -> int:
+    if not KeyedStore(spark, path, []).exists():
+        return 0
+    return newest_counts(spark, path).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
