@@ -206,7 +206,8 @@ def user_flags_stream(spark, d):
     def put(batch, number):
         batch.write.mode("overwrite").parquet(f"{home}/out/batch={number}")
 
-    I.run_to_end(S.stream_flag_state(rows).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{home}/checkpoint"))
+    with S.state_store(spark):
+        I.run_to_end(S.stream_flag_state(rows).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{home}/checkpoint"))
     out = spark.read.parquet(f"{home}/out")
     newest = out.groupBy("user_id", "f_id").agg(F.max_by(F.struct("bookmarked", "bookmarked_at", "practiced", "practiced_at"), "batch").alias("r")).select("user_id", "f_id", "r.*")
     return _flag_rows(newest.filter("bookmarked or practiced"))

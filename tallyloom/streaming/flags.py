@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 FLAGS = ("bookmarked", "practiced")
 
@@ -24,31 +26,69 @@ def flag_state(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", "f_id").agg(*cols).filter(F.col(FLAGS[0]) | F.col(FLAGS[1]))
 
 
-STATE = "b_on boolean, b_key string, b_at timestamp, p_on boolean, p_key string, p_at timestamp"
-OUT = "user_id long, f_id long, bookmarked boolean, bookmarked_at timestamp, practiced boolean, practiced_at timestamp, version long"
-
-
-def _fold(key: tuple, batches: Iterable[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The state of one user and identity after a batch. Events may come late: each flag keeps the key of the event that decides it."""
-    held = list(state.get) if state.exists else [False, "", None, False, "", None]
-    version = 0
-    for b in batches:
-        for e in b.itertuples(index=False):
-            at = 0 if e.flag == "bookmarked" else 3
-            order = f"{pd.Timestamp(e.ts).value:020d}-{e.event_id:020d}"
-            version = max(version, int(e.event_id))
-            if order > held[at + 1]:
-                held[at], held[at + 1] = bool(e.is_on), order
-            if e.is_on and (held[at + 2] is None or pd.Timestamp(e.ts) > pd.Timestamp(held[at + 2])):
-                held[at + 2] = pd.Timestamp(e.ts).to_pydatetime()
-    state.update(tuple(held))
-    out = {"user_id": [key[0]], "f_id": [key[1]], "bookmarked": [held[0]], "bookmarked_at": [held[2]], "practiced": [held[3]], "practiced_at": [held[5]], "version": [version]}
-    frame = pd.DataFrame(out)
-    for c in ("bookmarked_at", "practiced_at"):
-        frame[c] = pd.to_datetime(frame[c])
-    yield frame
-
-
-def stream_flag_state(events: DataFrame) -> DataFrame:
-    """The same as an updating stream; both-off rows are sent too, so that a sink can drop them."""
-    return events.groupBy("user_id", "f_id").applyInPandasWithState(_fold, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+OUT = "user_id long, f_id long, bookmarked boolean, bookmarked_us long, practiced boolean, practiced_us long, version long"
+STATE = ", ".join(f"{f}_{c}" for f in FLAGS for c in ("on boolean", "key string", "us long"))  #: of each flag: its value, the event that decided it, when it last went on
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class FlagProcessor(StatefulProcessor):
+    """Keeps the flags of one user and identity. Events may come late: each flag knows the event that decides it.
+
+    With `expiry_ms` the state of a pair without events for so long goes, and its next events start anew.
+    """
+
+    def __init__(self, expiry_ms: int | None = None):
+        self.expiry_ms = expiry_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getValueState("flags", STATE, self.expiry_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        parts = list(rows)
+        events = parts[0] if len(parts) == 1 else pd.concat(parts)
+        order, at, flags, on = (events[c].to_numpy() for c in ("order", "us", "flag", "is_on"))
+        values: list = list(self.held.get()) if self.held.exists() else [False, "", None] * len(FLAGS)
+        for i, flag in enumerate(FLAGS):
+            mine = np.flatnonzero(flags == flag)
+            if not len(mine):
+                continue
+            last = mine[order[mine].argmax()]
+            if order[last] > values[3 * i + 1]:
+                values[3 * i : 3 * i + 2] = bool(on[last]), order[last]
+            switched = at[mine[on[mine].astype(bool)]]
+            if len(switched):
+                values[3 * i + 2] = int(max(switched.max(), values[3 * i + 2] or switched.max()))
+        self.held.update(tuple(values))
+        out = {"user_id": [key[0]], "f_id": [key[1]]}
+        for i, flag in enumerate(FLAGS):
+            out[flag], out[f"{flag}_us"] = [values[3 * i]], pd.array([values[3 * i + 2]], dtype="Int64")
+        yield pd.DataFrame(out | {"version": [int(events["event_id"].max())]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_flag_state(events: DataFrame, expiry_ms: int | None = None) -> DataFrame:
+    """The same as an updating stream; both-off rows are sent too, so that a sink can drop them.
+
+    Its state needs the store that is named PROVIDER. With an expiry, a query that runs to the end of
+    its input never ends, since time alone may change its state; run it with a processing-time trigger.
+    """
+    kind = "ProcessingTime" if expiry_ms else "None"
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    keyed = events.select("user_id", "f_id", "flag", "is_on", "event_id", us.alias("us"), F.format_string("%020d-%020d", us, "event_id").alias("order"))
+    states = keyed.groupBy("user_id", "f_id").transformWithStateInPandas(FlagProcessor(expiry_ms), OUT, "Update", kind)
+    at = [F.timestamp_micros(f"{f}_us").alias(f"{f}_at") for f in FLAGS]
+    return states.select("user_id", "f_id", FLAGS[0], at[0], FLAGS[1], at[1], "version")
+
+
+@contextmanager
+def state_store(spark: SparkSession, provider: str = PROVIDER):
+    """Queries started inside keep their state in `provider`."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -1,9 +1,11 @@
+import random
 import shutil
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from tallyloom.streaming import intake as I
+from tallyloom.streaming import flags as S, intake as I
 
 SCHEMA = "id string, tache int, period string, text string, fp string"
 
@@ -81,3 +83,25 @@ def test_late_rows_are_told(spark, home):
     assert told[1]["late_groups"] >= 1
     counts = {str(r.period_start)[:7]: r.n for r in I.newest_counts(spark, f"{home}/out").collect()}
     assert counts == {"2024-06": 11, "2024-05": 7, "2024-07": 1}
+
+
+def test_flags_of_late_and_repeated_events(spark, home):
+    """Batches of shuffled events, some late, end as the fold of all."""
+    dice = random.Random(3)
+    events = [(i, f"2024-01-01 00:{dice.randrange(60):02d}:00", dice.randrange(4), dice.randrange(3), dice.choice(S.FLAGS), dice.random() < 0.6) for i in range(240)]
+    dice.shuffle(events)
+    schema = "event_id long, at string, user_id long, f_id long, flag string, is_on boolean"
+
+    def put(batch, number):
+        batch.write.mode("overwrite").parquet(f"{home}/out/batch={number}")
+
+    def run(stream):
+        rows = stream.selectExpr("event_id", "to_timestamp(at) AS ts", "user_id", "f_id", "flag", "is_on")
+        with S.state_store(spark):
+            return I.run_to_end(S.stream_flag_state(rows).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{home}/checkpoint"))
+
+    drops_of(spark, home, [events[:100], events[100:180], events[180:]], schema, run)
+    newest = spark.read.parquet(f"{home}/out").groupBy("user_id", "f_id").agg(F.max_by(F.struct(S.FLAGS[0], f"{S.FLAGS[0]}_at", S.FLAGS[1], f"{S.FLAGS[1]}_at"), "batch").alias("r"))
+    newest = newest.select("user_id", "f_id", "r.*").filter("bookmarked OR practiced")
+    want = S.flag_state(spark.createDataFrame(events, schema).selectExpr("event_id", "to_timestamp(at) AS ts", "user_id", "f_id", "flag", "is_on"))
+    assert sorted(map(str, newest.collect())) == sorted(map(str, want.select(*newest.columns).collect()))
