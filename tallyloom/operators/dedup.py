@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -22,8 +23,13 @@ def well_formed(c: Column) -> Column:
     return c.rlike(r"[?.]$")
 
 
-def canonical_order(strategy: str = "latest") -> Column:
-    """What the canonical record of a group has most of; on ties the first id stays first."""
+def canonical_order(strategy: str | Callable[[], Column] = "latest") -> Column:
+    """What the canonical record of a group has most of; on ties the first id stays first.
+
+    `latest`, `longest`, or a function that gives a Column over the rows' own columns.
+    """
+    if callable(strategy):
+        return F.struct(strategy().alias("own"), (-F.col("doc_id")).alias("first"))
     parts = {"latest": ["period", "ends", "len"], "longest": ["ends", "len"]}[strategy]
     values = {"period": F.col("period"), "ends": well_formed(F.trim("text")).cast("int"), "len": F.length("text")}
     return F.struct(*[values[p].alias(p) for p in parts], (-F.col("doc_id")).alias("first"))
@@ -85,7 +91,7 @@ def banded(pairs: DataFrame, review_low: float = 0.55, auto_merge: float = 0.95)
     return pairs.filter(F.col("score") >= review_low).withColumn("band", F.when(F.col("score") >= auto_merge, "merge").otherwise("review"))
 
 
-def canonical_records(rows: DataFrame, strategy: str = "latest") -> DataFrame:
+def canonical_records(rows: DataFrame, strategy: str | Callable[[], Column] = "latest") -> DataFrame:
     """One record for each cluster of sightings `(cluster, doc_id, id, fp, text, period, source)`.
 
     duplicate_ids are the other members, exact_duplicate_ids those of the canonical's own fingerprint,

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 SKIPPED = frozenset("script style nav footer header".split())
 BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol td th tr table section article blockquote".split())
@@ -61,6 +62,23 @@ def html_nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     return pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInPandas(run, f"page_id {kind}, pos int, block int, tag string, bold boolean, text string")
 
 
+@F.udtf(returnType="pos int, block int, tag string, bold boolean, text string")
+class HtmlNodes:
+    """`html_nodes(html)` for SQL, to be used with LATERAL: the same rows for one page."""
+
+    def eval(self, html: str):
+        p = _Nodes()
+        p.feed(html or "")
+        p.close()
+        for n, node in enumerate(p.found):
+            yield n, *node
+
+
+def register_html_nodes(spark: SparkSession, name: str = "html_nodes") -> None:
+    """Make the table function known to the session's SQL."""
+    spark.udtf.register(name, HtmlNodes)
+
+
 def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(c, "\u00a0", " "), r"\s+", " "))
 
@@ -109,26 +127,19 @@ def pushed_payload(html: Column) -> Column:
 def bracket_slice(payload: Column, key: Column) -> Column:
     """The JSON array that follows `"key":`, by counting brackets outside strings; null without one."""
 
+    # From a key's array on only strings and brackets matter; the expression skips all else at once.
+    marks = re.compile(r'"(?:[^"\\]|\\.)*+"|[\[{]|[\]}]', re.DOTALL)
+
     def one(s: str | None, k: str) -> str | None:
         at = (s or "").find(f'"{k}":[')
         if at < 0:
             return None
-        start = s.index("[", at)
-        depth, quoted, i = 0, False, start
-        while i < len(s):
-            c = s[i]
-            if quoted:
-                i += c == "\\"
-                quoted = c != '"'
-            elif c == '"':
-                quoted = True
-            elif c in "[{":
-                depth += 1
-            elif c in "]}":
-                depth -= 1
-                if not depth:
-                    return s[start : i + 1]
-            i += 1
+        start, depth = s.index("[", at), 0
+        for m in marks.finditer(s, start):
+            c = m[0]
+            depth += (c in "[{") - (c in "]}")
+            if not depth:
+                return s[start : m.end()]
         return None
 
     @F.pandas_udf("string")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from tallyloom.functions import text as T
-from tallyloom.operators import coreset as C, filters as L, joins as J
+from tallyloom.operators import coreset as C, filters as L, joins as J, models as M
+from tallyloom.operators.materialize import scratch_path
 from tallyloom.plans.base import query, v_bank, v_identity, v_list, v_runs, v_sightings, v_vocab
 from tallyloom.sources.tables import table
 
@@ -49,6 +50,25 @@ def pending(spark, d):
     return L.pending(rows, rows.filter("id % 3 = 0"), ["id"]).select("id")
 
 
+@query("fil_04_model", "SELECT doc_id AS id, CAST(length(text) % 7 AS VARCHAR) AS answer FROM documents WHERE doc_id % 3 <> 0")
+def model_resumed(spark, d):
+    """Answers of a model that fails on some calls at first and is asked again for what is left."""
+    rows = table(spark, d, "documents").filter("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), "text")
+    store, schema = scratch_path(spark, "answers"), "id long, answer string"
+
+    def label(b):
+        return b[["id"]].assign(answer=(b["text"].str.len() % 7).astype(str))
+
+    def unsure(b):
+        if b["id"].iat[0] % 2:
+            raise TimeoutError("no reply")
+        return label(b)
+
+    for call in (unsure, label):
+        M.call_model(rows, call, schema, store)
+    return M.results(spark, store, schema)
+
+
 @query("fil_05", "SELECT id FROM v_runs WHERE CASE WHEN id % 7 = 0 THEN 0 ELSE confidence END < 0.4", "v_runs")
 def low_confidence(spark, d):
     """Rows for the second stage."""

@@ -42,6 +42,14 @@ def visible_text(spark, d):
     return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("nodes"), F.sum(F.length("text")).alias("chars"))
 
 
+@query("htm_01_sql")
+def visible_text_sql(spark, d):
+    """The same by the table function in SQL; tested against htm_01."""
+    H.register_html_nodes(spark)
+    table(spark, d, "pages").createOrReplaceTempView("tallyloom_pages")
+    return spark.sql("SELECT page_id, n.tag, count(*) AS nodes, sum(length(n.text)) AS chars FROM tallyloom_pages, LATERAL html_nodes(html) n GROUP BY page_id, n.tag")
+
+
 @query("htm_02", f"WITH {ASKED} SELECT page_id, tache, partie, sujet, sha256(text) AS sha FROM asked", "v_sightings")
 def marked_questions(spark, d):
     """Questions found by headings, in pages laid out from the sightings."""
