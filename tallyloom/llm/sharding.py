@@ -1,12 +1,12 @@
 """Global shuffle into shards by a two-pass external shuffle (operator 5), in DataFrame functions only.
 
-Pass one scatters the records uniformly into memory-sized buckets by a seeded hash, one bucket a
-partition. Pass two orders each bucket by another seeded hash, permutes it with `shuffle`, which is
+Pass one scatters the records uniformly into memory-sized buckets by a seeded hash. Pass two numbers
+each bucket's records in the order of another seeded hash, permutes the numbers with `shuffle`, which is
 Fisher-Yates (inside out) on an array, and lays the buckets end to end; position p of the whole goes to shard
-p mod n, slot p div n. Shards so differ by one row at most (the law `rows`), whatever the texts are.
+p mod n, slot p div n. The numbers alone are an array, four bytes a record; the records are sorted and joined. Shards so differ by one row at most (the law `rows`), whatever the texts are.
 
 `shuffle` draws from a generator that starts anew, with the seed and the partition's number, in
-every partition. As a partition is a bucket, its draws depend on seed, bucket and position alone: a
+every partition. As a bucket's numbers are a partition, its draws depend on seed, bucket and position alone: a
 record's place doesn't depend on how the input was partitioned, and a repeated task finds it again.
 """
 
@@ -73,14 +73,14 @@ def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, b
     # A row for each bucket: at most a few hundred thousand, so one task can add them up and all can hold them.
     counts = numbered.groupBy(place.alias("_bucket")).agg(F.count("*").alias("_n"))
     offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    record = F.struct(F.xxhash64(F.lit(seed + 1), *hashed, "_copy").alias("k"), F.xxhash64(F.lit(seed + 2), *hashed, "_copy").alias("k2"), F.struct(*docs.columns).alias("r"))
-    scattered = numbered.select(place.alias("_bucket"), record.alias("_x")).repartitionById(buckets, "_bucket")
-    by_key = lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).when(a["k2"] < b["k2"], -1).when(a["k2"] > b["k2"], 1).otherwise(0)
-    bucket = scattered.groupBy("_bucket").agg(F.collect_list("_x").alias("_xs"))
-    bucket = bucket.select("_bucket", F.shuffle(F.array_sort("_xs", by_key), seed).alias("_xs"))
-    laid = bucket.join(F.broadcast(offsets), "_bucket").select("_before", F.posexplode("_xs").alias("_at", "_x"))
+    keyed = numbered.select(place.alias("_bucket"), F.xxhash64(F.lit(seed + 1), *hashed, "_copy").alias("_k"), F.xxhash64(F.lit(seed + 2), *hashed, "_copy").alias("_k2"), F.struct(*docs.columns).alias("_r"))
+    # Rows of a bucket are sorted, which spills; only the permutation of their numbers is an array.
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_k", "_k2")) - 1).drop("_k", "_k2")
+    dealt = counts.repartitionById(buckets, "_bucket").select("_bucket", F.shuffle(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int")), seed).alias("_order"))
+    dealt = dealt.join(F.broadcast(offsets), "_bucket").select("_bucket", "_before", F.posexplode("_order").alias("_at", "_rank"))
     at = F.col("_before") + F.col("_at")
-    return laid.select("_x.r.*", (at % shards).cast("int").alias("_shard"), F.floor(at / shards).cast("long").alias("_slot"))
+    laid = ranked.join(dealt.select("_bucket", "_rank", at.alias("_place")), ["_bucket", "_rank"])
+    return laid.select("_r.*", (F.col("_place") % shards).cast("int").alias("_shard"), F.floor(F.col("_place") / shards).cast("long").alias("_slot"))
 
 
 def write_shards(placed: DataFrame, path: str) -> None:
