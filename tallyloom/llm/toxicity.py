@@ -1,14 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar (operator 1).
 
-Tokens get classes (insult, target, negator, reporting verb, modal, threat verb). Two transducers
+Tokens get classes (insult, target, person as an object, negator, reporting verb, modal, threat verb). Two transducers
 read the classes of one clause and rewrite them: negation marks insults and threat verbs within its
 scope, reported speech those after a reporting verb. Two acceptors read what they write: abuse
-takes an insult near a target or near another insult, threat a modal and a threat verb, or a
-threat verb and its target. Arcs have weights, so distance and order count, and negated or reported
+takes an insult near a target or near another insult, threat a threat verb and a person near it as its
+object, more surely behind a modal; a thing that is burnt or killed is no threat. Arcs have weights, so distance and order count, and negated or reported
 words weigh little. The four are composed into one weighted machine; a clause scores the best path
-that the machine accepts. An insult alone accepts nothing: it counts as half of a match, so that
-one such word never makes a text toxic, but clause after clause of them does. A document's score
-is the noisy-or of its clauses.
+that the machine accepts. An insult alone accepts nothing: it counts as half of a match, and of all that stand alone in a text
+only the strongest counts, unless another clause's match is within REACH tokens: insults that follow each
+other so speak together. A document's score is the noisy-or of what counts.
 
 The insult lexicon is learned: Spark counts, over a bounded sample of labelled documents, in how
 many toxic and clean documents each word and each word beginning of 5 to 8 letters occurs, and
@@ -38,6 +38,8 @@ CLAUSE = re.compile(r"[.!?;:\n\r…]+")
 
 # Closed word classes of the four languages of the corpus.
 TARGETS = frozenset("you your yours yourself he she him her they them u tu toi vous te il elle eux du dich dir ihr euch sie ihn tú usted ustedes él ella ellos vosotros".split())
+PERSONS = frozenset("you yourself him her them u toi vous eux sie usted ustedes él ella ellos".split())
+OBJECTS = frozenset("te dich dir euch ihn".split())  #: persons that may stand before their verb
 NEGATORS = frozenset("not never no none nobody isn aren wasn don doesn didn without pas jamais ne ni aucun nicht kein keine keinen nie niemals nunca jamás ningún sin".split())
 REPORTERS = frozenset("said says say saying wrote writes called calls quoted quote according claimed claims reported dit disait écrit selon appelé sagte sagt schrieb nannte laut dijo dice escribió según llamó".split())
 MODALS = frozenset("will ll gonna going shall want should vais va allons veux werde wird will werden voy vamos quiero".split())
@@ -54,8 +56,9 @@ THREATS = frozenset(
     for ending in endings.split("|")
 )
 
-INSULT, TARGET, NEGATOR, REPORTER, MODAL, THREAT, OTHER = range(7)
-CLASSES = 7
+INSULT, TARGET, NEGATOR, REPORTER, MODAL, THREAT, OTHER, PERSON, OBJECT = range(9)
+CLASSES = 9
+ANYONE = (TARGET, PERSON, OBJECT)
 NEGATED, REPORTED = 1, 2  #: what the transducers mark a class with
 STEM_LENGTHS = range(5, 9)
 SAMPLE_BOUND = 20_000  #: labelled training documents at most
@@ -65,7 +68,9 @@ STEM_SHARE = 0.7  #: of a beginning's toxic documents that its commonest word ma
 NEGATION_SCOPE = 3  #: tokens after a negator that it reaches
 NEARBY = 5  #: tokens within which insult and target, or modal and threat verb, belong together
 PILED = 8  #: tokens within which a second insult counts as abuse
+OBJECT_NEAR = 3  #: tokens within which a threat verb and the person it aims at belong together
 LONE = 0.5  #: of an insult that no path accepts
+REACH = 100  #: tokens within which matches of several clauses belong together
 NEGATION_WEIGHT, REPORT_WEIGHT = 0.15, 0.3
 
 Symbol = tuple[int, int]  #: class and marks
@@ -134,7 +139,7 @@ def abuse() -> Machine:
         ways = []
         if state == 0:
             ways.append(Arc(0))
-            if symbol[0] == TARGET:
+            if symbol[0] in ANYONE:
                 ways.append(Arc(1))
             if symbol[0] == INSULT:
                 ways.append(Arc(since_insult + 1, _said(symbol), _named("insult", symbol)))
@@ -145,7 +150,7 @@ def abuse() -> Machine:
                 ways.append(Arc(state + 1))
         else:
             gap = state - since_insult
-            if symbol[0] == TARGET and gap <= NEARBY:
+            if symbol[0] in ANYONE and gap <= NEARBY:
                 ways.append(Arc(done, 0.9 - 0.05 * (gap - 1), ">target"))
             if symbol[0] == INSULT:
                 ways.append(Arc(done, 0.9 * _said(symbol), _named(">insult", symbol)))
@@ -157,8 +162,11 @@ def abuse() -> Machine:
 
 
 def threat() -> Machine:
-    """A modal and then a threat verb, weaker with distance; or a threat verb and then its target."""
-    done, since_verb = 1 + 2 * NEARBY, NEARBY
+    """A threat verb and then a person, more surely if a modal comes before; or a person as an object and then a threat verb.
+
+    States: 0, DONE, then tokens since a modal, since a verb, since a verb behind a modal, and since an object.
+    """
+    modal, verb, meant, object_, done = 0, NEARBY, NEARBY + OBJECT_NEAR, NEARBY + 2 * OBJECT_NEAR, NEARBY + 3 * OBJECT_NEAR + 1
 
     def arcs(state: int, symbol: Symbol) -> list[Arc]:
         if state == done:
@@ -167,19 +175,27 @@ def threat() -> Machine:
         if state == 0:
             ways.append(Arc(0))
             if symbol[0] == MODAL:
-                ways.append(Arc(1))
+                ways.append(Arc(modal + 1))
+            if symbol[0] == OBJECT:
+                ways.append(Arc(object_ + 1))
             if symbol[0] == THREAT:
-                ways.append(Arc(since_verb + 1, _said(symbol), _named("threat", symbol)))
-        elif state <= NEARBY:
+                ways.append(Arc(verb + 1, _said(symbol), _named("threat", symbol)))
+        elif state <= verb:
             if symbol[0] == THREAT:
-                ways.append(Arc(done, 0.9 * _said(symbol) * (1.0 - 0.05 * (state - 1)), _named("modal>threat", symbol)))
-            if state < NEARBY:
+                ways.append(Arc(meant + 1, _said(symbol) * (1.0 - 0.05 * (state - 1)), _named("modal>threat", symbol)))
+            if state < verb:
+                ways.append(Arc(state + 1))
+        elif state <= object_:
+            behind, gap = (meant, state - meant) if state > meant else (verb, state - verb)
+            if symbol[0] in (PERSON, OBJECT):
+                ways.append(Arc(done, (0.95 if behind == meant else 0.85) - 0.1 * (gap - 1), ">target"))
+            if gap < OBJECT_NEAR:
                 ways.append(Arc(state + 1))
         else:
-            gap = state - since_verb
-            if symbol[0] == TARGET:
-                ways.append(Arc(done, 0.85 - 0.1 * (gap - 1), ">target"))
-            if gap < NEARBY - 2:
+            gap = state - object_
+            if symbol[0] == THREAT:
+                ways.append(Arc(done, _said(symbol) * (0.9 - 0.1 * (gap - 1)), _named("target>threat", symbol)))
+            if gap < OBJECT_NEAR:
                 ways.append(Arc(state + 1))
         return ways
 
@@ -273,7 +289,7 @@ class ToxicityModel:
 
 
 def scanner(model: ToxicityModel) -> Callable[[str], list[tuple[str, float]]]:
-    """A function that gives a text's matched clauses as (path, weight); a lone insult's path is `insult`."""
+    """A function that gives a text's matched clauses as (path, weight); a lone insult's path is `insult`, or `insults` where another match is near."""
     first = {w[:3] for w in (*model.words, *model.stems, *THREATS)}
     short = {w for w in model.words if len(w) < 3}
 
@@ -284,6 +300,10 @@ def scanner(model: ToxicityModel) -> Callable[[str], list[tuple[str, float]]]:
             return THREAT, 1.0
         if token in NEGATORS:
             return NEGATOR, 0.0
+        if token in OBJECTS:
+            return OBJECT, 0.0
+        if token in PERSONS:
+            return PERSON, 0.0
         if token in TARGETS:
             return TARGET, 0.0
         if token in REPORTERS:
@@ -296,9 +316,12 @@ def scanner(model: ToxicityModel) -> Callable[[str], list[tuple[str, float]]]:
         hits = {t for t in maybe if t in THREATS or model.weight(t) is not None}
         if not hits:
             return []
-        found = []
+        found: list[tuple[str, float]] = []
+        spans: list[tuple[int, int]] = []
+        begin = end = 0
         for clause in CLAUSE.split(low):
             tokens = WORD.findall(clause)
+            begin, end = end, end + len(tokens)
             if hits.isdisjoint(tokens):
                 continue
             read = [classed(t) for t in tokens]
@@ -309,10 +332,14 @@ def scanner(model: ToxicityModel) -> Callable[[str], list[tuple[str, float]]]:
                 said = best_lone([c for c, _ in read])
                 lone = LONE * said * strongest
             whole = weight * min(strongest, model.path_weight(path)) if path else 0.0
-            if whole >= lone and whole > 0:
-                found.append((path, whole))
-            elif lone > 0:
-                found.append(("insult", lone))
+            if max(whole, lone) > 0:
+                found.append((path, whole) if whole >= lone else ("insult", lone))
+                said_at = [begin + i for i, (c, _) in enumerate(read) if c in (INSULT, THREAT)]
+                spans.append((said_at[0], said_at[-1]))
+        for i, (path, weight) in enumerate(found):
+            near = (i > 0 and spans[i][0] - spans[i - 1][1] <= REACH) or (i + 1 < len(found) and spans[i + 1][0] - spans[i][1] <= REACH)
+            if path == "insult" and near:
+                found[i] = "insults", weight
         return found
 
     return scan
@@ -334,10 +361,11 @@ def _rewriting() -> dict[tuple, list[tuple]]:
 
 
 def combine(model: ToxicityModel, clauses: list[tuple[str, float]]) -> float:
-    """Noisy-or of the clauses."""
-    left = 1.0 - model.base
-    for _, weight in clauses:
-        left *= 1.0 - min(0.995, weight)
+    """Noisy-or of the clauses; of insults that stand alone only the strongest."""
+    left = (1.0 - model.base) * (1.0 - max((w for p, w in clauses if p == "insult"), default=0.0))
+    for path, weight in clauses:
+        if path != "insult":
+            left *= 1.0 - min(0.995, weight)
     return 1.0 - left
 
 

@@ -10,7 +10,7 @@ import pytest
 from tallyloom.llm import toxicity as T
 
 SF1 = "/root/testdata/sf0.1"
-NAMES = {"i": T.INSULT, "t": T.TARGET, "n": T.NEGATOR, "r": T.REPORTER, "m": T.MODAL, "k": T.THREAT, ".": T.OTHER}
+NAMES = {"i": T.INSULT, "t": T.TARGET, "n": T.NEGATOR, "r": T.REPORTER, "m": T.MODAL, "k": T.THREAT, ".": T.OTHER, "p": T.PERSON, "o": T.OBJECT}
 
 
 def plain_weight(clause):
@@ -22,24 +22,27 @@ def plain_weight(clause):
         factor.append((0.15 if c in "ik" and "n" in back else 1.0) * (0.3 if c in "ik" and "r" in clause[:j] else 1.0))
     best = 0.0
     for a, b in itertools.combinations(range(len(clause)), 2):
-        pair, gap = clause[a] + clause[b], b - a
-        if pair == "ti" and gap <= 5:
+        x, y, gap = clause[a], clause[b], b - a
+        if x in "tpo" and y == "i" and gap <= 5:
             best = max(best, factor[b] * (1 - 0.04 * (gap - 1)))
-        if pair == "it" and gap <= 5:
+        if x == "i" and y in "tpo" and gap <= 5:
             best = max(best, factor[a] * (0.9 - 0.05 * (gap - 1)))
-        if pair == "ii" and gap <= 8:
+        if x == y == "i" and gap <= 8:
             best = max(best, factor[a] * factor[b] * 0.9)
-        if pair == "mk" and gap <= 5:
-            best = max(best, 0.9 * factor[b] * (1 - 0.05 * (gap - 1)))
-        if pair == "kt" and gap <= 3:
+        if x == "o" and y == "k" and gap <= 3:
+            best = max(best, factor[b] * (0.9 - 0.1 * (gap - 1)))
+        if x == "k" and y in "po" and gap <= 3:
             best = max(best, factor[a] * (0.85 - 0.1 * (gap - 1)))
+            for m in range(max(0, a - 5), a):
+                if clause[m] == "m":
+                    best = max(best, factor[a] * (1 - 0.05 * (a - m - 1)) * (0.95 - 0.1 * (gap - 1)))
     return best
 
 
 def test_composed_grammar_equals_all_paths():
     rng = random.Random(1)
-    clauses = ["".join(c) for n in range(5) for c in itertools.product("itnrmk.", repeat=n)]
-    clauses += ["".join(rng.choices("itnrmk.", [2, 2, 1, 1, 1, 2, 8], k=rng.randrange(5, 16))) for _ in range(1_500)]
+    clauses = ["".join(c) for n in range(4) for c in itertools.product("itnrmk.po", repeat=n)]
+    clauses += ["".join(rng.choices("itnrmk.po", [2, 2, 1, 1, 1, 2, 8, 1, 1], k=rng.randrange(5, 16))) for _ in range(1_500)]
     for c in clauses:
         weight, path = T.best_path([NAMES[x] for x in c])
         assert weight == pytest.approx(plain_weight(c)) and bool(path) == (weight > 0), c
@@ -57,7 +60,7 @@ def test_clauses(hand):
     assert paths("He is not an idiot") == ["target>insult-negated"]
     assert paths("She said: fine. They said idiot") == ["target>insult-reported"]
     assert paths("idiot, you!") == ["insult>target"] and paths("idiot or moron") == ["insult>insult"]
-    assert paths("I will kill you") == ["modal>threat"] and paths("I kill you") == ["threat>target"]
+    assert paths("I will kill you") == ["modal>threat>target"] and paths("I kill you") == ["threat>target"]
     assert paths("Kill the process") == [] and paths("") == []
     assert paths("Schwachkopf") == ["insult"]
 
@@ -69,6 +72,10 @@ def test_scores(hand):
     assert 0.2 < score("what an idiot") < 0.7 < score("idiot. moron. idiot.")
     for mild in ("He is not an idiot", "They said idiot", "She wrote that he is an idiot", "I will not kill you"):
         assert score(mild) < 0.35
+    assert score("idiot. " + "So it goes on and on. " * 20 + "moron. " + "So it goes on and on. " * 20 + "idiot.") < 0.7
+    for thing in ("We will burn calories.", "You shall hang your coat.", "He should burn the letter.", "She will shoot the film.", "I want to kill time."):
+        assert score(thing) < 0.1, thing
+    assert score("Je vais te tuer") > 0.7 and score("Ich werde dich töten") > 0.7 and score("Wir erschlagen euch") > 0.7
     assert score("You, who came here on foot from far away, met an idiot") < 0.7 < score("You idiot")
 
 
