@@ -9,7 +9,8 @@
    words; a word of every second position is one word like any other. The number of buckets grows
    with the bytes of the input, so that each fits in memory.
 3. The ids are joined back to their blocks and each block is reassembled by position.
-4. Decoding joins the ids with the token-byte table, which has the size of the vocabulary.
+4. Decoding joins the distinct ids of each batch with the token-byte table, which has the size of
+   the vocabulary, and puts the bytes back by position.
 
 Blocks are cut twice, once for their words and once for their positions, which costs less disk
 than keeping one of them. A block is named by a hash of its contents; if a second reading gave
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -223,34 +225,95 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", writ
     return words.unionByName(positions).groupBy("_block").applyInArrow(_reassemble, "doc_id long, ids array<int>")
 
 
-@lru_cache(1)
-def _token_table() -> pa.Array:
-    return pa.array(token_bytes(), pa.large_binary())
+def token_table(spark: SparkSession, path: str = RANKS) -> DataFrame:
+    """The token-byte table `(_token, _bytes)`: a row for each id of the vocabulary, whatever the size of the corpus."""
+    spelled = token_bytes(path)
+    return spark.createDataFrame(pa.table({"_token": pa.array(np.arange(len(spelled), dtype=np.int32)), "_bytes": pa.array(spelled, pa.binary())}))
+
+
+ASKED = ["_block", "_distinct", "_id", "_rows"]
 
 
-def _spelled(ids: pa.ListArray) -> pa.Array:
-    """The bytes of each list of ids: the ids joined with the token-byte table, whose bytes then lie in order."""
-    found = _token_table().take(ids.values)  # an id is the key, and its place in the table
-    ends = np.frombuffer(found.buffers()[1], np.int64)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int64)
-    cuts = ends[ids.offsets.to_numpy()]
-    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(cuts)), found.buffers()[2] or pa.py_buffer(b"")])
+def _ask(at: int):
+    """For each batch a row with the batch itself and the number of its distinct ids, then a row for each of these."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b.column(at).flatten()
+            if flat.null_count:
+                raise ValueError("a token id is null")
+            distinct = np.flatnonzero(np.bincount(flat.to_numpy(zero_copy_only=False)))
+            n, name = len(distinct), int.from_bytes(os.urandom(8), "little", signed=True)
+            whole = pa.BufferOutputStream()
+            with pa.ipc.new_stream(whole, b.schema) as out:
+                out.write_batch(b)
+            yield pa.record_batch([pa.array([name], pa.int64()), pa.array([n], pa.int32()), pa.nulls(1, pa.int32()), pa.array([whole.getvalue().to_pybytes()], pa.binary())], ASKED)
+            yield pa.record_batch([pa.array(np.full(n, name, np.int64)), pa.nulls(n, pa.int32()), pa.array(distinct.astype(np.int32)), pa.nulls(n, pa.binary())], ASKED)
+
+    return run
+
+
+def _spelled(ids: pa.ListArray, known: np.ndarray, spelled: pa.Array) -> pa.Array:
+    """The bytes of each list of ids, by the joined rows `(known, spelled)`: the bytes of all ids lie in order, cut where lists end."""
+    place = np.zeros(int(known.max(initial=-1)) + 1, np.int64)
+    place[known] = np.arange(len(known))
+    flat = ids.flatten().to_numpy(zero_copy_only=False)
+    found = spelled.cast(pa.large_binary()).take(pa.array(place[flat] if len(flat) else np.empty(0, np.int64)))
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    lengths = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    cuts = ends[np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)]
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(cuts), found.buffers()[2] or pa.py_buffer(b"")])
     return pc.if_else(ids.is_valid(), whole, pa.scalar(None, pa.large_binary())).cast(pa.binary())
 
 
+def _answer(at: int):
+    """Batches put together again once all their ids have come back with bytes, in whatever order."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list] = {}
+        for b in batches:
+            names = b.column(0).to_numpy()
+            heads = b.column(1).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(names, prepend=names[:1]) | heads | np.append(False, heads[:-1]))
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)]):
+                if i == j:
+                    continue
+                rows, held = b.slice(i, j - i), waiting.setdefault(int(names[i]), [None, b"", 0, [], []])
+                if heads[i]:
+                    held[0], held[1] = rows.column(1)[0].as_py(), rows.column(3)[0].as_py()
+                else:
+                    if rows.column(4).null_count:
+                        raise ValueError("a token id is out of bounds of the token-byte table")
+                    held[2] += len(rows)
+                    held[3].append(rows.column(2).to_numpy())
+                    held[4].append(rows.column(4))
+                if held[0] != held[2]:
+                    continue
+                del waiting[int(names[i])]
+                whole = pa.ipc.open_stream(held[1]).read_next_batch()
+                known = np.concatenate([np.empty(0, np.int32), *held[3]])
+                spelled = pa.concat_arrays(held[4]) if held[4] else pa.array([], pa.binary())
+                yield pa.RecordBatch.from_arrays([*whole.columns, _spelled(whole.column(at), known, spelled)], [*whole.schema.names, "decoded"])
+        if waiting:
+            raise ValueError("token ids of a batch were moved to another partition")
+
+    return run
+
+
 def decode(encoded: DataFrame, ids_col: str = "ids") -> DataFrame:
     """`encoded` with `decoded`: the bytes of its token ids, null for null; ids outside the table are an error.
 
-    The token-byte table has a row for each id of the vocabulary, so it is the side of the join that
-    every task holds; ids don't move. Other columns stay; `decoded` is replaced.
+    A batch asks for each of its distinct ids once; these rows are joined with the token-byte table,
+    which has the size of the vocabulary and so is the broadcast side, and put back by position. The
+    batch travels beside its ids in the same partition: nothing is shuffled. A very long list is one
+    row of a batch like any other, an empty one gives no bytes. Other columns stay; `decoded` is replaced.
     """
     encoded = encoded.drop("decoded")
-    at = encoded.columns.index(ids_col)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, _spelled(b.column(at))], [*b.schema.names, "decoded"])
-
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
+    spark, at = encoded.sparkSession, encoded.columns.index(ids_col)
+    bounded_batches(spark)
+    asked = encoded.mapInArrow(_ask(at), "_block long, _distinct int, _id int, _rows binary")
+    joined = asked.join(F.broadcast(token_table(spark)), F.col("_id") == F.col("_token"), "left").select(*ASKED, "_bytes")
+    return joined.mapInArrow(_answer(at), StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", written: bool = False) -> DataFrame:

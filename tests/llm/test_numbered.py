@@ -296,6 +296,25 @@ def test_decode(spark):
         bpe.decode(spark.createDataFrame([([60_000],)], "ids array<int>")).collect()
 
 
+def test_bpe_decoding_joins_rows(spark):
+    """Batches of any size and kind come back whole, their columns too, and the plan has one join and no shuffle."""
+    table = bpe.token_bytes()
+    rows = [(i, [(i * 7 + k * k) % len(table) for k in range(i % 50 * (i % 3))], f"t{i}") for i in range(400)] + [(400, None, "none"), (401, [5] * 300_000, "long")]
+    df = spark.createDataFrame(rows, "own long, ids array<int>, decoded string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = bpe.decode(df)
+        found = {r.own: (r.ids, None if r.decoded is None else bytes(r.decoded)) for r in got.collect()}
+        assert found == {i: (ids, None if ids is None else b"".join(table[k] for k in ids)) for i, ids, _ in rows}
+        plan = bpe.decode(spark.createDataFrame(rows, "own long, ids array<int>, decoded string"))._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "Exchange hash" not in plan
+        assert bpe.decode(df.filter("own < 0")).collect() == []
+        with pytest.raises(Exception, match="token id is null"):
+            bpe.decode(spark.createDataFrame([([1, None],)], "ids array<int>")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_bpe_query(spark, texts, plain_encoding):
     hexed = lambda b: hashlib.sha256(b).hexdigest()
     rows = bpe.op9_bpe(spark, SF).collect()
