@@ -91,6 +91,24 @@ def banded(pairs: DataFrame, review_low: float = 0.55, auto_merge: float = 0.95)
     return pairs.filter(F.col("score") >= review_low).withColumn("band", F.when(F.col("score") >= auto_merge, "merge").otherwise("review"))
 
 
+def canonical_heads(rows: DataFrame, strategy: str | Callable[[], Column] = "latest") -> DataFrame:
+    """`(cluster, canonical_id, canonical_fp, canonical_normal)` of each cluster; combined before the shuffle, one row a cluster."""
+    rows = rows.withColumn("normal", T.normalize_text(F.col("text")))
+    grouped = rows.groupBy("cluster").agg(F.max_by(F.struct("id", "fp", "normal"), canonical_order(strategy)).alias("h"))
+    return grouped.select("cluster", *[F.col(f"h.{c}").alias(f"canonical_{c}") for c in ("id", "fp", "normal")])
+
+
+def cluster_members(rows: DataFrame, strategy: str | Callable[[], Column] = "latest") -> DataFrame:
+    """`(cluster, canonical_id, id, kind, variant)`: a row for each sighting of `canonical_records`, however many a cluster has.
+
+    kind is `canonical`, `exact` (of the canonical's own fingerprint) or `duplicate`; variant says
+    that the normal form is another than the canonical's. No row holds a cluster's members.
+    """
+    both = rows.withColumn("normal", T.normalize_text(F.col("text"))).join(canonical_heads(rows, strategy), "cluster")
+    kind = F.when(F.col("id") == F.col("canonical_id"), "canonical").when(F.col("fp") == F.col("canonical_fp"), "exact").otherwise("duplicate")
+    return both.select("cluster", "canonical_id", "id", kind.alias("kind"), (F.col("normal") != F.col("canonical_normal")).alias("variant"))
+
+
 def canonical_records(rows: DataFrame, strategy: str | Callable[[], Column] = "latest") -> DataFrame:
     """One record for each cluster of sightings `(cluster, doc_id, id, fp, text, period, source)`.
 
@@ -111,12 +129,17 @@ def canonical_records(rows: DataFrame, strategy: str | Callable[[], Column] = "l
     )
 
 
-def near_duplicate_ids(review: DataFrame, clusters: DataFrame, canonicals: DataFrame) -> DataFrame:
-    """`(id, near_duplicate_ids)`: review pairs lifted to canonical ids, both ways, none with itself."""
-    c = clusters.join(canonicals.select("cluster", F.col("id").alias("canonical")), "cluster").select(F.col("id").alias("member"), "canonical")
+def near_duplicate_pairs(review: DataFrame, clusters: DataFrame, heads: DataFrame) -> DataFrame:
+    """`(id, near_id)`: review pairs lifted to canonical ids, both ways, none with itself, each once."""
+    c = clusters.join(heads.select("cluster", F.col("canonical_id").alias("canonical")), "cluster").select(F.col("id").alias("member"), "canonical")
     lifted = review.join(c.select(F.col("member").alias("a_id"), F.col("canonical").alias("x")), "a_id").join(c.select(F.col("member").alias("b_id"), F.col("canonical").alias("y")), "b_id").filter("x <> y")
-    both = lifted.select("x", "y").unionByName(lifted.select(F.col("y").alias("x"), F.col("x").alias("y")))
-    return both.groupBy(F.col("x").alias("id")).agg(F.array_sort(F.collect_set("y")).alias("near_duplicate_ids"))
+    sides = F.explode(F.array(F.struct(F.col("x").alias("id"), F.col("y").alias("near_id")), F.struct(F.col("y").alias("id"), F.col("x").alias("near_id"))))
+    return lifted.select(sides.alias("p")).select("p.*").distinct()
+
+
+def near_duplicate_ids(review: DataFrame, clusters: DataFrame, heads: DataFrame) -> DataFrame:
+    """`(id, near_duplicate_ids)`: `near_duplicate_pairs` as one array for each id."""
+    return near_duplicate_pairs(review, clusters, heads).groupBy("id").agg(F.array_sort(F.collect_list("near_id")).alias("near_duplicate_ids"))
 
 
 def ranked(canonicals: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from tallyloom.operators import dedup as D, knn as K, layers as L
 from tallyloom.operators.materialize import materialize
 from tallyloom.plans.base import query, sql_normalize, v_bank, v_identity, v_list, v_sightings, v_vectors
 from tallyloom.plans.q_text import TOK
-from tallyloom.sources.tables import table
+from tallyloom.sources.tables import stamp, table
 
 REPS = "reps AS (SELECT tache, fp, min(doc_id) AS id, arg_min(text, doc_id) AS text, arg_min(source, doc_id) AS source FROM v_sightings GROUP BY tache, fp)"
 VEC = f"""{REPS}, toks AS (SELECT id, tache, {TOK} AS w FROM reps), grams AS (SELECT id, tache, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))])) AS term FROM toks),
@@ -29,12 +29,12 @@ def reps(spark, d):
     return first.select("tache", "fp", F.col("r.doc_id").alias("id"), F.col("r.text").alias("text"), F.col("r.source").alias("source"))
 
 
-_kept = {}  #: tables that several queries read, by application and folder
+_kept = {}  #: tables that several queries read, by application, folder and state of its files
 
 
 def kept(spark, d, name, make):
-    """The table that `make` gives, written once in an application."""
-    key = (spark.sparkContext.applicationId, d, name)
+    """The table that `make` gives, written once in an application for each state of the documents."""
+    key = (spark.sparkContext.applicationId, d, stamp(spark, d, "documents"), name)
     if key not in _kept:
         _kept[key] = materialize(make(), name)
     return _kept[key]
@@ -147,14 +147,28 @@ def canonical_records(spark, d):
     return c.select("cluster", "id", "text", "month", join("sources").alias("sources"), join("months").alias("months"), "occurrences", join("duplicate_ids").alias("duplicates"), join("exact_duplicate_ids").alias("exact_duplicates"), F.size("variants").alias("n_variants"))
 
 
+@query("ded_09_members", f"""WITH RECURSIVE {CANON} SELECT r.cluster, h.head AS canonical_id, r.id, CASE WHEN r.id = h.head THEN 'canonical' WHEN r.fp = h.head_fp THEN 'exact' ELSE 'duplicate' END AS kind, r.normal <> h.text AS variant
+    FROM heads h JOIN rows r ON r.cluster = h.cluster""", "v_sightings")
+def cluster_members(spark, d):
+    """Each sighting with the canonical record that stands for it."""
+    return D.cluster_members(clustered(spark, d))
+
+
 @query("ded_10", f"""WITH RECURSIVE {CANON}, l AS (SELECT x.head AS a, y.head AS b FROM pairs p JOIN clusters ca ON ca.id = p.a_id JOIN clusters cb ON cb.id = p.b_id JOIN heads x ON x.cluster = ca.cluster JOIN heads y ON y.cluster = cb.cluster WHERE p.score < 0.75 AND x.head <> y.head)
     SELECT a AS id, string_agg(DISTINCT b, ',' ORDER BY b) AS near FROM (SELECT a, b FROM l UNION SELECT b, a FROM l) GROUP BY a""", "v_sightings")
 def near_duplicates(spark, d):
     """Uncertain neighbours of canonical records."""
-    out = D.near_duplicate_ids(pairs(spark, d).filter("score < 0.75"), clusters(spark, d), canon(spark, d))
+    out = D.near_duplicate_ids(pairs(spark, d).filter("score < 0.75"), clusters(spark, d), D.canonical_heads(clustered(spark, d)))
     return out.select("id", F.array_join("near_duplicate_ids", ",").alias("near"))
 
 
+@query("ded_10_pairs", f"""WITH RECURSIVE {CANON}, l AS (SELECT x.head AS a, y.head AS b FROM pairs p JOIN clusters ca ON ca.id = p.a_id JOIN clusters cb ON cb.id = p.b_id JOIN heads x ON x.cluster = ca.cluster JOIN heads y ON y.cluster = cb.cluster WHERE p.score < 0.75 AND x.head <> y.head)
+    SELECT a AS id, b AS near_id FROM l UNION SELECT b, a FROM l""", "v_sightings")
+def near_duplicate_rows(spark, d):
+    """The same as rows, for records with any number of neighbours."""
+    return D.near_duplicate_pairs(pairs(spark, d).filter("score < 0.75"), clusters(spark, d), D.canonical_heads(clustered(spark, d)))
+
+
 @query("ded_11", f"WITH RECURSIVE {CANON} SELECT head AS id, n_sources, occurrences FROM heads ORDER BY n_sources DESC, occurrences DESC, head LIMIT 200", "v_sightings")
 def rank_canonicals(spark, d):
     """Canonical records seen in most sources."""

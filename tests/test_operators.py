@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import chunks as K, dedup as D, html as H, knn as N, labels as L, layers as Y
+from tallyloom.sources.tables import stamp
 
 
 def brute_linkage(nodes, edges, cap):
@@ -161,3 +162,28 @@ def test_chunks_of_a_hot_group(spark):
         k = seen[g] = seen.get(g, -1) + 1
         want[i] = (k // 20 + 1, k % 20 + 1)
     assert {r.id: (r.chunk, r.n) for r in got} == want
+
+
+def test_members_say_what_the_records_hold(spark):
+    """Rows for each member and each near pair are the arrays of the records, exploded; a cluster of one has no others."""
+    rows = [("c1", 1, "a", "f1", "One?", "2024-01", "s"), ("c1", 2, "b", "f1", "One?", "2024-02", "t"), ("c1", 3, "c", "f2", "one two", "2024-01", "s"), ("c2", 4, "d", "f3", "Other.", "", "s")]
+    df = spark.createDataFrame(rows, "cluster string, doc_id long, id string, fp string, text string, period string, source string")
+    members = {(r.canonical_id, r.id, r.kind) for r in D.cluster_members(df).collect()}
+    expected = set()
+    for r in D.canonical_records(df).collect():
+        expected |= {(r.id, r.id, "canonical")} | {(r.id, x, "exact" if x in r.exact_duplicate_ids else "duplicate") for x in r.duplicate_ids}
+    assert members == expected and len(members) == 4
+    assert {r.id for r in D.cluster_members(df).filter("variant").collect()} == {"c"}
+    assert D.cluster_members(df.filter("false")).collect() == []
+    review = spark.createDataFrame([("a", "d"), ("c", "d"), ("a", "c")], "a_id string, b_id string")
+    near = D.near_duplicate_pairs(review, df.select("cluster", "id"), D.canonical_heads(df)).collect()
+    assert sorted((r.id, r.near_id) for r in near) == [("b", "d"), ("d", "b")]
+
+
+def test_stamp_follows_the_files(spark, tmp_path):
+    """The stamp of a table changes with its files, and only with them."""
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    first = stamp(spark, str(tmp_path), "t")
+    assert stamp(spark, str(tmp_path), "t") == first
+    spark.range(4).write.mode("append").parquet(f"{tmp_path}/t.parquet")
+    assert stamp(spark, str(tmp_path), "t") != first
