@@ -263,6 +263,37 @@ def test_groups_against_brute_force(spark):
     assert all(i // 5 == j // 5 for i, j in got.items())
 
 
+def test_groups_in_one_template(spark):
+    """600 texts with one head of 700 characters in common, so that all meet in most bands; each has one partner, with an id far off."""
+    rng = np.random.default_rng(21)
+    alphabet = list("abcdefghijklmnop  ")
+    head = rng.choice(alphabet, 700)
+    texts = []
+    for _ in range(300):
+        own = rng.choice(alphabet, 300)
+        edited = own.copy()
+        edited[rng.choice(300, 60, replace=False)] = rng.choice(alphabet, 60)
+        texts += ["".join([*head, *own]), "".join([*head, *edited])]
+    ids = rng.permutation(len(texts)).tolist()
+    prints = E.edit_fingerprints(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).select("doc_id", "fingerprint")
+    got = {r.doc_id: r.near_id for r in prints.join(E.alike_groups(prints), "fingerprint").collect()}
+    parsed = {r.doc_id: E.parsed(r.fingerprint) for r in prints.collect()}
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if E.likeness(parsed[i], parsed[j]) >= E.ALIKE]
+    assert len(links) > 50 and sum(got[i] == got[j] for i, j in links) / len(links) > 0.9
+    reach = {i: {i} for i in got}
+    for i, j in links:
+        if reach[i] is not reach[j]:
+            reach[i] |= reach[j]
+            reach.update(dict.fromkeys(reach[j], reach[i]))
+    assert all(g in reach[i] for i, g in got.items())
+
+
+def test_packed_nibbles():
+    for digits in ("", "7", "0f", "abc", "00012"):
+        packed = bytes.fromhex("0" * (len(digits) % 2) + digits)
+        assert E._unpacked(packed, len(digits)).tolist() == [int(d, 16) for d in digits]
+
+
 def test_alike_groups_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "only without an id"), (None, None), (3, "ab"), (4, "ab"), (5, "abc")]
     prints = E.edit_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "fingerprint")
