@@ -361,8 +361,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     Linked are documents with den * intersection >= num * union of their sets of `words`-word
     shingles. component_id is the smallest id reachable, kept says that it is the row's own.
     Texts without words (null, empty, blank) link with nothing. A row with a null id links with
-    nothing and is kept; its component_id is null. Rows that repeat an id share its component.
-    Other columns are ignored, whatever their names.
+    nothing and is kept; its component_id is null. Rows that repeat an id share its component. An
+    empty table gives no rows. Long texts are read whole. Other columns are ignored, whatever their
+    names.
     """
     spark = docs.sparkSession
     bounded_batches(spark)

@@ -66,6 +66,19 @@ def test_repeated_rows_part(spark):
     laid_out(got)
 
 
+def test_columns_of_pack_pieces(spark):
+    """Columns that clash with its own go or are replaced, others stay; null ids stay null, an empty table stays empty."""
+    pieces = spark.range(40).selectExpr("if(id = 7, null, id) AS doc_id", "0 AS piece", "0L AS start", "100 + id * 10 AS length", "id AS ids_crc32")
+    more = pieces.selectExpr("*", "'x' AS _deal", "'y' AS _group", "'z' AS _bin", "'a' AS sequence_id", "'b' AS offset", "concat('own', ids_crc32) AS mine")
+    out = K.pack_pieces(more)
+    assert out.columns == [*pieces.columns, "mine", "sequence_id", "offset"]
+    got = out.toPandas()
+    laid_out(got)
+    assert sorted(got["ids_crc32"]) == list(range(40)) and got.loc[got["doc_id"].isna(), "ids_crc32"].tolist() == [7]
+    assert all(m == f"own{c}" for m, c in zip(got["mine"], got["ids_crc32"]))
+    assert K.pack_pieces(more.filter("piece = 1")).collect() == []
+
+
 def test_search_packs_real_groups(spark):
     """From a deal as rows come, the search reaches the least number of bins or one more, by all three steps."""
     lengths = [r.length for r in K.pieces_of(spark.read.parquet(f"{SF01}/documents.parquet")).collect()]
