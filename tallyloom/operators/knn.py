@@ -9,9 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallyloom.operators.materialize import materialize
-from tallyloom.operators.products import TILE_ROWS, dealt, matrix, packed_by, unpack
+from tallyloom.operators.products import PACK, TILE_CELLS, dealt, matrix, pack, packed_by, unpack
 
 CELL_ROWS = 4000
+BLOCK_ROWS = 16384  #: vectors that are multiplied out at once, and queries that meet them
 MOST_CELLS = 1024  #: pivots are held by the driver and every task
 SLACK = 1e-9  #: by which a bound is wider than it need be, for rounding
 
@@ -42,6 +43,34 @@ def _in_cells(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 FOUND = "q_id long, f_id long, score double"
 
 
+NONE = pa.table({"q_id": pa.array([], pa.int64()), "f_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+
+def _best(own: np.ndarray, x: np.ndarray, bar: np.ndarray, ids: np.ndarray, y: np.ndarray, k: int, home: np.ndarray | None = None, cells: np.ndarray | None = None) -> pa.Table:
+    """The k best of the vectors `ids`, `y` for each query `own`, `x` that reach its `bar`; never itself, and none of the cell `home` that it knows."""
+    if x.shape[1] != y.shape[1]:
+        raise ValueError("vectors of different length")
+    out, step = [NONE], max(1, TILE_CELLS // len(ids))
+    for at in range(0, len(x), step):
+        m, mine, least = x[at : at + step] @ y.T, own[at : at + step], bar[at : at + step].copy()
+        free = np.flatnonzero(np.isneginf(least))
+        # of what a query without a bar knows already there are k at most: its cell's others, and itself
+        if len(free) and len(ids) > 2 * k + 1:
+            least[free] = np.partition(m[free], -(2 * k + 1), axis=1)[:, -(2 * k + 1)]
+        # all that reach the bar, so that ties go to the smaller id
+        r, c = np.nonzero(m >= (least - SLACK)[:, None])
+        other = ids[c] != mine[r]
+        if home is not None:
+            other &= cells[c] != home[at : at + step][r]
+        r, c = r[other], c[other]
+        score = np.round(m[r, c], 12)  # of copies, whatever the order of the sums
+        order = np.lexsort((ids[c], -score, r))
+        r, c, score = r[order], c[order], score[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append(pa.table({"q_id": mine[r[first]], "f_id": ids[c[first]], "score": score[first]}))
+    return pa.concat_tables(out)
+
+
 def _asked(asking: DataFrame, packs: DataFrame, parts: DataFrame, k: int, block_rows: int) -> DataFrame:
     """The k best of each part of a cell for the queries that ask it: `asking` is `(f_id, embedding, cell)`."""
     sizes = asking.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("groups"))
@@ -57,26 +86,10 @@ def _meet(asking: DataFrame, packs: DataFrame, k: int) -> DataFrame:
     rows = packs.withColumn("group", blocks("groups"))
 
     def best(q: pa.Table, v: pa.Table) -> pa.Table:
-        out = [pa.table({"q_id": pa.array([], pa.int64()), "f_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})]
-        if len(q) and len(v):
-            (own, x), (ids, y) = unpack(q), unpack(v)
-            if x.shape[1] != y.shape[1]:
-                raise ValueError("vectors of different length")
-            order = np.argsort(ids)
-            ids, y = ids[order], y[order]
-            for at in range(0, len(x), TILE_ROWS):
-                m = x[at : at + TILE_ROWS] @ y.T
-                mine = own[at : at + TILE_ROWS]
-                m[mine[:, None] == ids] = -np.inf
-                # all that reach the k-th score, so that ties go to the smaller id
-                bar = np.partition(m, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(m), -np.inf)
-                r, c = np.nonzero((m >= bar[:, None]) & (m > -np.inf))
-                order = np.lexsort((ids[c], -m[r, c], r))
-                r, c = r[order], c[order]
-                place = np.arange(len(r)) - np.searchsorted(r, r)
-                r, c = r[place < k], c[place < k]
-                out.append(pa.table({"q_id": mine[r], "f_id": ids[c], "score": m[r, c]}))
-        return pa.concat_tables(out)
+        if not len(q) or not len(v):
+            return NONE
+        (own, x), (ids, y) = unpack(q), unpack(v)
+        return _best(own, x, np.full(len(own), -np.inf), ids, y, k)
 
     keys = ["cell", "group", "part"]
     return queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(best, FOUND)
@@ -88,7 +101,7 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def _search(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int, dim: int | None, cell_rows: int) -> tuple[DataFrame, DataFrame | None, dict]:
-    """The k best, the visits `(f_id, cell)` to further cells (None if there is one cell), and counts."""
+    """The k best, counts of `visits` by queries to further cells (None if there is one cell), and the cells."""
     queries, vectors = _checked(queries, dim), _checked(vectors, dim)
     n = vectors.count()
     cells = min(MOST_CELLS, max(1, math.ceil(n / cell_rows)))
@@ -112,24 +125,74 @@ def _search(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int, dim
     asking = materialize(_in_cells(queries, pivots).drop("away"), "asking")
     near = materialize(_ranked(_asked(asking, packs, parts, k, block_rows), k), "near")
     known = near.filter(F.col("rank") == k).select(F.col("q_id").alias("_q"), F.col("score").alias("bar"))
+    knowing = asking.join(known, F.col("f_id") == F.col("_q"), "left").drop("_q")
+
+    def go(m: np.ndarray, b: pa.RecordBatch) -> np.ndarray:
+        """Which further cells (columns) may hold a better vector for which query."""
+        most = m @ pivots.T + np.linalg.norm(m, axis=1)[:, None] * radius + SLACK
+        go = (most >= _bars(b)[:, None]) & filled
+        go[np.arange(len(m)), np.asarray(b["cell"])] = False
+        return go
+
+    # Small cells share a block, and large ones have several; a query is sent once to a block, however many of its cells it asks.
+    rows_of = np.zeros(cells, np.int64)
+    rows_of[about["cell"]] = about["n"]
+    first, pieces, at, room = np.zeros(cells, np.int64), np.maximum(1, -(-rows_of // block_rows)), -1, 0
+    for cell in np.flatnonzero(filled):
+        if pieces[cell] > 1 or rows_of[cell] > room:
+            at, room = at + 1, block_rows
+        first[cell] = at
+        room = 0 if pieces[cell] > 1 else room - rows_of[cell]
+        at += pieces[cell] - 1
+    blocks = at + 1
+    holds = np.zeros((cells, blocks), np.float32)
+    for cell in np.flatnonzero(filled):
+        holds[cell, first[cell] : first[cell] + pieces[cell]] = 1
+    groups = math.ceil(queries.count() / block_rows)
+
+    def sent(batches):
+        for b in batches:
+            if b.num_rows:
+                m, ids = matrix(b["embedding"]), np.asarray(b["f_id"])
+                to = (go(m, b).astype(np.float32) @ holds > 0).T
+                group = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(groups)
+                extra = np.asarray(b["cell"]).astype(np.int64), _bars(b)
+                for block in np.flatnonzero(to.any(axis=1)):
+                    for g in np.unique(group[to[block]]):
+                        here = to[block] & (group == g)
+                        row = pack(ids[here], m[here])
+                        for name, x in zip(("homes", "bars"), extra):
+                            row = row.append_column(name, pa.array([x[here].tobytes()], pa.binary()))
+                        row = row.append_column("block", pa.array([block], pa.int32())).append_column("group", pa.array([g], pa.int32()))
+                        yield row.combine_chunks().to_batches()[0]
+
+    asked = knowing.mapInArrow(sent, f"{PACK}, homes binary, bars binary, block int, group int")
+    place = F.element_at(F.lit([int(x) for x in first]), F.col("cell") + 1)
+    offered = packs.withColumn("block", (place + F.col("part")).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(max(1, groups) - 1))))
+
+    def best(q: pa.Table, v: pa.Table) -> pa.Table:
+        if not len(q) or not len(v):
+            return NONE
+        (own, x), (ids, y) = unpack(q), unpack(v)
+        home, bar = (np.concatenate([np.frombuffer(r, t) for r in q[c].to_pylist()]) for c, t in (("homes", np.int64), ("bars", np.float64)))
+        cell_of = np.concatenate([np.full(len(r["ids"]) // 8, r["cell"]) for r in v.select(["ids", "cell"]).to_pylist()])
+        return _best(own, x, bar, ids, y, k, home, cell_of)
+
+    further = asked.groupBy("block", "group").cogroup(offered.groupBy("block", "group")).applyInArrow(best, FOUND)
 
-    def further(batches):
+    def counted(batches):
         for b in batches:
-            m = matrix(b["embedding"])
-            most = m @ pivots.T + np.linalg.norm(m, axis=1)[:, None] * radius + SLACK
-            bar = np.asarray(b["bar"].fill_null(-np.inf))
-            go = (most >= bar[:, None]) & filled
-            go[np.arange(len(m)), np.asarray(b["cell"])] = False
-            r, c = np.nonzero(go)
-            yield pa.record_batch([b["f_id"].take(pa.array(r)), b["embedding"].take(pa.array(r)), pa.array(c, pa.int32())], ["f_id", "embedding", "cell"])
+            yield pa.record_batch([pa.array([int(go(matrix(b["embedding"]), b).sum()) if b.num_rows else 0])], ["visits"])
+
+    return _ranked(near.drop("rank").unionByName(further), k), knowing.mapInArrow(counted, "visits long"), {"cells": int(filled.sum())}
+
 
-    visits = asking.join(known, F.col("f_id") == F.col("_q"), "left").drop("_q").mapInArrow(further, "f_id long, embedding array<double>, cell int")
-    visits = materialize(visits, "visits")
-    found = near.drop("rank").unionByName(_asked(visits, packs, parts, k, block_rows))
-    return _ranked(found, k), visits, {"cells": int(filled.sum())}
+def _bars(b: pa.RecordBatch) -> np.ndarray:
+    """The k-th best score so far, if there are k."""
+    return np.asarray(b["bar"].fill_null(-np.inf), np.float64)
 
 
-def exact_knn(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = 4000, dim: int | None = None, searchable: Column | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+def exact_knn(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, dim: int | None = None, searchable: Column | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """`(q_id, f_id, score, rank)`: the k nearest of each query, itself left out; ties go to the smaller id.
 
     `queries` and `vectors` are `(f_id, embedding)`; of `vectors` only rows for which `searchable`
@@ -138,18 +201,20 @@ def exact_knn(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: in
     Vectors lie in cells around pivots, about one for `cell_rows` vectors. A query first meets its own
     cell, which gives it a k-th best so far. A product with a vector is at most that with the cell's
     pivot and the query's length times the cell's radius more, so cells that can't reach the k-th
-    best are skipped. Large cells and many queries of one cell are split into blocks of `block_rows`.
+    best are skipped. Large cells and many queries of one cell are split into blocks of `block_rows`; small
+    cells that are asked later lie in one block, to which a query is sent once. So if no cell can be
+    skipped, a vector is sent n / `block_rows` times, in four bytes a component if these hold it.
     Scores are rounded to four places last.
     """
     found, _, _ = _search(queries, vectors.filter(searchable) if searchable is not None else vectors, max(1, min(8, k)), block_rows, dim, cell_rows)
     return found.withColumn("score", F.round("score", 4))
 
 
-def visits_of(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = 4000, cell_rows: int = CELL_ROWS) -> DataFrame:
+def visits_of(queries: DataFrame, vectors: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS, cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row: queries, cells, visits of queries to cells, and the share of all that was skipped."""
     found, visits, about = _search(queries, vectors, max(1, min(8, k)), block_rows, None, cell_rows)
     n, cells = queries.count(), about["cells"]
-    made = n * min(1, cells) + (visits.count() if visits is not None else 0)
+    made = n * min(1, cells) + ((visits.agg(F.sum("visits")).first()[0] or 0) if visits is not None else 0)
     return queries.sparkSession.createDataFrame([(n, cells, made, 1 - made / (n * cells) if n and cells else 0.0)], "queries long, cells int, visits long, skipped double")
 
 

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyloom.operators.materialize import materialize
 
-BLOCK_ROWS = 4096
+BLOCK_ROWS = 16384
 TILE_ROWS = 512
+TILE_CELLS = 1 << 21  #: products that are held at once
 PACK = "ids binary, width int, data binary"
 
 
@@ -91,11 +92,12 @@ def block_products(vectors: DataFrame, use: Callable, schema: str, block_rows: i
             raise ValueError("vectors of different length")
 
         def tiles():
-            for at in range(0, len(a), TILE_ROWS):
-                m = p[at : at + TILE_ROWS] @ q.T
+            step = max(1, TILE_CELLS // len(b))
+            for at in range(0, len(a), step):
+                m = p[at : at + step] @ q.T
                 if i == j:  # each pair once, and none with itself
                     m[np.arange(at, at + len(m))[:, None] >= np.arange(len(b))] = np.nan
-                yield a[at : at + TILE_ROWS], b, m
+                yield a[at : at + step], b, m
 
         return use(tiles())
 
