@@ -206,12 +206,12 @@ def score_quantiles(vectors: DataFrame, at: tuple[float, ...] = (0.5, 0.9, 0.99,
     return vectors.sparkSession.createDataFrame([(total, *values)], f"pairs long, {fields}")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, bits: int = 6, recall: float = 0.95, seed: int = 7, block_rows: int = 2000) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, bits: int = 6, recall: float = 0.95, seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Most of the pairs of unit vectors with a cosine of `threshold` or more; what is given is exact.
 
     The signs of `bits` random projections are a bucket; there are as many tables of buckets as bring
     the chance of a pair at the threshold to `recall`. Buckets are multiplied out by themselves, large ones in
-    blocks; a pair is given by the first table in which its two share a bucket.
+    blocks, which move as packed bytes; a pair is given by the first table in which its two share a bucket.
     """
     if not -1 < threshold < 1:
         raise ValueError("threshold must lie between -1 and 1")
@@ -223,32 +223,65 @@ def similar_pairs(vectors: DataFrame, threshold: float, bits: int = 6, recall: f
     planes = np.random.default_rng(seed).standard_normal((dim[0], tables * bits))
     weights = 1 << np.arange(bits)
 
-    def codes(batches):
+    kind = np.uint8 if bits <= 8 else np.int32
+
+    def code_of(column) -> np.ndarray:
+        sign = (matrix(column) @ planes > 0).reshape(len(column), tables, bits)
+        return (sign * weights).sum(axis=2).astype(kind)
+
+    def coded(batches):
+        for b in batches:
+            if b.num_rows:
+                code = code_of(b["embedding"])
+                t, bucket = np.divmod(np.arange(tables << bits), 1 << bits)
+                n = np.concatenate([np.bincount(code[:, t], minlength=1 << bits) for t in range(tables)])
+                yield pa.record_batch([pa.array(x[n > 0]) for x in (t, bucket, n)], ["t", "bucket", "n"])
+
+    rows = vectors.select(F.col("f_id").cast("long").alias("f_id"), "embedding")
+    sizes = rows.mapInArrow(coded, "t long, bucket long, n long").groupBy("t", "bucket").agg(F.sum("n").alias("n")).toPandas()  # 2^bits rows for each table at most
+    blocks = np.ones((tables, 1 << bits), np.int64)
+    blocks[sizes["t"], sizes["bucket"]] = -(-sizes["n"] // block_rows)
+
+    def packs(batches):
         for b in batches:
-            sign = (matrix(b["embedding"]) @ planes > 0).reshape(b.num_rows, tables, bits)
-            code = (sign * weights).sum(axis=2).astype(np.int32)
-            yield pa.record_batch([b["f_id"], b["embedding"], pa.FixedSizeListArray.from_arrays(pa.array(code.ravel()), tables).cast(pa.list_(pa.int32()))], ["f_id", "embedding", "codes"])
-
-    coded = materialize(vectors.select(F.col("f_id").cast("long").alias("f_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(codes, "f_id long, embedding array<double>, codes array<int>"), "codes")
-    each = coded.select("*", F.posexplode("codes").alias("t", "bucket"))
-    sizes = each.groupBy("t", "bucket").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))  # 2^bits rows for each table at most
-    each = each.join(F.broadcast(sizes), ["t", "bucket"]).withColumn("home", F.pmod(F.xxhash64("f_id"), F.col("blocks")).cast("int"))
+            if b.num_rows:
+                m, ids, code = matrix(b["embedding"]), np.asarray(b["f_id"]), code_of(b["embedding"])
+                spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                for t in range(tables):
+                    many = blocks[t, code[:, t]]
+                    place = code[:, t].astype(np.int64) << 32 | (spread % many.astype(np.uint64)).astype(np.int64)
+                    order = np.argsort(place, kind="stable")
+                    for here in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+                        bucket, home = int(code[here[0], t]), int(place[here[0]] & 0xFFFFFFFF)
+                        row = pack(ids[here], m[here])
+                        for name, x in (("t", t), ("bucket", bucket), ("home", home), ("blocks", int(many[here[0]]))):
+                            row = row.append_column(name, pa.array([x], pa.int32()))
+                        yield row.append_column("codes", pa.array([code[here, :t].tobytes()], pa.binary())).combine_chunks().to_batches()[0]
+
+    each = rows.mapInArrow(packs, f"{PACK}, t int, bucket int, home int, blocks int, codes binary")
     each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("home", "other")).withColumn("j", F.greatest("home", "other"))
 
     def run(group: pa.Table) -> pa.Table:
         i, j, t = (group[c][0].as_py() for c in ("i", "j", "t"))
         home = np.asarray(group["home"])
-        p, q = (group.filter(pa.array(home == x)) for x in (i, j))
-        if not len(p) or not len(q):
+        sides = [group.filter(pa.array(home == x)) for x in (i, j)]
+        if not all(map(len, sides)):
             return NO_PAIRS
-        m = matrix(p["embedding"]) @ matrix(q["embedding"]).T
-        hit = m >= threshold
-        if i == j:
-            hit &= np.arange(len(p))[:, None] < np.arange(len(q))
-        x, y = np.nonzero(hit)
-        before = (matrix(p["codes"])[x, :t] == matrix(q["codes"])[y, :t]).any(axis=1)
-        x, y = x[~before], y[~before]
-        a, b = np.asarray(p["f_id"])[x], np.asarray(q["f_id"])[y]
-        return pa.table({"a_id": np.minimum(a, b), "b_id": np.maximum(a, b), "score": m[x, y]})
+        (a, p), (b, q) = map(unpack, sides)
+        seen_a, seen_b = (np.frombuffer(b"".join(x["codes"].to_pylist()), kind).reshape(-1, t) if t else np.zeros((n, 0), kind) for x, n in zip(sides, (len(a), len(b))))
+        out, step = [NO_PAIRS], max(1, TILE_CELLS // len(b))
+        for at in range(0, len(a), step):
+            m = p[at : at + step] @ q.T
+            hit = m >= threshold
+            if i == j:
+                hit &= np.arange(at, at + len(m))[:, None] < np.arange(len(b))
+            x, y = np.nonzero(hit)
+            fresh = np.ones(len(x), bool)
+            for u in range(t):
+                fresh &= seen_a[at + x, u] != seen_b[y, u]
+            x, y = x[fresh], y[fresh]
+            ids = a[at + x], b[y]
+            out.append(pa.table({"a_id": np.minimum(*ids), "b_id": np.maximum(*ids), "score": m[x, y]}))
+        return pa.concat_tables(out)
 
     return each.groupBy("t", "bucket", "i", "j").applyInArrow(run, PAIR)

@@ -88,3 +88,12 @@ def test_cells_far_away_are_skipped(spark):
     row = K.visits_of(df, df, 5, cell_rows=30).first()
     assert row.cells > 10 and row.skipped > 0.5
     assert K.exact_knn(df, df.filter("f_id < 0"), 5).collect() == []
+
+
+def test_what_meets_later_moves_packed(spark):
+    """Neither a visit to a cell nor a bucket's row carries a vector of its own."""
+    _, df = vectors(spark, 300, 16)
+    _, visits, about = K._search(df, df, 5, 50, None, 5)
+    assert about["cells"] > 30 and "embedding" not in visits.columns
+    plan = P.similar_pairs(df, 0.5, bits=4)._jdf.queryExecution().executedPlan().toString()
+    assert "data#" in plan and "posexplode" not in plan
