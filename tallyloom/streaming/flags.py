@@ -7,7 +7,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 FLAGS = ("bookmarked", "practiced")
@@ -18,12 +18,16 @@ def flag_state(events: DataFrame) -> DataFrame:
 
     `events` is `(event_id, ts, user_id, f_id, flag, is_on)`. The last event of a flag decides.
     """
+    return _folded(events).filter(F.col(FLAGS[0]) | F.col(FLAGS[1]))
+
+
+def _folded(events: DataFrame, *more: Column) -> DataFrame:
     at = F.struct("ts", "event_id")
     cols = []
     for f in FLAGS:
         mine = F.col("flag") == f
         cols += [F.coalesce(F.max_by("is_on", F.when(mine, at)), F.lit(False)).alias(f), F.max(F.when(mine & F.col("is_on"), F.col("ts"))).alias(f"{f}_at")]
-    return events.groupBy("user_id", "f_id").agg(*cols).filter(F.col(FLAGS[0]) | F.col(FLAGS[1]))
+    return events.groupBy("user_id", "f_id").agg(*cols, *more)
 
 
 OUT = "user_id long, f_id long, bookmarked boolean, bookmarked_us long, practiced boolean, practiced_us long, version long"
@@ -71,8 +75,19 @@ class FlagProcessor(StatefulProcessor):
 def stream_flag_state(events: DataFrame, expiry_ms: int | None = None) -> DataFrame:
     """The same as an updating stream; both-off rows are sent too, so that a sink can drop them.
 
-    Its state needs the store that is named PROVIDER. With an expiry, a query that runs to the end of
-    its input never ends, since time alone may change its state; run it with a processing-time trigger.
+    A streaming aggregation keeps the state of each pair, without a call for it. Only with an expiry
+    FlagProcessor keeps it. Its state needs the store that is named PROVIDER.
+    """
+    if expiry_ms:
+        return processed_flag_state(events, expiry_ms)
+    return _folded(events.withColumn("ts", F.col("ts").cast("timestamp")), F.max("event_id").alias("version")).select("user_id", "f_id", FLAGS[0], f"{FLAGS[0]}_at", FLAGS[1], f"{FLAGS[1]}_at", "version")
+
+
+def processed_flag_state(events: DataFrame, expiry_ms: int | None = None) -> DataFrame:
+    """`stream_flag_state` by FlagProcessor: a call of some milliseconds for each pair of a batch.
+
+    With an expiry, a query that runs to the end of its input never ends, since time alone may change
+    its state; run it with a processing-time trigger.
     """
     kind = "ProcessingTime" if expiry_ms else "None"
     us = F.unix_micros(F.col("ts").cast("timestamp"))

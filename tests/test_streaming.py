@@ -105,3 +105,13 @@ def test_flags_of_late_and_repeated_events(spark, home):
     newest = newest.select("user_id", "f_id", "r.*").filter("bookmarked OR practiced")
     want = S.flag_state(spark.createDataFrame(events, schema).selectExpr("event_id", "to_timestamp(at) AS ts", "user_id", "f_id", "flag", "is_on"))
     assert sorted(map(str, newest.collect())) == sorted(map(str, want.select(*newest.columns).collect()))
+
+
+def test_flags_by_processor(spark, home, monkeypatch):
+    monkeypatch.setattr(S, "stream_flag_state", S.processed_flag_state)
+    test_flags_of_late_and_repeated_events(spark, home)
+
+
+def test_flags_need_no_call_for_each_pair(spark):
+    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1, 1, S.FLAGS[0], True)], "event_id long, ts string, user_id long, f_id long, flag string, is_on boolean")
+    assert "TransformWithState" not in S.stream_flag_state(rows)._jdf.queryExecution().analyzed().toString()
