@@ -23,6 +23,7 @@ import base64
 import hashlib
 import os
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -39,7 +40,7 @@ from tallyloom.llm.common import bounded_batches, documents
 from tallyloom.operators.materialize import materialize
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 5 << 20
 BUCKET_BYTES = 32 << 20  #: of text, whose distinct words are a part of it
 _BREAK = b"\xff"  #: between packed words; no UTF-8 text has this byte
 ROW = "_block long, _bucket int, _codes binary, _words binary, _ids binary"
@@ -142,6 +143,7 @@ def _cut(rows_of, buckets: int):
                     ids, texts, size = [], [], 0
         if ids:
             yield rows_of(_Block(ids, texts), buckets)
+        pa.default_memory_pool().release_unused()  # the worker lives on and does other work
 
     return run
 
@@ -154,12 +156,13 @@ def _encode_bucket(table: pa.Table) -> pa.Table:
         for w in packed.split(_BREAK):
             v = known.get(w)
             if v is None:
-                v = known[w] = np.array(one(w), "<u4")
-            sizes.append(len(v))
+                v = known[w] = array("I", one(w)).tobytes()
+            sizes.append(len(v) // 4)
             ids.append(v)
         raw, _ = _varints(np.array(sizes, np.int64))
-        out.append(np.uint32(len(raw)).tobytes() + raw.tobytes() + _varints(np.concatenate(ids).astype(np.int64))[0].tobytes())
+        out.append(np.uint32(len(raw)).tobytes() + raw.tobytes() + _varints(np.frombuffer(b"".join(ids), "u4").astype(np.int64))[0].tobytes())
     n = len(out)
+    pa.default_memory_pool().release_unused()
     return pa.table([table.column("_block"), table.column("_bucket"), table.column("_codes"), pa.nulls(n, pa.binary()), pa.array(out, pa.binary())], _NAMES)
 
 
@@ -189,7 +192,10 @@ def _reassemble(table: pa.Table) -> pa.Table:
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         per = count[seq]
         ends = np.concatenate([[0], np.cumsum(per)])
-        flat = ids[np.repeat(begin[seq] - ends[:-1], per) + np.arange(ends[-1])].astype(np.int32)
+        place = np.repeat(begin[seq] - ends[:-1], per)
+        place += np.arange(ends[-1])
+        flat = ids[place].astype(np.int32)
+        del place
         doc = pa.array(doc_ids, pa.int64(), mask=null.astype(bool))
         out.append(pa.table([doc, pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(flat))], ["doc_id", "ids"]))
     return pa.concat_tables(out)
