@@ -52,3 +52,20 @@ def test_packed_terms_and_their_pairs(spark, monkeypatch, few):
         found = {(r.a_id, r.b_id): r.score for r in D.cosine_pairs(given, 0.4).collect()}
         assert found == pytest.approx(pairs)
     assert D.cosine_pairs(v.filter("id < 0"), 0.4).collect() == []
+
+
+def test_pairs_of_little_but_a_rare_term_are_not_scored_whole(spark, monkeypatch):
+    """Documents that share a rare term come together by it; whole vectors move for the near ones only."""
+    terms = {i: {min(i, j) * 100 + max(i, j) for k in range(1, 11) for j in ((i + k) % 40, (i - k) % 40)} for i in range(40)}
+    terms |= {100 + i: set(terms[i]) for i in range(3)}
+    df = Counter(t for x in terms.values() for t in x)
+    rows = [(i, 2, t, df[t], len(x) ** -0.5) for i, x in terms.items() for t in x]
+    want = {(a, b): s for a, x in terms.items() for b, y in terms.items() if a < b and (s := len(x & y) / math.sqrt(len(x) * len(y))) >= 0.55}
+    seen = {}
+    scored, bounded = P._scored, P._likely
+    monkeypatch.setattr(P, "_likely", lambda met, *a: (seen.update(met=met.count()), bounded(met, *a))[1])
+    monkeypatch.setattr(P, "_scored", lambda met, *a: (seen.update(scored=met.count()), scored(met, *a))[1])
+    vectors = spark.createDataFrame(rows, "id long, tache int, term long, df long, w double")
+    found = {(r.a_id, r.b_id): r.score for r in D.cosine_pairs(vectors, 0.55).collect()}
+    assert len(want) == 3 and found == pytest.approx(want)
+    assert seen["met"] > 50 and seen["scored"] == 3
