@@ -69,3 +69,22 @@ def test_pairs_of_little_but_a_rare_term_are_not_scored_whole(spark, monkeypatch
     found = {(r.a_id, r.b_id): r.score for r in D.cosine_pairs(vectors, 0.55).collect()}
     assert len(want) == 3 and found == pytest.approx(want)
     assert seen["met"] > 50 and seen["scored"] == 3
+
+
+@pytest.mark.parametrize("name", ["lay_06", "lay_07"])
+def test_fingerprints_of_the_layers_are_computed_once(spark, name):
+    """What these queries read several times is a written table, without the text functions behind it."""
+    from tallyloom.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in plan or "Scan parquet" in plan
+    assert "sha2(" not in plan
+
+
+def test_ids_are_assigned_from_written_fingerprints(spark, monkeypatch):
+    from tallyloom.plans import q_dedup
+
+    seen, assign = [], q_dedup.L.assign_ids
+    monkeypatch.setattr(q_dedup.L, "assign_ids", lambda rows, known: (seen.append(rows._jdf.queryExecution().executedPlan().toString()), assign(rows, known))[1])
+    assert q_dedup.stable_ids(spark, "/root/testdata/sf0.001").count() > 0
+    assert len(seen) == 2 and not any("sha2(" in plan for plan in seen)
