@@ -271,14 +271,14 @@ def packed(sizes: list[int], capacity: int = CAPACITY) -> tuple[list[int], dict[
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """`pieces` with sequence_id and offset: which sequence each lies in and where, gapless from 0.
 
-    `pieces` are those of pieces_of(); they are written once, with a random number by which they are
+    `pieces` are those of pieces_of(); they are written once (by zstd, since token ids are most of them), with a random number by which they are
     dealt into groups, so repeated rows part and a repeated task reads the same numbers. Each group
     is packed by itself. Null ids stay null; an empty table gives no rows. Other columns stay, but
     sequence_id and offset are replaced, and columns named `_deal`, `_group` or `_bin` go.
     """
     pieces = pieces.drop("sequence_id", "offset", "_deal", "_group", "_bin")
     names = pieces.columns
-    dealt = materialize(pieces.withColumn("_deal", F.xxhash64(F.lit(5), "doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())), "pieces")
+    dealt = materialize(pieces.withColumn("_deal", F.xxhash64(F.lit(5), "doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())), "pieces", compression="zstd")
     groups = max(1, -(-dealt.count() // group_pieces))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields)
 

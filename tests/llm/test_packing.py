@@ -125,3 +125,13 @@ def test_search_on_small_bins():
 
 def test_pieces_that_never_share_a_bin():
     assert sorted(K.pack([60] * 500, 100)) == list(range(500)) and sorted(K.pack([100] * 5, 100)) == list(range(5)) and K.pack([], 100) == []
+
+
+def test_pieces_are_written_small(spark):
+    """Token ids are most of what the pipeline writes here, and plain numbers of four bytes under the session's compression."""
+    from tallyloom.llm import packing
+
+    docs = spark.createDataFrame([(1, "some words"), (2, "other words")], "doc_id long, text string")
+    out = packing.pack_pieces(packing.pieces_of(docs, with_ids=True))
+    assert out.count() == 2
+    assert out.inputFiles() and all(".zstd." in f for f in out.inputFiles())
