@@ -88,3 +88,27 @@ def test_ids_are_assigned_from_written_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(q_dedup.L, "assign_ids", lambda rows, known: (seen.append(rows._jdf.queryExecution().executedPlan().toString()), assign(rows, known))[1])
     assert q_dedup.stable_ids(spark, "/root/testdata/sf0.001").count() > 0
     assert len(seen) == 2 and not any("sha2(" in plan for plan in seen)
+
+
+@pytest.mark.parametrize("most", [1000, 2])
+def test_pairs_meet_both_documents_without_a_shuffle_of_these(spark, monkeypatch, most):
+    """A document with a pair to each other one is read where it lies; broadcast blocks of two documents give the same."""
+    import pyarrow as pa
+
+    from tallyloom.operators.materialize import materialize
+
+    rows = materialize(spark.range(12).selectExpr("id", "array(id, id + 100) AS terms"))
+    pairs = materialize(spark.createDataFrame([(0, k) for k in range(1, 12)] + [(k, 11) for k in range(1, 6)], "a_id long, b_id long"))
+
+    def told(batches):
+        for t in batches:
+            yield pa.record_batch([t["a_id"], t["b_id"], pa.array([x[1] * 1000 + y[0] for x, y in zip(t["a_terms"].to_pylist(), t["b_terms"].to_pylist())], pa.int64())], ["a_id", "b_id", "both"])
+
+    plans = []
+    write = type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, *a, **k: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, *a, **k))[1])
+    out = P._side_by_side(pairs, rows, P.F.size("terms") * 8, most, told, "a_id long, b_id long, both long", "told").collect()
+    want = {(0, k) for k in range(1, 12)} | {(k, 11) for k in range(1, 6)}
+    assert sorted((r.a_id, r.b_id, r.both) for r in out) == sorted((a, b, (a + 100) * 1000 + b) for a, b in want)
+    assert len(plans) == (3 if most == 2 else 1)
+    assert not any(line.strip(" :+-*()0123456789").startswith(("SortMergeJoin", "ShuffledHashJoin")) for p in plans for line in p.splitlines())
