@@ -130,7 +130,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def told_apart(found: DataFrame) -> DataFrame:
     """occurrences() once each, and of possible identifiers only those outside base entities and, as `seed`, the first token of one."""
-    once = found.groupBy("doc_id", "th", "start", "end", "rank", "kind").agg(*[F.any_value(c).alias(c) for c in ("value", "l1", "l2", "r1", "r2")])
+    # One shuffle serves the groups and the windows, which see a text's rows together anyway.
+    once = found.repartition("doc_id", "th").groupBy("doc_id", "th", "start", "end", "rank", "kind").agg(*[F.any_value(c).alias(c) for c in ("value", "l1", "l2", "r1", "r2")])
     here = Window.partitionBy("doc_id", "th").rowsBetween(Window.unboundedPreceding, 0)
     # Of equal starts base entities come first in both orders.
     back = F.max(F.when(F.col("kind").isNotNull(), F.col("end"))).over(here.orderBy("start", F.col("rank").asc_nulls_last(), "end"))
@@ -243,10 +244,11 @@ def find_pii(docs: DataFrame, plain_words: bool = False, id_col: str = "doc_id",
         spans = spans.unionByName(words).withColumn("back", back).filter("kind <> 'id' or back is null or back <= start").drop("back")
     by_doc = spans.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", "value"))).alias("_spans"))
     docs = docs.drop("pii")
-    rows = docs.select(F.struct("*").alias("_row"))  # so that no column of theirs can clash
-    own = F.col("_row")[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("_row")[text_col], F.lit(""))) == F.col("_th"))
+    # Numbered names, so that no column can clash; those that nobody reads, the text among them, don't move.
+    rows = docs.select(F.col(id_col).alias("_own_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_own_th"), *[F.col(c).alias(f"_own_{k}") for k, c in enumerate(docs.columns)])
+    own = F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_th") == F.col("_th"))
     of = lambda extra: F.coalesce(F.filter("_spans", lambda s: (s["kind"] == "id") == F.lit(extra)), F.array().cast(SPANS))
-    return rows.join(by_doc, own, "left").select(*[F.col("_row")[c].alias(c) for c in docs.columns], F.struct(of(False).alias("base"), of(True).alias("extra")).alias("pii"))
+    return rows.join(by_doc, own, "left").select(*[F.col(f"_own_{k}").alias(c) for k, c in enumerate(docs.columns)], F.struct(of(False).alias("base"), of(True).alias("extra")).alias("pii"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -379,6 +379,25 @@ def test_repeated_words(spark):
     assert {r.i: r.n for r in df.collect()} == {i: plain(t) for i, t in enumerate(rows)}
 
 
+def test_pii_does_not_move_texts_to_their_spans(spark):
+    """Only the columns that are read meet the spans; names like its own don't clash."""
+    df = spark.createDataFrame([(1, "mail a@b.co", 5, 6)], "doc_id long, text string, _own_id int, _th int")
+
+    def nodes(p):
+        yield p
+        for k in range(p.children().size()):
+            yield from nodes(p.children().apply(k))
+
+    plan = pii.find_pii(df).select("doc_id", "_own_id", "pii")._jdf.queryExecution().optimizedPlan()
+    join = next(n for n in nodes(plan) if n.nodeName() == "Join")
+    moved = join.children().apply(0).output()
+    types = [moved.apply(k).dataType().simpleString() for k in range(moved.size())]
+    assert sorted(types) == ["bigint", "bigint", "bigint", "int"] or sorted(types) == ["bigint", "bigint", "int"]
+    row = pii.find_pii(df).first()
+    assert (row["_own_id"], row["_th"], [s.kind for s in row.pii.base]) == (5, 6, ["email"])
+
+
+
 def test_registered_queries_have_their_columns(spark):
     assert table(spark).count() == len(ROWS)
     names = {q.split("_")[0] for q in registry.QUERIES}
