@@ -6,6 +6,7 @@ import pytest
 
 from tallyloom.operators import linkage as L
 from tallyloom.plans import q_dedup as Q
+from tallyloom.plans.registry import QUERIES
 from tests_data import SF
 
 EDGE = "a_id long, b_id long, score double"
@@ -80,3 +81,20 @@ def test_queries_equal_the_walk(spark, query, cap, whole):
     got = {r.id: r.cluster for r in query(spark, SF).collect()}
     want, _ = walk(max(got) + 1, edges, cap, whole)
     assert edges and got == {i: want[i] for i in got}
+
+
+@pytest.mark.parametrize("name", ["ded_09_members", "ded_10", "ded_10_pairs", "ded_11", "ded_12"])
+def test_texts_do_not_move_with_clusters(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "text#" not in plan
+
+
+def test_first_sightings_of_repeated_ids(spark, tmp_path):
+    def found(rows):
+        home = str(tmp_path / f"{len(rows)}")
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{home}/documents.parquet")
+        return sorted((r.id, r.text, r.source) for r in Q.reps(spark, home).collect())
+
+    once = [(1, "one text", "en", "a"), (2, "one text", "en", "b"), (3, "another", "en", "a")]
+    assert found(once) == [(1, "one text", "a"), (3, "another", "a")]
+    assert found([*once, (3, "another", "en", "a"), (3, "third", "en", "c")]) == [(1, "one text", "a"), (3, "another", "a"), (3, "third", "c")]
