@@ -115,3 +115,16 @@ def test_flags_by_processor(spark, home, monkeypatch):
 def test_flags_need_no_call_for_each_pair(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1, 1, S.FLAGS[0], True)], "event_id long, ts string, user_id long, f_id long, flag string, is_on boolean")
     assert "TransformWithState" not in S.stream_flag_state(rows)._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_drop_writes_no_more_than_itself(spark, home):
+    store = I.SightingStore(spark, home, buckets=4)
+    for n in range(4):  # every drop touches every bucket; one key in ten is in all of them
+        rows = [(f"{n}-{i:03d}", 2, f"2024-{n + 1:02d}", f"text {n} {i}", f"fp{i if i % 10 == 0 else n * 1000 + i}") for i in range(100)]
+        assert len(store.take(spark.createDataFrame(rows, SCHEMA), n)) == 4
+    written = spark.read.parquet(f"{home}/identities")
+    assert written.count() == 400  # 190 + 280 + 370 would have been written over
+    got = {r.fp: r for r in store.identities().collect()}
+    assert len(got) == 370 and got["fp0"].total_sightings == 4 and got["fp0"].text == "text 3 0" and got["fp1"].total_sightings == 1
+    store.take(spark.createDataFrame(rows, SCHEMA), 7)  # the same sightings again, under another number
+    assert {r.fp: r for r in store.identities().collect()} == got
