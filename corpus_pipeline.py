@@ -50,7 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in brackets; null texts stay null."""
-    found = pii.find_pii(docs)
+    found = pii.find_pii(docs, plain_words=True)
     spans = F.array_sort(F.concat(F.col("pii.base"), F.col("pii.extra")))
     return _same_columns(found, pii.redacted(F.col("text"), spans), docs)
 

@@ -97,8 +97,8 @@ def _patterns(l1: Column, l2: Column, r1: Column, r2: Column) -> Column:
     return F.array(F.concat_ws(" ", l1, at), F.concat_ws(" ", l2, l1, at), F.concat_ws(" ", at, r1), F.concat_ws(" ", at, r1, r2), F.concat_ws(" ", l1, at, r1))
 
 
-def _tokens(text: Column, plain: bool, fields) -> Column:
-    """`fields(tokens, i)` as a struct for each token that is a plain word, or that isn't.
+def _tokens(text: Column, plain: bool, fields, said: list[tuple[int, str]] | None = None) -> Column:
+    """`fields(tokens, i)` as a struct for each token that is a plain word, or that isn't; of these, only those that have one of the words `said` so many places off, if given as `(offset, word)`.
 
     Places are added up for these tokens only: sums of all before the piece of PIECE tokens that one
     is in, and of those before it in the piece.
@@ -113,7 +113,14 @@ def _tokens(text: Column, plain: bool, fields) -> Column:
         return F.struct(start.alias("start"), (start + F.length(F.get(xs, i)["hit"])).alias("end"), F.get(xs, i)["hit"].alias("value"), *fields(xs, i))
 
     def some(xs: Column) -> Column:
-        at = F.filter(F.transform(xs, lambda _, i: i), lambda i: F.get(xs, i)["hit"].rlike(PLAIN_WORD) == F.lit(plain))
+        fits = lambda i: F.get(xs, i)["hit"].rlike(PLAIN_WORD) == F.lit(plain)
+        if said is None:
+            at = F.filter(F.transform(xs, lambda _, i: i), fits)
+        else:
+            lows = F.transform(xs, lambda x: F.lower(x["hit"]))
+            places = lambda lows, off: F.transform(lows, lambda w, i: F.when(w.isin([v for o, v in said if o == off]), i - off))
+            beside = let(lows, lambda lows: F.array_distinct(F.concat(*[F.filter(places(lows, off), lambda i: i.between(0, F.size(xs) - 1)) for off in sorted({o for o, _ in said})])))
+            at = F.filter(beside, fits)
         return let(at, lambda at: let(F.when(F.size(at) > 0, pieces(xs)), lambda before: F.transform(at, lambda i: one(xs, before, i))))
 
     return let(F.filter(both, lambda x: x["hit"].isNotNull()), some)
@@ -178,10 +185,13 @@ def discovered(found: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _words(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """`(doc_id, th, start, end, value, pattern)` of the plain words of `(doc_id, th, text)` that stand in one of the patterns."""
     fields = lambda xs, i: [_patterns(*_around(xs, i)).alias("patterns")]
-    said = patterns.select(F.element_at(F.filter(F.split("pattern", " "), lambda w: w.rlike(LEXICAL)), 1).alias("w")).distinct()
-    if said.count() <= FEW_WORDS:  # texts that say none of the patterns' words are passed over
-        docs = docs.filter(F.exists(F.array(*[F.lit(r.w) for r in said.collect()]), lambda w: F.contains(F.lower("text"), w)))
-    words = _tokens(F.col("text"), True, fields)
+    parts = F.split("pattern", " ")
+    lexical = F.filter(F.transform(parts, lambda w, k: F.struct(F.length(w).alias("n"), w.alias("w"), (k + 1 - F.array_position(parts, "_")).cast("int").alias("off"))), lambda x: x["w"].rlike(LEXICAL))
+    said = patterns.select(F.array_max(lexical).alias("x")).select("x.off", "x.w").distinct()  # the longest word of each
+    beside = [(r.off, r.w) for r in said.collect()] if said.count() <= LISTED else None  # others can't stand in a pattern
+    if beside is not None and len(beside) <= FEW_WORDS:  # texts that say none of the patterns' words are passed over
+        docs = docs.filter(let(F.lower("text"), lambda low: F.exists(F.array(*[F.lit(w) for _, w in beside]), lambda w: F.contains(low, w))))
+    words = _tokens(F.col("text"), True, fields, beside)
     if patterns.count() > LISTED:
         rows = docs.select("doc_id", "th", F.explode(words).alias("t")).select("doc_id", "th", "t.start", "t.end", "t.value", F.explode("t.patterns").alias("pattern"))
         return rows.join(patterns.select("pattern"), "pattern", "left_semi")
@@ -209,9 +219,14 @@ def discovered_words(docs: DataFrame, good: DataFrame) -> DataFrame | None:
     edges = hits.join(small_or_shuffled(trusted), "pattern").groupBy("value", "pattern", "trust").agg(F.count("*").alias("n"))
     scored = edges.groupBy("value").agg(F.round(1 - F.exp(F.sum(F.log(1 - F.col("trust")))), 9).alias("found"), F.max("n").alias("inside"))
     scored = materialize(scored.filter((F.col("found") >= WORDLIKE_SCORE) & (F.length("value") >= MIN_CHARS)), "scored_words")
-    everywhere = docs.select(F.explode(_tokens(F.col("text"), True, lambda xs, i: [])).alias("t")).select("t.value")
+    every = F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))
     if scored.count() <= LISTED:
-        everywhere = everywhere.filter(F.col("value").isin([r.value for r in scored.select("value").collect()]))
+        sought = [r.value for r in scored.select("value").collect()]
+        if not sought:
+            return None
+        everywhere = docs.select(F.explode(F.filter(every, lambda v: v.isin(sought))).alias("value"))
+    else:
+        everywhere = docs.select(F.explode(every).alias("value")).join(scored.select("value"), "value", "left_semi")
     times = everywhere.groupBy("value").agg(F.count("*").alias("times"))
     accepted = materialize(scored.join(times, "value").filter(F.col("inside") >= INSIDE * F.col("times")).select("value"), "accepted_words")
     places = hits.join(trusted.select("pattern"), "pattern", "left_semi").join(accepted, "value", "left_semi")
@@ -223,7 +238,7 @@ def find_pii(docs: DataFrame, plain_words: bool = False, id_col: str = "doc_id",
 
     Positions count code points, ends are exclusive. base holds the fixed kinds, leftmost and
     non-overlapping per kind; extra holds the discovered identifiers, which never overlap base ones.
-    Plain words are looked at only with `plain_words`, which costs several times the rest.
+    Plain words are looked at only with `plain_words`, which reads the texts again, and looks only where the words of patterns stand.
     A null text counts as empty and has no spans. Rows are matched by id and text, nulls included;
     repeated rows are treated alike; an empty table gives an empty one. Other columns stay; a column
     pii is replaced.
@@ -270,7 +285,7 @@ def _listed(spans: Column) -> Column:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of operator 4."""
-    out = find_pii(documents(spark, sf_dir).select("doc_id", "text"))
+    out = find_pii(documents(spark, sf_dir).select("doc_id", "text"), plain_words=True)
     base = F.col("pii.base")
     count = lambda k: F.size(F.filter(base, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     everything = F.array_sort(F.concat(base, F.col("pii.extra")))

@@ -402,3 +402,16 @@ def test_registered_queries_have_their_columns(spark):
     assert table(spark).count() == len(ROWS)
     names = {q.split("_")[0] for q in registry.QUERIES}
     assert names == {f"op{n}" for n in range(1, 11)}
+
+
+def test_op4_finds_plain_words(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    word = lambda n: "".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), n))
+    names = [word(8) for _ in range(12)]
+    docs = [(i, f"Some {word(4)} text. The login handle u{i}@mail.example.org was {word(5)} seen.") for i in range(200)]
+    docs += [(200 + i, f"Other {word(4)} text. The login handle {n} was {word(5)} seen.") for i, n in enumerate(names)]
+    home = str(tmp_path / "in")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{home}/documents.parquet")
+    found = {r.doc_id: r.spans for r in pii.op4_pii(spark, home).filter("n_id > 0").collect()}
+    right = {i: f"id:{t.index(n)}:{t.index(n) + 8}" for (i, t), n in zip(docs[200:], names)}
+    assert found == right
