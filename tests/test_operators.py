@@ -187,3 +187,14 @@ def test_stamp_follows_the_files(spark, tmp_path):
     assert stamp(spark, str(tmp_path), "t") == first
     spark.range(4).write.mode("append").parquet(f"{tmp_path}/t.parquet")
     assert stamp(spark, str(tmp_path), "t") != first
+
+
+def test_bold_runs_without_text_count_as_in_sql(spark, tmp_path):
+    """Blank and null texts are blocks too; a page without any text has no length, one whose source is null no id."""
+    from oracle import connect, same
+    from tallyloom.plans.registry import ORACLE, QUERIES
+
+    texts = ["a  b", "", "  \t", None, "<b>&amp;</b>", None, "x"]
+    rows = [(i, t, "en", s, 0) for i, (t, s) in enumerate(zip(texts, ["s", "s", "t", "u", "u", "v", None]))] + [(600, "y z", "fr", None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    same(QUERIES["htm_03"](spark, str(tmp_path)), connect(tmp_path), ORACLE["htm_03"])
