@@ -112,3 +112,21 @@ def test_pairs_meet_both_documents_without_a_shuffle_of_these(spark, monkeypatch
     assert sorted((r.a_id, r.b_id, r.both) for r in out) == sorted((a, b, (a + 100) * 1000 + b) for a, b in want)
     assert len(plans) == (3 if most == 2 else 1)
     assert not any(line.strip(" :+-*()0123456789").startswith(("SortMergeJoin", "ShuffledHashJoin")) for p in plans for line in p.splitlines())
+
+
+def test_second_documents_are_laid_out_once_for_a_run(monkeypatch):
+    """With eight slots terms collide: products stay exact, bounds are never too low, and a run's document is laid out once."""
+    import numpy as np
+
+    monkeypatch.setattr(P, "SLOTS", 8)
+    dice = np.random.default_rng(8)
+    docs = [(np.sort(dice.choice(60, n, replace=False)), dice.random(n)) for n in (0, 1, 5, 20, 40, 7)]
+    pairs = [(a, b) for b in range(6) for a in range(6)]
+    flat = lambda side, k: np.concatenate([docs[p[side]][k] for p in pairs])
+    ends = lambda side: np.append(0, np.cumsum([len(docs[p[side]][0]) for p in pairs]))
+    run = P._runs(np.array([b for _, b in pairs]))
+    assert run == [(6 * k, 6 * k + 6) for k in range(6)]
+    want = [sum(dict(zip(*docs[a])).get(t, 0) * w for t, w in zip(*docs[b])) for a, b in pairs]
+    given = (run, flat(0, 0), flat(1, 0), flat(0, 1), flat(1, 1), ends(0), ends(1))
+    assert P._products(*given).tolist() == pytest.approx(want)
+    assert (P._bounds(*given) >= np.array(want) - 1e-5).all()

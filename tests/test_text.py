@@ -115,3 +115,29 @@ def test_diffs_and_nodes_leave_in_small_batches(spark, monkeypatch):
     got = T.word_diff(pairs, "a", "b")
     assert got.count() == 30
     assert {(r.id, "".join(x.tok for x in r.diff if x.op in "=-") == r.a, "".join(x.tok for x in r.diff if x.op in "=+") == r.b) for r in got.collect()} == {(i, True, True) for i in range(30)}
+
+
+def test_word_hashes_tell_the_words_of_word_tokens_apart(spark):
+    """Equal hashes for equal words only, the same words in the same order, whatever the script, marks, blanks or lead of a text."""
+    import random
+
+    import numpy as np
+
+    dice = random.Random(3)
+    parts = ["a", "B", "é", "é", "K", "İ", "ß", "ﬁ", "9", "٣", " ", " ", " ", "\x1c", "\x85", "'", "’", "ʼ", "…", "–", "Question 3 :", "sujet -", "sujet ", "queſtion:", "中", "𝒜", "\U0001d165", "Ǻ", "Ａ", "\n", ".", "x", "\0", "ã", "ạ̈", "Ö"]
+    texts = ["", None, " SUJET 12 – go", "Question …x", "sujet 1 2: a", "question:question:a", "x" * 70 + " b"] + ["".join(dice.choices(parts, k=dice.randint(1, 30))) for _ in range(800)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, text string").repartition(1)
+    rows = {r.k: r for r in df.select("k", T.word_tokens(F.col("text")).alias("w")).withColumn("g", T.ngrams(F.col("w"), 3)).collect()}
+    for upto, col in ((1, "w"), (3, "g")):
+        h, doc = T.ngram_hashes(*T.word_hashes(texts), upto)
+        of = {}
+        for k in rows:
+            mine, said = h[doc == k].tolist(), rows[k][col] or []
+            assert len(mine) == len(said), texts[k]
+            if upto == 1:
+                for x, w in zip(mine, said):
+                    assert of.setdefault(w, x) == x, (texts[k], w)
+            else:
+                assert len(set(mine)) == len(set(said))
+        assert len(set(of.values())) == len(of)
+    assert [len(x) for x in T.word_hashes([])] == [0, 0] and (np.bincount(T.word_hashes(["a b"] * 9)[1]) == 2).all()
