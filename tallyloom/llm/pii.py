@@ -43,6 +43,7 @@ PLAIN_WORD = r"^\p{L}\p{Ll}*$"
 PIECE = 32
 LEXICAL, FEW_WORDS = r"[^_#^$]", 200  #: what a part of a pattern holds if it is a word; words that are sought in a text at once
 LISTED = 10_000  #: patterns or values that are looked up in a list; more are joined
+PART_BYTES, PART_STEP = 8 << 20, 8  #: texts by which the first patterns that many words fill are found, and growth from part to part
 ROUNDS = 3
 MIN_SEEDS = 5  #: distinct known identifiers of a pattern, by their scores
 UNKNOWN = 0.1  #: how much a value of which nothing is known counts against its pattern
@@ -203,16 +204,25 @@ def _words(docs: DataFrame, patterns: DataFrame) -> DataFrame:
 def discovered_words(docs: DataFrame, good: DataFrame) -> DataFrame | None:
     """`(doc_id, th, start, end, value)` of plain words that patterns `(pattern, mass, against)` accept; None if there can't be any.
 
-    Only patterns with a word in them count. Here the different words of a pattern count against it too. They are estimated first, so that
-    patterns which all sorts of words fill are out before their words are looked at.
+    Only patterns with a word in them count. Here the different words of a pattern count against it too. A pattern that has too many
+    of them in a part of the texts has too many in all, so patterns which all sorts of words fill are out before their words are looked at
+    everywhere: the first part is of about PART_BYTES, each next one PART_STEP times the last.
     """
     good = materialize(good.filter(F.exists(F.split("pattern", " "), lambda w: w.rlike(LEXICAL))), "lexical")
     if good.isEmpty():
         return None
-    about = _words(docs, good).groupBy("pattern").agg(F.approx_count_distinct("value").alias("about"))
-    good = materialize(good.join(about, "pattern").filter(F.col("about") * UNKNOWN <= 1.5 * F.col("mass") * (1 / PATTERN_SCORE - 1) + 1), "word_patterns")
-    if good.isEmpty():
-        return None
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = 1
+    while size > share * PART_BYTES:
+        share *= PART_STEP
+    while share > 1:
+        part = docs.filter(F.pmod(F.xxhash64("doc_id", "th"), F.lit(share)) == 0)
+        seen = _words(part, good).groupBy("pattern").agg(F.countDistinct("value").alias("words"))
+        worst = _trust(F.col("against") + F.coalesce("words", F.lit(0)) * UNKNOWN)
+        good = materialize(good.join(seen, "pattern", "left").filter(worst >= PATTERN_SCORE).select(*good.columns), "word_patterns")
+        if good.isEmpty():
+            return None
+        share //= PART_STEP
     hits = materialize(_words(docs, good).distinct(), "words")
     kinds = hits.groupBy("pattern").agg(F.countDistinct("value").alias("words"))
     trusted = materialize(good.join(kinds, "pattern").select("pattern", _trust(F.col("against") + F.col("words") * UNKNOWN).alias("trust")).filter(F.col("trust") >= PATTERN_SCORE), "trusted")

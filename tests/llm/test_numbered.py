@@ -415,3 +415,26 @@ def test_op4_finds_plain_words(spark, tmp_path):
     found = {r.doc_id: r.spans for r in pii.op4_pii(spark, home).filter("n_id > 0").collect()}
     right = {i: f"id:{t.index(n)}:{t.index(n) + 8}" for (i, t), n in zip(docs[200:], names)}
     assert found == right
+
+
+def test_crowded_patterns_are_ruled_out_by_a_part_of_the_texts(spark, monkeypatch):
+    """A pattern that all sorts of words fill is not looked at in all texts; what is found is the same by parts and at once."""
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), n))
+    names = [word(8) for _ in range(12)]
+    docs = [(i, f"{word(5)} mail u{i}@mail.example.org {word(4)} now {word(5)}. The login handle u{i}@mail.example.org was {word(5)} seen.") for i in range(20)]
+    docs += [(100 + i, f"Other {word(4)} text. The login handle {names[i]} was {word(5)} seen." if i < 12 else f"They mail {word(7)} {word(6)} each day") for i in range(2000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    looked, words = [], pii._words
+    monkeypatch.setattr(pii, "_words", lambda docs, patterns: (looked.append((docs.count(), {r.pattern for r in patterns.collect()})), words(docs, patterns))[1])
+
+    def found():
+        looked.clear()
+        return sorted((r.doc_id, s.value) for r in pii.find_pii(df, plain_words=True).collect() for s in r.pii.extra)
+
+    at_once = found()
+    assert {v for _, v in at_once} >= set(names)
+    monkeypatch.setattr(pii, "PART_BYTES", 4 << 10)
+    assert found() == at_once
+    assert looked[0][0] < len(docs) / 2 and "mail _" in looked[0][1]
+    assert looked[-1][0] == len(docs) and "mail _" not in looked[-1][1] and "handle _" in looked[-1][1]
