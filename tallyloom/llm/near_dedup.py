@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.llm.common import bounded_batches, documents
@@ -44,7 +45,7 @@ SAMPLE = 6_000  #: documents from which the shingles' frequencies are estimated;
 FREQUENT = 4  #: documents of a full sample that make a shingle frequent
 BITS = 2048  #: of a set's parity bitmap
 SIZE_STEP = 1.04  #: sizes of sets within this ratio share a bucket of the prefix filter
-CACHE = 400_000  #: distinct words whose hashes a task remembers
+CACHE = 100_000  #: distinct words whose hashes a task remembers
 
 _rng = np.random.default_rng(20240501)
 _MUL = _rng.integers(1, 2**63, TREES * PREFIX, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -111,6 +112,7 @@ def profiles(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str
                 h = shingle_hashes(t, words, known)
                 rows.append((i, len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None, signature(h) if len(h) else None, parity(h) if len(h) else None))
             yield pd.DataFrame(rows, columns=["id", "n_shingles", "digest", "sig", "bits"]).astype({"id": "Int64"})
+        pa.default_memory_pool().release_unused()  # the worker lives on and does other work
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n_shingles long, digest binary, sig binary, bits binary")
 
